@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, line_rules, mixing, url_filter
+from .sql import ORACLE_SQL
+
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed, documents = mixing.mix(_table(spark, sf_dir, "documents"))
+    taken = mixed.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    return documents.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded text of every document."""
     import public_tokenizers
@@ -27,9 +37,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts and verdict of every document."""
+    counts = line_rules.clean_lines(_table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict:
-    return {"op5_bpe": op5_bpe}
+    return {"op4_mix": op4_mix, "op5_bpe": op5_bpe, "op8_urls": op8_urls, "op9_rules": op9_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE_SQL
