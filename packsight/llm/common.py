@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -87,3 +88,9 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             held += length or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished queries, which it does after a collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, mixing, url_filter
+from . import bpe, line_rules, mixing, ngram_join, url_filter
 from .sql import ORACLE_SQL
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -37,6 +39,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document: three-word shingles, Jaccard 0.9 or more."""
+    return ngram_join.link(_table(spark, sf_dir, "documents"), 3, Fraction(9, 10))
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -49,7 +56,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_mix": op4_mix, "op5_bpe": op5_bpe, "op8_urls": op8_urls, "op9_rules": op9_rules}
+    return {"op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_ngrams": op7_ngrams, "op8_urls": op8_urls, "op9_rules": op9_rules}
 
 
 def oracle_sql() -> dict[str, str]:
