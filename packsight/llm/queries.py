@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, mixing, ngram_join, url_filter
+from . import bpe, line_rules, mixing, ngram_join, quality_crf, url_filter
 from .sql import ORACLE_SQL
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -55,8 +55,21 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality_crf.LineCrf:
+    """The quality model, learnt from the labelled rows that aren't held out."""
+    known = labels.where(~quality_crf.held_out()).select("doc_id", F.col("quality").alias("label"))
+    return quality_crf.fit(docs, known)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_crf.score(docs, quality_model(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_crf.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_ngrams": op7_ngrams, "op8_urls": op8_urls, "op9_rules": op9_rules}
+    return {"op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_ngrams": op7_ngrams, "op8_urls": op8_urls, "op9_rules": op9_rules, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
