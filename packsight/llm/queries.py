@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, mixing, ngram_join, quality_crf, url_filter
+from . import bpe, line_rules, mixing, ngram_join, pii, quality_crf, url_filter
 from .sql import ORACLE_SQL
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -17,6 +17,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _joined(spans) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and digest, and all spans, of every document."""
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    listed = found.select("doc_id", base.alias("base"), _joined(F.col("pii")).alias("spans"))
+    of = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return listed.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed, documents = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -69,7 +83,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_ngrams": op7_ngrams, "op8_urls": op8_urls, "op9_rules": op9_rules, "op10_quality": op10_quality}
+    return {"op1_pii": op1_pii, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_ngrams": op7_ngrams, "op8_urls": op8_urls, "op9_rules": op9_rules, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
