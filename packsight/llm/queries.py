@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, mixing, ngram_join, pii, quality_crf, url_filter
+from . import bpe, html_text, license_scan, line_rules, mixing, ngram_join, pii, quality_crf, url_filter
 from .sql import ORACLE_SQL
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -31,6 +31,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licence of every document.
+
+    Documents have no paths of their own: a source is a repository, a thousand ids a directory in
+    it, ten ids a directory in that, whose first document is its LICENSE file.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 1000"), F.expr("doc_id div 10"), name)
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed, documents = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -53,6 +65,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document: three-word shingles, Jaccard 0.9 or more."""
     return ngram_join.link(_table(spark, sf_dir, "documents"), 3, Fraction(9, 10))
@@ -83,7 +100,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_ngrams": op7_ngrams, "op8_urls": op8_urls, "op9_rules": op9_rules, "op10_quality": op10_quality}
+    return {"op1_pii": op1_pii, "op3_licences": op3_licences, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op6_html": op6_html, "op7_ngrams": op7_ngrams, "op8_urls": op8_urls, "op9_rules": op9_rules, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
