@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, license_scan, line_rules, mixing, ngram_join, pii, quality_crf, url_filter
+from . import bpe, html_text, license_scan, line_rules, mixing, ngram_join, nn_descent, pii, quality_crf, url_filter
 from .sql import ORACLE_SQL
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -31,6 +31,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for each hundredth vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    nodes, graph = nn_descent.index(vectors)
+    return nn_descent.search(nodes, graph, nn_descent.own_queries(vectors))
+
+
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own and inherited licence of every document.
 
@@ -100,7 +107,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op3_licences": op3_licences, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op6_html": op6_html, "op7_ngrams": op7_ngrams, "op8_urls": op8_urls, "op9_rules": op9_rules, "op10_quality": op10_quality}
+    return {"op1_pii": op1_pii, "op2_neighbours": op2_neighbours, "op3_licences": op3_licences, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op6_html": op6_html, "op7_ngrams": op7_ngrams, "op8_urls": op8_urls, "op9_rules": op9_rules, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
