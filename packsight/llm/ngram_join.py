@@ -152,7 +152,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             flat = np.concatenate(items) if items else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["sig", "part", "items"])
 
-    return map_arrow(docs.join(wanted, "doc_id").select("sig", "text"), run, schema)
+    # wanted grows with the documents: it is shuffled at every size, never broadcast.
+    return map_arrow(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("sig", "text"), run, schema)
 
 
 def _stars(profiles: DataFrame) -> DataFrame:
