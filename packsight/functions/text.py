@@ -105,8 +105,8 @@ def digits(value: Column) -> Column:
     """Digit signature: a number with an integral value gives its integer's digits (155.0 -> 155)."""
     s = strip(value)
     numeric = F.rlike(s, F.lit(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"))
-    wide = F.when(numeric, s).try_cast("decimal(38,10)")
-    whole = wide.try_cast("decimal(38,0)")
+    wide = F.when(numeric, s).try_cast("decimal(30,10)")
+    whole = wide.try_cast("decimal(20,0)")
     return F.when(numeric & wide.isNotNull() & (wide == whole), whole.cast("string")).otherwise(only_digits(s))
 
 
