@@ -76,8 +76,11 @@ class Matcher:
                 light += weight * weight
                 if light >= threshold * threshold * 0.999:
                     anchors.add(term)
-        words = sorted({w for a in anchors for w in a.split()[:1]}, key=lambda w: (-len(w), w))
-        self.anchor = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, words)) + r")(?![a-z0-9])")
+        # A bigram whose words are both anchors, or one of them, adds nothing to the search.
+        single = {a for a in anchors if " " not in a}
+        search = single | {a for a in anchors if not single.intersection(a.split())}
+        patterns = [r"[^a-z0-9]+".join(map(re.escape, a.split())) for a in sorted(search)]
+        self.anchor = re.compile(r"\b(?:" + "|".join(patterns) + r")\b")
         self.inverted: dict[str, list[tuple[int, float]]] = {}
         for k, v in enumerate(self.vectors):
             for term, weight in v.items():
@@ -117,7 +120,7 @@ class Matcher:
                 own += len(line)
             best = max([best, *scores], key=lambda s: (s[0], -s[1]))
         if best[0] < self.threshold:
-            return None, best[0], 0.0
+            return None, 0.0, 0.0
         return self.names[best[1]], best[0], own / max(1, held)
 
 
@@ -143,7 +146,7 @@ def _frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int]
 
 
 def declared(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Add own_licence (null if none), score and licence_share to files (path, text, ...); text goes."""
+    """Add own_licence (null if none), its score (else 0) and licence_share to files (path, text, ...); text goes."""
     vocabulary = {t for _, text in templates for t in terms(text.lower())}
     frequency, n = _frequencies(files, vocabulary)
     kept = [c for c in files.columns if c not in ("text", "own_licence", "score", "licence_share")]
