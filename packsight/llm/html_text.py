@@ -236,31 +236,43 @@ def _list(node: Node, limit: int = 40) -> list[str]:
     return lines
 
 
-def _rows(node: Node) -> Iterator[Node]:
-    for child in node.children:
-        if isinstance(child, Node) and visible(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
-
-
 def _table(node: Node) -> list[str]:
-    """The lines of a table: its caption, then rows with cells padded to their columns' widths."""
-    lines = [x for child in node.children if isinstance(child, Node) and child.tag == "caption" and visible(child) for x in _inside(child) if x]
+    """The lines of a table: captions and what stands outside of any cell, then rows of padded cells."""
+    lines: list[str] = []
     grid: list[list[str]] = []
-    for row in _rows(node):
+
+    def loose(child: Node | str) -> None:
+        holder = Node("#part", {})
+        holder.children = [child]
+        lines.extend(x for x in _inside(holder) if x)
+
+    def row(tr: Node) -> None:
         cells: list[str] = []
-        for cell in row.children:
-            if isinstance(cell, Node) and cell.tag in ("td", "th") and visible(cell):
+        for cell in tr.children:
+            if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                loose(cell)
+            elif visible(cell):
                 span = cell.attributes.get("colspan", "1")
                 cells.append(" ".join(x.strip() for x in _inside(cell) if x))
-                cells += [""] * (min(int(span), 100) - 1 if re.fullmatch(r"[0-9]{1,4}", span) else 0)
+                cells.extend([""] * (min(int(span), 100) - 1 if re.fullmatch(r"[0-9]{1,4}", span) else 0))
         if any(cells):
             grid.append(cells)
-    loose = [c for c in node.children if isinstance(c, Node) and c.tag not in ("caption", "tr", "thead", "tbody", "tfoot", "colgroup", "col")]
-    for other in loose:  # content outside of any row stands before the table
-        lines += [x for x in _inside(other) if x] if visible(other) else []
+
+    sections = [node]
+    while sections:
+        for child in sections.pop(0).children:
+            if isinstance(child, str) or child.tag not in ("tr", "td", "th", "thead", "tbody", "tfoot", "colgroup", "col"):
+                loose(child)
+            elif not visible(child):
+                continue
+            elif child.tag == "tr":
+                row(child)
+            elif child.tag in ("td", "th"):  # a cell without a row is a row of its own
+                alone = Node("tr", {})
+                alone.children = [child]
+                row(alone)
+            else:
+                sections.append(child)
     widths = [max(len(r[k]) for r in grid if k < len(r)) for k in range(max(map(len, grid), default=0))]
     return lines + ["  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in grid]
 

@@ -167,7 +167,9 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thr
     licence_from is the path of the file that declares the licence: its own, that of a licence file
     in its nearest ancestor directory, or null.
     """
-    own = stored(declared(files, templates, threshold), "declared")
+    found = declared(files, templates, threshold)
+    rest = [c for c in found.columns if c not in ("own_licence", "score", "licence_share", "licence", "licence_from")]
+    own = stored(found.select(F.struct(*rest).alias("file"), "path", "own_licence", "score", "licence_share"), "declared")
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     standing = own.where("own_licence is not null and path is not null").where(F.rlike("path", F.lit(_FILE)) | (F.col("licence_share") >= 0.8))
     first = standing.withColumn("dir", directory).groupBy("dir").agg(F.max("score").alias("score"))
@@ -180,7 +182,9 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thr
     needy = own.select("*", F.when(F.col("own_licence").isNull() & F.col("path").isNotNull(), directory).alias("dir"))
     out = needy.join(met, "dir", "left")
     return out.select(
-        *(c for c in own.columns if c not in ("licence_share", "licence", "licence_from")),
+        "file.*",
+        "own_licence",
+        "score",
         F.coalesce("own_licence", F.col("best")["own_licence"]).alias("licence"),
         F.when(F.col("own_licence").isNotNull(), F.col("path")).otherwise(F.col("best")["path"]).alias("licence_from"),
     )

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
+from .common import fresh
 
 _LOCAL = r"A-Za-z0-9._%+-"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
@@ -172,7 +173,8 @@ def find(docs: DataFrame, text: str = "text", into: str = "pii", model: tuple[Bo
     """Add an array of spans (kind, start, end, value, base, score), ordered by start and kind."""
     trees, thresholds = model or fit(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
-    candidates = docs.withColumn("__found", F.concat(*(_matches(whole, kind) for kind in KINDS)))
+    found = fresh(docs, "__found")
+    candidates = docs.withColumn(found, F.concat(*(_matches(whole, kind) for kind in KINDS)))
     cuts = F.array(*(F.lit(thresholds[kind]) for kind in KINDS))
     names = F.array(*map(F.lit, KINDS))
 
@@ -185,10 +187,10 @@ def find(docs: DataFrame, text: str = "text", into: str = "pii", model: tuple[Bo
             c["start"].alias("start"), c["kind"].alias("number"), F.get(names, c["kind"]).alias("kind"), c["end"].alias("end"), c["value"].alias("value"), base.alias("base"), F.when(base, F.lit(1.0)).otherwise(score).alias("score")
         )
 
-    within = lambda s: F.exists("__found", lambda b: (b["kind"] < len(BASE)) & b["valid"] & (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
+    within = lambda s: F.exists(found, lambda b: (b["kind"] < len(BASE)) & b["valid"] & (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
     chosen = lambda s: s["base"] | ((s["score"] >= F.get(cuts, s["number"])) & ~within(s))
-    kept = F.filter(F.transform("__found", judged), chosen)
-    return candidates.withColumn(into, F.sort_array(kept)).drop("__found")
+    kept = F.filter(F.transform(found, judged), chosen)
+    return candidates.withColumn(into, F.sort_array(kept)).drop(found)
 
 
 def redact(docs: DataFrame, text: str = "text", model: tuple[BoostedTrees, dict[str, float]] | None = None) -> DataFrame:
@@ -196,7 +198,8 @@ def redact(docs: DataFrame, text: str = "text", model: tuple[BoostedTrees, dict[
 
     A null text stays null. Columns and their order stay.
     """
-    found = find(docs, text, "__pii", model)
+    pii, spans = fresh(docs, "__pii"), fresh(docs, "__spans")
+    found = find(docs, text, pii, model)
     item = "struct<kind:string,start:int,end:int>"
     zero = F.struct(F.array().cast(f"array<{item}>").alias("done"), F.lit(None).cast(item).alias("open"))
 
@@ -208,10 +211,10 @@ def redact(docs: DataFrame, text: str = "text", model: tuple[BoostedTrees, dict[
         return F.struct(F.when(joins, acc["done"]).otherwise(closed).alias("done"), F.when(joins, longer).otherwise(span).alias("open"))
 
     finish = lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-    merged = F.aggregate("__pii", zero, step, finish)
-    cut = found.withColumn("__spans", merged)
-    from_ = lambda i: F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))
-    parts = F.transform("__spans", lambda s, i: F.concat(F.substring(F.col(text), from_(i) + 1, s["start"] - from_(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    rest = F.substring(F.col(text), F.element_at("__spans", -1)["end"] + 1, F.length(text))
-    clean = F.when(F.size("__spans") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col(text))
+    merged = F.aggregate(pii, zero, step, finish)
+    cut = found.withColumn(spans, merged)
+    from_ = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    parts = F.transform(spans, lambda s, i: F.concat(F.substring(F.col(text), from_(i) + 1, s["start"] - from_(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    rest = F.substring(F.col(text), F.element_at(spans, -1)["end"] + 1, F.length(text))
+    clean = F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col(text))
     return cut.withColumn(text, clean).select(*docs.columns)
