@@ -218,3 +218,44 @@ def test_image_source_to_crops(spark, tmp_path):
 def test_transparency_is_laid_on_white(channels):
     data = bytes([0]) if channels == 1 else bytes([10, 20, 30, 0])
     assert images.rgb_of(data, 1, 1, channels).tolist() == ([[[0, 0, 0]]] if channels == 1 else [[[255, 255, 255]]])
+
+
+def test_barcode_validation_and_modes(spark):
+    from packsight.operators import pipeline
+
+    reads = spark.createDataFrame([("p", 1, None, "x\n8901414001626", "Acme", "tea"), ("q", 1, None, "901052034178", None, None)], "product_key string, view int, decoded string, text string, ocr_brand string, ocr_name string")
+    one = spark.createDataFrame([("8901414001626", None, None)], "code string, name string, brand string")
+    two = spark.createDataFrame([("8901414001626", "Green tea", "Acme")], "code string, name string, brand string")
+    got = {r.product_key: r for r in pipeline.validate_barcodes(reads, one, two).collect()}
+    assert got["p"].lookup_source == "secondary" and got["p"].brand_match == 1.0 and got["p"].text_match_ok and len(got["p"].trail) == 5
+    assert got["q"].code is None and got["q"].unverified == "8901052034178"
+    lines = spark.createDataFrame([("p", 0, "MRP Rs. 75", 0.9, 0.1)], "product_key string, line_no int, text string, confidence double, height double")
+    words = spark.createDataFrame([("p", 0, 0, "99", "MRP", 0.5), ("p", 0, 1, "Acme", "BRAND", 0.9)], "product_key string, crop int, word_no int, word string, label string, confidence double")
+    value = lambda mode: {r.field: r.value for r in pipeline.extract_products(lines, labelled_words=words, mode=mode)[0].collect()}
+    assert value("heuristic")["Mrp"] == "75" and value("model") == {"Mrp": "99", "Brand": "Acme"} and value("merged")["Mrp"] == "75" and value("merged")["Brand"] == "Acme"
+
+
+def test_samples_and_ranges(spark):
+    from packsight.operators import pipeline
+
+    rows = spark.range(100).withColumnRenamed("id", "row_id")
+    a, b = (sorted(r.row_id for r in pipeline.seeded_sample(rows.repartition(n), "row_id", 10, 7).collect()) for n in (1, 7))
+    assert a == b and len(a) == 10
+    assert pipeline.row_range(rows, 20, 5).count() == 5
+    names = spark.createDataFrame([("Image_1.jpg",), ("other.jpg",)], "path string")
+    assert pipeline.names_with(names, "IMAGE").count() == 1
+
+
+def test_json_engine_retries_warmer():
+    from packsight.operators.pipeline import json_engine
+
+    seen = []
+
+    def generate(payload, temperature):
+        seen.append(temperature)
+        if len(seen) == 1:
+            raise OSError
+        return "no object" if len(seen) == 2 else '```json\n{"a": 1, "b": 2, "c": 3, "d": "cu'
+
+    assert json_engine(generate)("x") == {"a": 1, "b": 2, "c": 3} and seen == [0.2, 0.35, 0.5]
+    assert json_engine(lambda p, t: "none")("x") is None
