@@ -4,13 +4,65 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import barcode, similarity
+from ..shipping import ship
 from . import labels, products, rules
+from .recognise import Ladder
+
+
+def read_crops(crops: DataFrame, ladder: Ladder, cache: DataFrame | None = None) -> DataFrame:
+    """Lines of crops (key, payload and any of product_key, view, crop, arm): one row a line.
+
+    Equal crops are read once, whatever products, views or arms (prepared or raw) they belong to.
+    """
+    places = [c for c in crops.columns if c != "payload"]
+    reads = ladder.read(crops.select("key", "payload"), cache).select("key", "engine", "reason", F.posexplode_outer("lines").alias("line_no", "l"))
+    rows = reads.select("key", "engine", "reason", "line_no", F.col("l.text").alias("text"), F.col("l.confidence").alias("confidence"))
+    return crops.select(*places).join(rows, "key")
+
+
+def collect_pools(crops: DataFrame, ladder: Ladder, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(text lines, layout lines, texts) of products: the best transcription, the one with geometry, the union text.
+
+    crops: product_key, view, crop, key, payload. Lines are numbered through a product's crops.
+    """
+    reads = ladder.read_dual(crops.select("key", "payload"), cache)
+    placed = crops.select("product_key", "view", "crop", "key").join(reads, "key")
+
+    def pool(column: str) -> DataFrame:
+        rows = placed.select("product_key", "view", "crop", F.posexplode(column).alias("at", "l"))
+        number = F.col("view") * 1_000_000 + F.col("crop") * 10_000 + F.col("at")
+        return rows.select("product_key", "view", "crop", number.alias("line_no"), F.col("l.text").alias("text"), F.col("l.confidence").alias("confidence"))
+
+    text = pool("text_lines")
+    return text, pool("layout_lines"), products.text_union(text)
+
+
+def fetch_codes(codes: DataFrame, fetch: Callable[[str], dict | None]) -> DataFrame:
+    """code, name, brand of looked-up codes, each asked for once; a miss is a row without values.
+
+    A code whose lookup raises gives no row, so that a later run asks again.
+    """
+    ship(codes.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for code in frame["code"]:
+                try:
+                    found = fetch(code) or {}
+                except Exception:
+                    continue
+                rows.append((code, found.get("name"), found.get("brand")))
+            yield pd.DataFrame(rows, columns=["code", "name", "brand"])
+
+    return codes.select("code").where("code is not null").distinct().mapInPandas(run, "code string, name string, brand string")
 
 
 def validate_barcodes(reads: DataFrame, primary: DataFrame, secondary: DataFrame) -> DataFrame:

@@ -259,3 +259,31 @@ def test_json_engine_retries_warmer():
 
     assert json_engine(generate)("x") == {"a": 1, "b": 2, "c": 3} and seen == [0.2, 0.35, 0.5]
     assert json_engine(lambda p, t: "none")("x") is None
+
+
+def test_pools_and_fetched_codes(spark, tmp_path):
+    from packsight.operators import pipeline
+
+    ocr = recognise.Engine("ocr", stub({"a": [("front", 0.9)], "b": [("back", 0.4)]}))
+    vlm = recognise.Engine("vlm", stub({"a": [("FRONT LINE", None), (" ", None)]}))
+    count = iter(range(99))
+
+    def store(df, name):
+        df.write.parquet(path := f"{tmp_path}/{name}{next(count)}")
+        return spark.read.parquet(path)
+
+    ladder = recognise.Ladder(recognise.Registry([ocr, vlm]), recognise.Policy(), store)
+    crops = spark.createDataFrame([("p", 1, 0, "k1", b"a"), ("p", 2, 0, "k2", b"b"), ("q", 1, 0, "k1", b"a")], "product_key string, view int, crop int, key string, payload binary")
+    text, layout, union = pipeline.collect_pools(crops, ladder)
+    assert {r.product_key: r.text for r in union.collect()} == {"p": "FRONT LINE\nback", "q": "FRONT LINE"}
+    assert sorted(r.text for r in layout.collect()) == ["back", "front", "front"]
+    lines = pipeline.read_crops(crops.withColumn("arm", F.lit("raw")), ladder)
+    assert lines.where("product_key = 'p'").count() == 3 and "arm" in lines.columns
+
+    def fetch(code):
+        if code == "down":
+            raise OSError
+        return {"name": "N", "brand": "B"} if code == "known" else None
+
+    codes = spark.createDataFrame([("known",), ("known",), ("unknown",), ("down",), (None,)], "code string")
+    assert sorted(map(tuple, pipeline.fetch_codes(codes, fetch).collect()), key=str) == [("known", "N", "B"), ("unknown", None, None)]
