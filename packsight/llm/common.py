@@ -62,10 +62,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The files are deleted when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/packsight/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
