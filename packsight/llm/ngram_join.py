@@ -2,16 +2,20 @@
 
 The global order of n-grams is the order of their 64-bit hashes, and it is cut into fragments.
 
-1. Candidates. Two sets with Jaccard >= p/q differ in at most (|x|+|y|)(q-p)/(q+p) n-grams. With more
+1. Buckets. Two sets with Jaccard >= p/q differ in at most (|x|+|y|)(q-p)/(q+p) n-grams. With more
    fragments than that (the number depends on the size class), one fragment at least is the same in
-   both, so documents that share a fragment's digest meet in a bucket. Slightly more fragments are
-   used than needed, so that fragments with fewer than two n-grams can be passed over.
-2. Stars. A bucket isn't expanded into pairs: its members are compared with its leader, the member
-   that meets most others, so near copies of one document all meet the same leader.
+   both, so documents that share a fragment's digest meet in a bucket. Some more fragments are used
+   than needed, so that fragments with too few n-grams can be passed over. Buckets are gathered in
+   rounds over the digests, which bounds the disk that shuffles need.
+2. Candidates. A bucket of at most SOLO members gives its pairs. A larger bucket isn't expanded: its
+   members are compared with its leader, the member that meets most others, so near copies of one
+   document all meet the same leader. Pairs of small buckets are dropped where their parity bitmaps
+   differ in more bits than linked sets can: a bit can't differ without an n-gram that does.
 3. Overlaps. The order is cut into vertical parts; each pair's overlap is counted part by part and
-   summed. The same pass gives each member's difference from its leader.
-4. The rest. A pair of members that isn't yet connected can only be linked if the two differences
-   from their leader share an n-gram early in the order (prefix filter); such pairs are verified too.
+   summed. The same pass gives each member's difference from the leader of its large bucket.
+4. The rest. Two members of a large bucket that aren't yet connected can only be linked if their
+   differences from their leader share an n-gram early in the order (prefix filter); such pairs are
+   verified too.
 
 No link is lost, and the work follows the number of documents, not the number of pairs in a group.
 Sets are identified by a 64-bit sum of their hashes (two different sets of 10^8 documents agree by
@@ -32,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pieces, released, stored, utf8
+from .common import dropped, map_arrow, pieces, released, stored, utf8
 from .components import components
 
 VERTICAL = 8  # parts of the order in which overlaps are counted
-SMALL = 2  # fragments with fewer n-grams are passed over where that loses nothing
+PASSES = ((4, 5), (6, 7), (0, 1), (2, 3))  # parts that are joined at a time, in the order of signed hashes
+SOLO = 16  # members up to which a bucket gives its pairs
+ROUNDS = 4  # rounds in which buckets are gathered
 KEPT = 400_000  # words whose hashes, and sets whose digests, a task remembers
 
 
@@ -81,6 +87,9 @@ class Fragments:
 
     def __init__(self, p: int, q: int) -> None:
         self.p, self.q, self.edges = p, q, [1]
+        # Fragments with fewer than `small` n-grams are passed over; the wider fragments of a high
+        # threshold seldom hold fewer than two, those of a lower one seldom none.
+        self.small, self.extra, self.share = (2, 1, 6) if 20 * p >= 17 * q else (1, 3, 20)
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, self.edges[-1] * 3 // 2))
 
@@ -92,29 +101,36 @@ class Fragments:
 
     def _at(self, s: np.ndarray, level: int) -> np.ndarray:
         differ = 2 * (self.edges[level + 1] - 1) * (self.q - self.p) // (self.q + self.p)
-        spare = differ * 6 * (self.q - self.p) // (10 * self.q)
+        spare = (self.extra + differ * self.share // 100) if differ else 0
         count = differ + 1 + spare
         part = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         sizes = np.bincount(part.astype(np.int64), minlength=count)
         total = np.zeros(count, dtype=np.uint64)
         full = np.flatnonzero(sizes)
         total[full] = np.add.reduceat(_mix(s + np.uint64(level)), (np.cumsum(sizes) - sizes)[full])
-        small = sizes < SMALL
+        small = sizes < self.small
         at = np.arange(count) if small.sum() > spare else np.flatnonzero(~small)
         return _mix(total[at] + _mix(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level + 1)))
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A set's parity bitmap: two bits an n-gram or more, in a power of two of 64-bit words."""
+    words = 1 << max(0, (2 * len(s) - 1).bit_length() - 6)
+    odd = np.bincount((_mix(s) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _profiles(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """doc_id, size of the set, its digest (null for an empty set) and its bucket keys.
+    """doc_id, size of the set, its digest (null for an empty set), its bitmap and its bucket keys.
 
-    A set that the task has met before gets no keys: its digest has them already.
+    A set that the task has met before gets no bitmap and no keys: its digest has them already.
     """
-    schema = docs.select("doc_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("sig"), F.array().cast("array<long>").alias("keys")).schema
+    schema = docs.select("doc_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("sig"), F.array().cast("array<long>").alias("bits"), F.array().cast("array<long>").alias("keys")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, fragments, empty = _Words(), set(), Fragments(p, q), np.zeros(0, np.uint64)
         for batch in pieces(batches, "text"):
-            sizes, digests, keys = [], [], []
+            sizes, digests, bits, keys = [], [], [], []
             for data in utf8(batch.column("text")).to_pylist():
                 s = shingles(data or b"", n, known)
                 digest = int(_mix(s).sum().view(np.int64)) if len(s) else None
@@ -125,10 +141,10 @@ def _profiles(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
                     seen.add(digest)
                 sizes.append(len(s))
                 digests.append(digest)
-                keys.append(fragments.keys(s) if new else empty)
-            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), lists], names=["doc_id", "n", "sig", "keys"])
+                bits.append(bitmap(s) if new else empty.view(np.int64))
+                keys.append(fragments.keys(s).view(np.int64) if new else empty.view(np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate(x))) for x in (bits, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), *lists], names=["doc_id", "n", "sig", "bits", "keys"])
 
     return map_arrow(docs.select("doc_id", "text"), run, schema)
 
@@ -156,52 +172,107 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("sig", "text"), run, schema)
 
 
-def _stars(profiles: DataFrame) -> DataFrame:
-    """(a, b): every set that shares a bucket with others, and each of its buckets' leaders."""
-    keyed = profiles.select("sig", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
-    members = stored(keyed.join(shared, "key").distinct(), "members")
-    meets = members.groupBy("sig").agg(F.sum("members").alias("meets"))
-    leaders = members.join(meets, "sig").groupBy("key").agg(F.max(F.struct("meets", "sig"))["sig"].alias("a"))
-    return members.join(leaders, "key").where("a <> sig").select("a", F.col("sig").alias("b")).distinct()
+def _members(profiles: DataFrame) -> DataFrame:
+    """(key, sig, members) of the buckets that different sets share."""
+    found = None
+    for k in range(ROUNDS):
+        keyed = profiles.select("sig", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(ROUNDS)) == k)
+        shared = keyed.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key")
+        part = stored(keyed.join(shared.hint("merge"), "key").distinct(), "members")
+        released(profiles.sparkSession)
+        found = part if found is None else found.unionByName(part)
+    sizes = found.groupBy("key").agg(F.count("*").alias("members"))
+    return found.join(sizes, "key")
+
+
+def _candidates(members: DataFrame) -> DataFrame:
+    """(a, b, star): pairs of small buckets, a < b; and of large ones each leader a with each member b."""
+    small = members.where(F.col("members") <= SOLO).groupBy("key").agg(F.array_sort(F.collect_list("sig")).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.lit(SOLO)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    close = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").withColumn("star", F.lit(False))
+    large = stored(members.where(F.col("members") > SOLO), "large")
+    meets = large.groupBy("sig").agg(F.sum("members").alias("meets"))
+    leaders = large.join(meets, "sig").groupBy("key").agg(F.max(F.struct("meets", "sig"))["sig"].alias("a"))
+    stars = large.join(leaders, "key").where("a <> sig").select("a", F.col("sig").alias("b")).withColumn("star", F.lit(True))
+    return close.unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
+
+
+def _near(pairs: DataFrame, first: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs with their sizes, but for those that sizes or bitmaps show not to be linked; stars stay."""
+    of = lambda side: first.select(F.col("sig").alias(side), F.col("n").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}"))
+    sized = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
+    half = lambda x: (F.size(x) / 2).cast("int")
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda u, v: u.bitwiseXOR(v))
+    to = lambda x, y: F.when(F.size(x) > F.size(y), fold(x)).otherwise(x)
+    differ = F.aggregate(F.zip_with(to(F.col("bits_a"), F.col("bits_b")), to(F.col("bits_b"), F.col("bits_a")), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, x: s + x)
+    sizes = F.expr(f"{q} * least(size_a, size_b) >= {p} * greatest(size_a, size_b)")
+    close = sizes & (differ * (q + p) <= (F.col("size_a") + F.col("size_b")) * (q - p))
+    return sized.where(F.col("star") | close).select("a", "b", "star", "size_a", "size_b")
+
+
+def _parts(pairs: DataFrame, sets: DataFrame, parts: tuple[int, ...]) -> DataFrame:
+    """pairs with the given parts' items of both sides: of_a, of_b."""
+    unique = sets.where(F.col("part").isin(*parts)).dropDuplicates(["sig", "part"])
+    spread = pairs.select("*", F.explode(F.array(*map(F.lit, parts))).alias("part"))
+    with_b = spread.join(unique.select(F.col("sig").alias("b"), "part", F.col("items").alias("of_b")).hint("merge"), ["b", "part"])
+    return with_b.join(unique.select(F.col("sig").alias("a"), "part", F.col("items").alias("of_a")).hint("merge"), ["a", "part"])
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with common, the size of their intersection: counted part by part, then summed.
+
+    A few parts at a time are joined, so that the items in flight are a share of the sets.
+    """
+    counts = None
+    for parts in PASSES:
+        each = _parts(pairs.select("a", "b"), sets, parts).select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("common"))
+        one = stored(each.groupBy("a", "b").agg(F.sum("common").alias("common")), "overlaps")
+        released(pairs.sparkSession)
+        counts = one if counts is None else counts.unionByName(one)
+    return pairs.join(counts.groupBy("a", "b").agg(F.sum("common").alias("common")), ["a", "b"])
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, p: int, q: int) -> DataFrame:
-    """a, b, size_a, size_b, common, and the first n-grams of b's difference from a.
+def _differences(stars: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """a, b, n, own and lost (sizes of the difference) and items, its first n-grams.
 
-    own: the first n-grams of b that a lacks; lost: the first of a that b lacks; as many as the
-    prefix filter can ask for.
+    First come those of b that a lacks, then those of a that b lacks, each in the global order; as
+    many as the prefix filter can ask for. Parts are taken in that order, each pair until it has them.
     """
-    unique = sets.dropDuplicates(["sig", "part"])
-    of = lambda side: sizes.select(F.col("sig").alias(side), F.col("n").alias(f"size_{side}"))
-    sized = pairs.join(of("a"), "a").join(of("b"), "b")
-    spread = sized.select("*", F.explode(F.sequence(F.lit(0), F.lit(VERTICAL - 1))).alias("part"))
-    with_b = spread.join(unique.select(F.col("sig").alias("b"), "part", F.col("items").alias("of_b")), ["b", "part"])
-    with_a = with_b.join(unique.select(F.col("sig").alias("a"), "part", F.col("items").alias("of_a")), ["a", "part"])
-    most = F.expr(f"size_b * {q - p} div {p} + 1").cast("int")
-    ahead = lambda x, y: F.slice(F.sort_array(F.array_except(x, y)), F.lit(1), most)
-    counted = with_a.select("a", "b", "size_a", "size_b", "part", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("common"), ahead("of_b", "of_a").alias("own"), ahead("of_a", "of_b").alias("lost"))
-    gathered = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c))), F.lit(1), most).alias(c)
-    return counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"), gathered("own"), gathered("lost"))
+    most = F.expr(f"least(size_a + size_b - 2 * common, size_b * {q - p} div {p} + 1)")
+    need = stars.withColumn("most", most).withColumn("own_need", F.least(F.col("most"), F.col("size_b") - F.col("common"))).withColumn("lost_need", F.col("most") - F.col("own_need"))
+    todo = need.select("a", "b", "own_need", "lost_need")
+    heads = None
+    for parts in PASSES:
+        ahead = lambda x, y, most: F.slice(F.sort_array(F.array_except(x, y)), F.lit(1), F.col(most).cast("int"))
+        each = _parts(todo, sets, parts).select("a", "b", "own_need", "lost_need", ahead("of_b", "of_a", "own_need").alias("own"), ahead("of_a", "of_b", "lost_need").alias("lost"))
+        one = stored(each.groupBy("a", "b", "own_need", "lost_need").agg(F.sort_array(F.flatten(F.collect_list("own"))).alias("own"), F.sort_array(F.flatten(F.collect_list("lost"))).alias("lost")).select("a", "b", "own_need", "lost_need", F.slice("own", F.lit(1), F.col("own_need").cast("int")).alias("own"), F.slice("lost", F.lit(1), F.col("lost_need").cast("int")).alias("lost")), "heads")
+        heads = one.select("a", "b", "own", "lost") if heads is None else heads.unionByName(one.select("a", "b", "own", "lost"))
+        todo = one.select("a", "b", (F.col("own_need") - F.size("own")).alias("own_need"), (F.col("lost_need") - F.size("lost")).alias("lost_need")).where("own_need > 0 or lost_need > 0")
+        released(stars.sparkSession)
+    whole = lambda c: F.sort_array(F.flatten(F.collect_list(c)))
+    gathered = heads.groupBy("a", "b").agg(F.concat(whole("own"), whole("lost")).alias("items"))
+    return gathered.join(need, ["a", "b"]).select("a", "b", F.col("size_b").alias("n"), (F.col("size_b") - F.col("common")).alias("own"), (F.col("size_a") - F.col("common")).alias("lost"), "items")
 
 
 def _linked(p: int, q: int) -> Column:
     return F.expr(f"{q} * common >= {p} * (size_a + size_b - common)")
 
 
-def _others(stars: DataFrame, roots: DataFrame, p: int, q: int) -> DataFrame:
+def _others(stars: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """(a, b): pairs of a leader's members that can be linked and aren't connected yet."""
-    delta = stars.select("a", "b", F.col("size_b").alias("n"), (F.col("size_a") + F.col("size_b") - 2 * F.col("common")).alias("d"), F.concat("own", "lost").alias("items"), "common", "size_a", "size_b")
-    # A pair of members that are both linked to their leader is connected; others must share an item.
-    mixed = delta.groupBy("a").agg(F.min(_linked(p, q)).alias("all_linked")).where(~F.col("all_linked")).select("a")
-    most = F.expr(f"cast(least(d, n * {q - p} div {p} + 1) as int)")
-    kept = delta.join(mixed, "a").withColumn("items", F.slice("items", F.lit(1), most)).join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    items = stored(kept.select(F.col("a").alias("leader"), "b", "n", "d", "root", F.posexplode("items").alias("at", "item")), "differences")
-    several = items.groupBy("leader", "item").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("leader", "item")
-    open_items = items.join(several, ["leader", "item"])
+    # Members that are all linked to their leader are connected; of the others a pair must share an item.
+    mixed = stars.groupBy("a").agg(F.min(_linked(p, q)).alias("all_linked")).where(~F.col("all_linked")).select("a")
+    delta = _differences(stars.join(mixed, "a"), sets, p, q).join(roots.select(F.col("node").alias("b"), "root"), "b", "left")
+    delta = stored(delta.withColumn("root", F.coalesce("root", "b")), "differences")
+    items = delta.select(F.col("a").alias("leader"), "b", "n", "own", "lost", "root", F.posexplode("items").alias("at", "item"))
+    several = items.groupBy(F.xxhash64("leader", "item").alias("key")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    open_items = stored(items.withColumn("key", F.xxhash64("leader", "item")).join(several, "key"), "items")
     one, two = open_items.alias("x"), open_items.alias("y")
-    reach = f"2 * (1 + least(x.d - x.at, y.d - y.at) - 1) * {q + p} >= (x.d + y.d) * {q + p} - (x.n + y.n) * {q - p}"
-    near = F.expr(f"x.leader = y.leader and x.item = y.item and x.b < y.b and x.root <> y.root and {reach}")
+    # An item that is the first in common leaves at most this many in common: of the leader's own
+    # n-grams both have lost, and before those of the n-grams that both have besides.
+    ahead = "case when x.at < x.own then least(x.own - x.at, y.own - y.at) + least(x.lost, y.lost) else least(x.own + x.lost - x.at, y.own + y.lost - y.at) end"
+    reach = f"2 * ({ahead}) * {q + p} >= (x.own + x.lost + y.own + y.lost) * {q + p} - (x.n + y.n) * {q - p}"
+    near = F.expr(f"x.key = y.key and x.leader = y.leader and x.item = y.item and x.b < y.b and x.root <> y.root and {reach}")
     return one.join(two, near).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
 
 
@@ -212,23 +283,30 @@ def link(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> D
     threshold; component_id is the smallest doc_id that links lead to.
     """
     p, q = threshold.numerator, threshold.denominator
-    profiles = stored(_profiles(docs, n, p, q), "profiles")
+    spark = docs.sparkSession
+    whole = stored(_profiles(docs, n, p, q), "profiles")
+    profiles = stored(whole.select("doc_id", "n", "sig", "bits"), "sizes")
+    candidates = stored(_candidates(_members(whole)), "candidates")
+    dropped(whole)
+    released(spark)
     first = profiles.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    stars = stored(_stars(profiles), "stars")
-    released(docs.sparkSession)
-    ids = stars.select(F.col("a").alias("sig")).union(stars.select("b")).distinct()
-    involved = stored(first.join(ids, "sig").select("doc_id", "sig", "n"), "involved")
-    sets = stored(_sets(docs, involved.select("doc_id", "sig"), n), "sets")
-    released(docs.sparkSession)
-
-    compared = stored(_overlaps(stars, sets, involved, p, q), "compared")
+    sketches = stored(profiles.where("size(bits) > 0").select("sig", "n", "bits").dropDuplicates(["sig"]), "sketches")
+    pairs = stored(_near(candidates, sketches, p, q), "pairs")
+    released(spark)
+
+    ids = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    sets = stored(_sets(docs, first.join(ids, "sig").select("doc_id", "sig"), n), "sets")
+    released(spark)
+    compared = stored(_overlaps(pairs, sets), "compared")
     near = compared.where(_linked(p, q)).select("a", "b")
     roots = components(near)
-    others = stored(_others(compared, roots, p, q), "others")
-    more = _overlaps(others, sets, involved, p, q).where(_linked(p, q)).select("a", "b")
-    late = stored(more, "late_links")
-    if late.head(1):
+    found = _others(compared.where("star"), roots, sets, p, q)
+    others = stored(_near(found.withColumn("star", F.lit(False)), sketches, p, q), "others")
+    released(spark)
+    if others.head(1):
+        late = stored(_overlaps(others, sets).where(_linked(p, q)).select("a", "b"), "late_links")
         roots = components(near.union(late))
+    dropped(sets)
     grouped = first.select("sig", "doc_id", "copies").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
     grouped = grouped.where("root is not null or copies > 1").withColumn("root", F.coalesce("root", "sig"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
