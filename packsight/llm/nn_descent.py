@@ -3,8 +3,10 @@
 Equal vectors are one node. The graph starts from random-projection blocks: in each of a few trees,
 nodes are ordered along random directions and cut into blocks, and the nearest nodes within a
 block become neighbours. Each round then joins every node's neighbours (both directions) with each
-other: a neighbour of a neighbour that is nearer replaces the farthest. Queries start at entry nodes
-and repeatedly expand the nearest nodes not yet expanded, until none of their best is left.
+other: a neighbour of a neighbour that is nearer replaces the farthest. Rounds go on until next to
+none is replaced. Queries start at entry nodes and repeatedly expand the nearest nodes not yet
+expanded, until none of their best is left; how many best these are is settled by the recall of a
+sample of the queries, for which all nodes are measured.
 
 Distances within the graph are in single precision; the distances returned are in double precision.
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, released, stored
+from .common import dropped, map_arrow, released, stored
 
 LEAF = 256  # nodes of a block of a random-projection tree
 SAMPLE = 2048  # nodes that thresholds are taken from, and entry points of searches, at most
@@ -36,12 +38,13 @@ def _clean(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return vectors.where(F.coalesce(sound, F.lit(False)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", degree: int = 24, inward: int = 32, trees: int = 4, rounds: int = 3, offers: int = 6, most_members: int = 11, seed: int = 2) -> tuple[DataFrame, DataFrame]:
+def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", degree: int = 24, inward: int = 32, trees: int = 4, settled: float = 0.02, most_members: int = 11, seed: int = 2) -> tuple[DataFrame, DataFrame]:
     """The nodes and the neighbour graph of all vectors.
 
     nodes: node (the smallest id of equal vectors), v (components), half (the same in half precision,
     packed), members (the first ids of the equal vectors). graph: node, near (ids of neighbours in
-    either direction: at most `degree` own ones and `inward` of those that name it).
+    either direction: `degree` own ones and at most `inward` of those that name it). Rounds end when
+    one replaces at most the share `settled` of all neighbours.
     """
     clean = _clean(vectors, key, column)
     size = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -57,35 +60,45 @@ def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", de
 
     nodes = stored(map_arrow(alike.select(F.col("members")[0].alias("node"), "v", "members"), pack, "node long, v array<double>, members array<long>, half binary"), "nodes")
     graph = stored(_start(nodes, size.n if size else 1, degree, trees, seed), "graph")
-    for _ in range(rounds):
-        graph = stored(_round(nodes, graph, degree, inward, offers), "graph")
+    while True:
+        held = graph.agg(F.sum(F.size("ids")).alias("all"), F.sum(F.size(F.filter("fresh", lambda x: x))).alias("fresh")).first()
+        if not held.fresh or held.fresh <= settled * held.all:
+            break
+        before, graph = graph, stored(_round(nodes, graph, degree, inward), "graph")
+        dropped(before)
         released(vectors.sparkSession)
-    both = _kept(graph, inward).groupBy("node").agg(F.collect_set("near").alias("near"))
+    both = _kept(graph, inward).groupBy("node").agg(F.collect_list("near").alias("near"))
     return nodes, stored(both, "adjacency")
 
 
-def _best(lists: list, own: int, degree: int) -> tuple[list[int], list[float]]:
-    """The nearest distinct ids of several (ids, distances) lists."""
-    ids = np.concatenate([np.asarray(x["ids"], dtype=np.int64) for x in lists])
-    d = np.concatenate([np.asarray(x["d"], dtype=np.float32) for x in lists])
-    order = np.lexsort((ids, d))
-    ids, d = ids[order], d[order]
-    _, at = np.unique(ids, return_index=True)
-    at = np.sort(at[ids[at] != own])[:degree]
-    return ids[at].tolist(), d[at].tolist()
-
-
 def _merged(lists: DataFrame, degree: int) -> DataFrame:
-    """node, ids, d: the nearest of all lists of a node."""
+    """node, ids, d, fresh: the nearest of all lists of a node; a neighbour of no list with old ones is fresh."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes = b.column("node").to_pylist()
-            best = [_best(x, node, degree) for node, x in zip(nodes, b.column("lists").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([i for i, _ in best], pa.list_(pa.int64())), pa.array([d for _, d in best], pa.list_(pa.float32()))], names=["node", "ids", "d"])
-
-    grouped = lists.groupBy("node").agg(F.collect_list(F.struct("ids", "d")).alias("lists"))
-    return map_arrow(grouped, run, "node long, ids array<long>, d array<float>")
+            lists = b.column("lists")
+            nodes, outer, each = b.column("node").to_numpy(), lists.offsets.to_numpy(), lists.values
+            inner = each.field("ids").offsets.to_numpy()
+            ends = inner[outer]
+            part = slice(ends[0], ends[-1])
+            ids, d = each.field("ids").values.to_numpy()[part], each.field("d").values.to_numpy()[part]
+            old = np.repeat(each.field("old").to_numpy(zero_copy_only=False), np.diff(inner))[part]
+            row = np.repeat(np.arange(len(nodes)), np.diff(ends))
+            order = np.lexsort((d, ~old, ids, row))
+            order = order[ids[order] != nodes[row[order]]]
+            first = np.ones(len(order), dtype=bool)
+            first[1:] = (ids[order][1:] != ids[order][:-1]) | (row[order][1:] != row[order][:-1])
+            order = order[first]
+            order = order[np.lexsort((ids[order], d[order], row[order]))]
+            count = np.bincount(row[order], minlength=len(nodes))
+            start = np.cumsum(count) - count
+            order = order[np.arange(len(order)) - np.repeat(start, count) < degree]
+            at = pa.array(np.concatenate([[0], np.cumsum(np.minimum(count, degree))]), pa.int32())
+            columns = [pa.array(ids[order], pa.int64()), pa.array(d[order], pa.float32()), pa.array(~old[order], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.ListArray.from_arrays(at, c) for c in columns)], names=["node", "ids", "d", "fresh"])
+
+    grouped = lists.groupBy("node").agg(F.collect_list(F.struct("ids", "d", "old")).alias("lists"))
+    return map_arrow(grouped, run, "node long, ids array<long>, d array<float>, fresh array<boolean>")
 
 
 def _distances(x: np.ndarray) -> np.ndarray:
@@ -148,21 +161,26 @@ def _start(nodes: DataFrame, width: int, degree: int, trees: int, seed: int) ->
 
     placed = map_arrow(nodes.select("node", "half"), place, "tree int, code long, along float, node long, half binary")
     ordered = placed.repartitionByRange("tree", "code", "along", "node").sortWithinPartitions("tree", "code", "along", "node")
-    return _merged(map_arrow(ordered, blocks, "node long, ids array<long>, d array<float>"), degree)
+    return _merged(map_arrow(ordered, blocks, "node long, ids array<long>, d array<float>").withColumn("old", F.lit(False)), degree)
 
 
 def _kept(graph: DataFrame, inward: int) -> DataFrame:
-    """(node, near) in both directions, of each node only the nearest `inward` that name it."""
-    edges = graph.select("node", F.explode(F.arrays_zip("ids", "d")).alias("e")).select("node", F.col("e.ids").alias("near"), F.col("e.d").alias("d"))
+    """(node, near, fresh): all of a node's own neighbours, and the nearest `inward` nodes that name it."""
+    edges = graph.select("node", F.explode(F.arrays_zip("ids", "d", "fresh")).alias("e")).select("node", F.col("e.ids").alias("near"), F.col("e.d").alias("d"), F.col("e.fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("near").orderBy("d", "node"))
-    kept = edges.withColumn("k", rank).where(F.col("k") <= inward).select("node", "near")
-    return kept.union(kept.select("near", "node"))
+    named = edges.withColumn("k", rank).where(F.col("k") <= inward).select(F.col("near").alias("node"), F.col("node").alias("near"), "fresh")
+    return edges.select("node", "near", "fresh").union(named).groupBy("node", "near").agg(F.max("fresh").alias("fresh"))
+
 
+def _round(nodes: DataFrame, graph: DataFrame, degree: int, inward: int) -> DataFrame:
+    """One round of descent: a node's neighbours are offered to each other.
 
-def _round(nodes: DataFrame, graph: DataFrame, degree: int, inward: int, offers: int) -> DataFrame:
-    """One round of descent: a node's neighbours are offered to each other."""
-    halves = nodes.select(F.col("node").alias("near"), "half")
-    meet = _kept(graph, inward).distinct().join(halves, "near").groupBy("node").agg(F.collect_list(F.struct("near", "half")).alias("around"))
+    Pairs of which neither is fresh have met before; pairs farther apart than all `degree` neighbours
+    of the one, or than `degree` others that it meets here, can't change its list.
+    """
+    worst = graph.select(F.col("node").alias("near"), F.when(F.size("ids") >= degree, F.element_at("d", -1)).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
+    halves = nodes.select(F.col("node").alias("near"), "half").join(worst, "near", "left")
+    meet = _kept(graph, inward).join(halves, "near").groupBy("node").agg(F.collect_list(F.struct("near", "half", "worst", "fresh")).alias("around"))
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -170,28 +188,38 @@ def _round(nodes: DataFrame, graph: DataFrame, degree: int, inward: int, offers:
                 around = whole.slice(start, 500).column("around")
                 ends = around.offsets.to_numpy()
                 flat = around.values
-                ids = flat.field("near").to_numpy()
-                x = np.stack([np.frombuffer(h, dtype=np.float16) for h in flat.field("half").slice(ends[0], ends[-1] - ends[0]).to_pylist()]).astype(np.float32)
-                to, near, far = [], [], []
+                ids, fresh = flat.field("near").to_numpy(), flat.field("fresh").to_numpy(zero_copy_only=False).astype(bool)
+                worst = flat.field("worst").to_numpy(zero_copy_only=False)
+                x = np.frombuffer(b"".join(flat.field("half").slice(ends[0], ends[-1] - ends[0]).to_pylist()), dtype=np.float16).reshape(ends[-1] - ends[0], -1).astype(np.float32)
+                to, near, far, sizes = [], [], [], []
                 for a, z in zip(ends[:-1], ends[1:]):
-                    if z - a > 1:
+                    if z - a > 1 and fresh[a:z].any():
                         own = ids[a:z]
-                        at, d = _nearest(_distances(x[a - ends[0] : z - ends[0]]), offers)
+                        d = _distances(x[a - ends[0] : z - ends[0]])
+                        d[~(fresh[a:z, None] | fresh[None, a:z])] = np.inf
+                        at, d = _nearest(d, degree)
+                        good = (d < worst[a:z, None]) & (d < np.inf)
                         to.append(own)
-                        near += list(own[at])
-                        far += list(d)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to) if to else [], pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float32()))], names=["node", "ids", "d"])
+                        sizes.append(good.sum(axis=1))
+                        near.append(own[at][good])
+                        far.append(d[good])
+                at = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if to else [0], pa.int32())
+                join = lambda parts: np.concatenate(parts) if parts else []
+                out = [pa.array(join(to), pa.int64()), pa.ListArray.from_arrays(at, pa.array(join(near), pa.int64())), pa.ListArray.from_arrays(at, pa.array(join(far), pa.float32()))]
+                yield pa.RecordBatch.from_arrays(out, names=["node", "ids", "d"])
 
-    offered = map_arrow(meet.select("around"), offer, "node long, ids array<long>, d array<float>")
-    return _merged(graph.select("node", "ids", "d").union(offered), degree)
+    offered = map_arrow(meet.select("around"), offer, "node long, ids array<long>, d array<float>").where(F.size("ids") > 0)
+    return _merged(graph.select("node", "ids", "d", F.lit(True).alias("old")).union(offered.withColumn("old", F.lit(False))), degree)
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = 200, step: int = 64, entries: int = SAMPLE, rerank: int = 64) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = 200, step: int = 64, entries: int = SAMPLE, rerank: int = 64, recall: float = 0.95, probes: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each of queries (query_id, v).
 
     Greedy search: `entries` nodes are the bounded set of entry points; of the best `beam` nodes of a
-    query, up to `step` not yet expanded are expanded at a time, until all are. The best `rerank`
-    nodes are measured in double precision. A query's own id isn't a candidate.
+    query, up to `step` not yet expanded are expanded at a time, until all are. For `probes` of the
+    queries the nearest of all nodes are measured; `beam` is doubled until the search finds the share
+    `recall` of these, or the beam holds all nodes. The best `rerank` nodes are measured in double
+    precision. A query's own id isn't a candidate.
     """
     chosen = nodes.orderBy(F.xxhash64(F.lit(1), "node"), "node").limit(entries).select("node", "half").collect()
     ids = np.array([r.node for r in chosen], dtype=np.int64)
@@ -224,19 +252,31 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
                 y = np.frombuffer(b"".join(b.column("other").to_pylist()), dtype=np.float16).reshape(b.num_rows, -1).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("node"), pa.array(((x - y) ** 2).sum(axis=1), pa.float32())], names=["query_id", "node", "d"])
 
-    while True:
-        todo = pools.select("query_id", F.slice(F.filter("pool", lambda e: ~e["done"]), 1, step).alias("next")).where(F.size("next") > 0)
-        if not todo.head(1):
+    def greedy(asked: DataFrame, pools: DataFrame, beam: int) -> DataFrame:
+        while True:
+            todo = pools.select("query_id", F.slice(F.filter("pool", lambda e: ~e["done"]), 1, step).alias("next")).where(F.size("next") > 0)
+            if not todo.head(1):
+                break
+            around = todo.select("query_id", F.explode("next.node").alias("node")).join(graph, "node").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("seen"))
+            fresh = pools.join(around, "query_id").select("query_id", F.explode(F.array_except("seen", F.col("pool.node"))).alias("node")).join(asked.select("query_id", "half"), "query_id")
+            found = map_arrow(fresh.join(halves, "node").select("query_id", "node", "half", "other"), measure, "query_id long, node long, d float")
+            new = found.groupBy("query_id").agg(F.collect_list(F.struct("d", "node", F.lit(False).alias("done"))).alias("new"))
+            joined = pools.join(todo, "query_id", "left").join(new, "query_id", "left")
+            none = F.array().cast(pool_type)
+            expanded = F.transform("pool", lambda e: F.struct(e["d"].alias("d"), e["node"].alias("node"), (e["done"] | F.array_contains(F.coalesce(F.col("next.node"), F.array().cast("array<long>")), e["node"])).alias("done")))
+            pools = stored(joined.select("query_id", F.slice(F.sort_array(F.concat(expanded, F.coalesce("new", none))), 1, beam).alias("pool")), "beam")
+        return pools
+
+    some = stored(state.orderBy(F.xxhash64(F.lit(2), "query_id"), "query_id").limit(probes), "beam")
+    asking = some.select("query_id", "half").collect()
+    total = nodes.count()
+    within = _scanned(nodes, [(r.query_id, np.frombuffer(r.half, dtype=np.float16)) for r in asking], k)
+    while asking and beam < total:
+        tried = greedy(some.select("query_id", "v", "half"), some.select("query_id", "pool"), beam).select("query_id", "pool.node").collect()
+        if sum(len(within[r.query_id].intersection(r.node)) for r in tried) >= recall * sum(map(len, within.values())):
             break
-        around = todo.select("query_id", F.explode("next.node").alias("node")).join(graph, "node").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("seen"))
-        fresh = pools.join(around, "query_id").select("query_id", F.explode(F.array_except("seen", F.col("pool.node"))).alias("node")).join(asked.select("query_id", "half"), "query_id")
-        found = map_arrow(fresh.join(halves, "node").select("query_id", "node", "half", "other"), measure, "query_id long, node long, d float")
-        new = found.groupBy("query_id").agg(F.collect_list(F.struct("d", "node", F.lit(False).alias("done"))).alias("new"))
-        joined = pools.join(todo, "query_id", "left").join(new, "query_id", "left")
-        none = F.array().cast(pool_type)
-        expanded = F.transform("pool", lambda e: F.struct(e["d"].alias("d"), e["node"].alias("node"), (e["done"] | F.array_contains(F.coalesce(F.col("next.node"), F.array().cast("array<long>")), e["node"])).alias("done")))
-        pools = stored(joined.select("query_id", F.slice(F.sort_array(F.concat(expanded, F.coalesce("new", none))), 1, beam).alias("pool")), "beam")
-
+        beam *= 2
+    pools = greedy(asked, pools, beam)
     best = pools.select("query_id", F.explode(F.slice("pool", 1, rerank)).alias("e")).select("query_id", F.col("e.node").alias("node"))
     pairs = best.join(nodes.select("node", F.col("v").alias("w"), "members"), "node").join(asked.select("query_id", "v"), "query_id")
 
@@ -253,6 +293,27 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _scanned(nodes: DataFrame, asking: list[tuple[int, np.ndarray]], k: int) -> dict[int, set[int]]:
+    """The k nearest nodes other than itself of each of a bounded number of queries, from all nodes."""
+    x = [(own, v.astype(np.float32)) for own, v in asking]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("node").to_numpy()
+            y = np.stack([np.frombuffer(h, dtype=np.float16) for h in b.column("half").to_pylist()]).astype(np.float32) if len(ids) else np.zeros((0, 1), np.float32)
+            for own, v in x:
+                d = ((y - v) ** 2).sum(axis=1) if y.shape[1] == len(v) else np.zeros(0)
+                best = np.lexsort((ids[: len(d)], d))[: k + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), own), pa.int64()), pa.array(ids[best], pa.int64()), pa.array(d[best], pa.float32())], names=["query_id", "node", "d"])
+
+    best = Window.partitionBy("query_id").orderBy("d", "node")
+    rows = map_arrow(nodes.select("node", "half"), run, "query_id long, node long, d float").where("node <> query_id").withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).collect()
+    found: dict[int, set[int]] = {own: set() for own, _ in asking}
+    for r in rows:
+        found[r.query_id].add(r.node)
+    return found
+
+
 def own_queries(vectors: DataFrame, every: int = 100, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, v: the stated query set, rows whose id is divisible by `every`, each id once."""
     clean = _clean(vectors, key, column)

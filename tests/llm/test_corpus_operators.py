@@ -213,3 +213,15 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2:3].isdigit()}) == list(range(1, 11)) and "pipeline" in names
+
+
+def test_neighbour_graph_has_no_fixed_caps(spark):
+    x = np.random.default_rng(5).normal(size=(1500, 32))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes, graph = nn_descent.index(table, inward=2)
+    assert graph.where(F.size("near") < 24).count() == 0  # a node keeps its own edges
+    got = defaultdict(set)
+    for r in nn_descent.search(nodes, graph, nn_descent.own_queries(table, every=30), beam=10, step=10, entries=20, probes=16).collect():
+        got[r.query_id].add(r.vec_id)
+    near = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) for q in range(0, 1500, 30)}
+    assert sum(len(near[q] & got[q]) for q in near) >= 0.9 * 10 * len(near)
