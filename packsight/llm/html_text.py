@@ -43,6 +43,8 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select"])),
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
+#: Any other opening tag ends an open head, and so does text.
+IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template".split())
 CLOSES_P = BLOCK | SPACED
 STOPS_P = frozenset(["td", "th", "table", "li", "button", "object", "caption", "div", "section", "article", "body", "html"])
 
@@ -64,17 +66,23 @@ def parse(page: str) -> Node:
     """The element tree of a page."""
     root = Node("#root", {})
     stack, at = [root], 0
+
+    def text(s: str) -> None:
+        if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
+            stack.pop()
+        stack[-1].children.append(s)
+
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None or m.start() > at:
-            stack[-1].children.append(page[at : m.start() if m else len(page)])
+            text(page[at : m.start() if m else len(page)])
         if m is None:
             break
         at = m.end()
         tag = m[2] and m[2].lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:].removesuffix("]]>"))
+                text(m[0][9:].removesuffix("]]>"))
             continue
         if m[1]:
             for depth in range(len(stack) - 1, 0, -1):
@@ -84,6 +92,8 @@ def parse(page: str) -> Node:
                 if tag not in BLOCK and stack[depth].tag in ("td", "th", "table"):
                     break  # an inline end tag doesn't leave its cell
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in CLOSES_P:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":

@@ -219,3 +219,17 @@ def test_digest_columns(spark):
     row = queries.op5_bpe(spark, DATA).orderBy("doc_id").first()
     text = spark.read.parquet(f"{DATA}/documents.parquet").where(F.col("doc_id") == row.doc_id).first().text
     assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><p>Hello", "Hello"),
+        ("<html><head><title>t</title> Hello <b>there</b>", "Hello there"),
+        ("<head><meta charset=utf-8><link rel=x href=y><style>p{}</style><script>a<b</script><noscript><p>no</p></noscript><div>one</div><p>two", "one\n\ntwo"),
+        ("<html><head> <title>t</title>\n</head>\n<body><p>Hello</body>", "Hello"),
+        ("<head><template><p>no</p></template><body>Hello", "Hello"),
+    ],
+)
+def test_head_without_its_end_tag(page, text):
+    assert html_text.render(page) == text
