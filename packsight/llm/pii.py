@@ -38,12 +38,12 @@ GENERATORS = {
     "email_spelled": r"(?i)(?<![A-Z0-9._-])[A-Z0-9._-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Z0-9-]{1,64}+(?:\x20?[\[(]dot[\])]\x20?[A-Z0-9-]{1,64}+)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?i)(?<![A-Z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key|key)\x20?[=:]\x20?[\"']?[A-Z0-9/+_.-]{6,200}+[\"']?",
+    "secret": r"(?i)(?<![A-Z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key|key)\x20?[=:]\x20?[\"']?[A-Z0-9/+_.-]{6,}+[\"']?",
 }
 KINDS = tuple(GENERATORS)
 BASE = KINDS[:4]
-#: A text without any of these characters has no candidate of the kind.
-_NEEDS = {"email": "@", "phone": "+", "email_spelled": "at", "secret": "[=:]"}
+#: A text without a match of this has no candidate of the kind.
+_NEEDS = {"email": "@", "phone": "+", "email_spelled": "(?i)at", "secret": "[=:]"}
 
 FEATURES = ("kind", "length", "digits", "letters", "digit_share", "distinct_share", "groups", "upper_share", "valid", "cue", "contrary", "glued")
 _CUES = r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|card|visa|account|acct|iban|ssn|social|security|id|password|passwd|token|secret|key|ip|address|login)\W{0,3}(?:no|number|nr|is)?\W{0,4}$"

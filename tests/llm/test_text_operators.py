@@ -233,3 +233,12 @@ def test_digest_columns(spark):
 )
 def test_head_without_its_end_tag(page, text):
     assert html_text.render(page) == text
+
+
+def test_pii_long_secrets_and_capitals(spark, model):
+    secret = "eyJhbGciOiJIUzI1NiJ9." + "aB3dE5fG7h" * 40
+    rows = spark.createDataFrame([(1, f"token = {secret} end"), (2, "JOHN [AT] MAIL [DOT] COM")], "doc_id long, text string")
+    got = {r.doc_id: r for r in rows.select("doc_id", *(pii._matches(F.col("text"), k)["value"].alias(k) for k in ("secret", "email_spelled"))).collect()}
+    assert got[1].secret == [f"token = {secret}"]
+    assert got[2].email_spelled == ["JOHN [AT] MAIL [DOT] COM"]
+    assert secret[-20:] not in pii.redact(rows, model=model).where("doc_id = 1").first().text
