@@ -8,7 +8,10 @@ none is replaced. Queries start at entry nodes and repeatedly expand the nearest
 expanded, until none of their best is left; how many best these are is settled by the recall of a
 sample of the queries, for which all nodes are measured.
 
-Distances within the graph are in single precision; the distances returned are in double precision.
+Distances within the graph are in single precision, from differences of scaled components; the
+distances returned are in double precision. Nodes that single precision can't tell from the last
+one that is kept or measured are kept and measured too. Components that all fit single precision are
+scaled without loss; others are taken relative to one of the vectors.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or
 non-finite component take no part; ties go to the smaller id; of equal vectors, as many members
@@ -18,11 +21,12 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, map_arrow, released, stored
@@ -41,8 +45,8 @@ def _clean(vectors: DataFrame, key: str, column: str) -> DataFrame:
 def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", degree: int = 24, inward: int = 32, trees: int = 4, settled: float = 0.02, most_members: int = 11, seed: int = 2) -> tuple[DataFrame, DataFrame]:
     """The nodes and the neighbour graph of all vectors.
 
-    nodes: node (the smallest id of equal vectors), v (components), half (the same in half precision,
-    packed), members (the first ids of the equal vectors). graph: node, near (ids of neighbours in
+    nodes: node (the smallest id of equal vectors), v (components), packed (the same less a centre,
+    scaled, in single precision), members (the first ids of the equal vectors). graph: node, near (ids of neighbours in
     either direction: `degree` own ones and at most `inward` of those that name it). Rounds end when
     one replaces at most the share `settled` of all neighbours.
     """
@@ -53,12 +57,15 @@ def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", de
     ranked = clean.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most_members)
     alike = ranked.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("members"))
 
+    base = stored(alike.select(F.col("members")[0].alias("node"), "v", "members"), "nodes")
+    centre, scale = _scaling(base)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float16).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in flat], pa.binary())], names=["node", "v", "members", "half"])
+            flat = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) * scale - centre
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in flat.astype(np.float32)], pa.binary())], names=["node", "v", "members", "packed"])
 
-    nodes = stored(map_arrow(alike.select(F.col("members")[0].alias("node"), "v", "members"), pack, "node long, v array<double>, members array<long>, half binary"), "nodes")
+    nodes = stored(map_arrow(base, pack, "node long, v array<double>, members array<long>, packed binary"), "nodes")
     graph = stored(_start(nodes, size.n if size else 1, degree, trees, seed), "graph")
     while True:
         held = graph.agg(F.sum(F.size("ids")).alias("all"), F.sum(F.size(F.filter("fresh", lambda x: x))).alias("fresh")).first()
@@ -71,6 +78,15 @@ def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", de
     return nodes, stored(both, "adjacency")
 
 
+def _scaling(nodes: DataFrame) -> tuple[np.ndarray, float]:
+    """What is taken from scaled components, and the power of two that scales them to at most 1."""
+    row = nodes.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top"), F.bool_and(F.forall("v", lambda x: x.cast("float").cast("double") == x)).alias("single")).first()
+    scale = float(np.ldexp(1.0, -int(np.clip(np.frexp(row.top or 1.0)[1], -1000, 1000))))
+    if row.top is None or row.single:
+        return np.zeros(1), scale
+    return np.array(nodes.orderBy(F.xxhash64("node"), "node").first().v) * scale, scale
+
+
 def _merged(lists: DataFrame, degree: int) -> DataFrame:
     """node, ids, d, fresh: the nearest of all lists of a node; a neighbour of no list with old ones is fresh."""
 
@@ -103,8 +119,7 @@ def _merged(lists: DataFrame, degree: int) -> DataFrame:
 
 def _distances(x: np.ndarray) -> np.ndarray:
     """Squared distances between all rows, infinite on the diagonal."""
-    s = (x * x).sum(axis=1)
-    d = np.maximum(0, s[:, None] - 2 * (x @ x.T) + s[None])
+    d = np.concatenate([((x[k : k + 32, None] - x[None]) ** 2).sum(axis=2) for k in range(0, len(x), 32)])
     np.fill_diagonal(d, np.inf)
     return d
 
@@ -124,17 +139,17 @@ def _start(nodes: DataFrame, width: int, degree: int, trees: int, seed: int) ->
     rng = np.random.default_rng(seed)
     bits = max(1, int(np.ceil(np.log2(max(2, n / LEAF)))))
     planes = rng.normal(size=(trees, bits + 1, width)).astype(np.float32)
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("half").collect()
-    drawn = np.stack([np.frombuffer(r.half, dtype=np.float16).astype(np.float32) for r in sample]) if sample else np.zeros((1, width), np.float32)
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("packed").collect()
+    drawn = np.stack([np.frombuffer(r.packed, dtype=np.float32) for r in sample]) if sample else np.zeros((1, width), np.float32)
     medians = np.stack([np.median(drawn @ p[:bits].T, axis=0) for p in planes])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.stack([np.frombuffer(h, dtype=np.float16) for h in b.column("half").to_pylist()]).astype(np.float32)
+            x = np.stack([np.frombuffer(h, dtype=np.float32) for h in b.column("packed").to_pylist()])
             for t in range(trees):
                 z = x @ planes[t].T
                 code = ((z[:, :bits] > medians[t]) * (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(code, pa.int64()), pa.array(z[:, bits], pa.float32()), b.column("node"), b.column("half")], names=["tree", "code", "along", "node", "half"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(code, pa.int64()), pa.array(z[:, bits], pa.float32()), b.column("node"), b.column("packed")], names=["tree", "code", "along", "node", "packed"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -149,7 +164,7 @@ def _start(nodes: DataFrame, width: int, degree: int, trees: int, seed: int) ->
 
     def block(t: pa.Table) -> pa.RecordBatch:
         ids = t.column("node").to_numpy()
-        x = np.stack([np.frombuffer(h, dtype=np.float16) for h in t.column("half").to_pylist()]).astype(np.float32)
+        x = np.stack([np.frombuffer(h, dtype=np.float32) for h in t.column("packed").to_pylist()])
         d = _distances(x)
         d[ids[:, None] == ids[None]] = np.inf
         if len(ids) < 2:
@@ -159,7 +174,7 @@ def _start(nodes: DataFrame, width: int, degree: int, trees: int, seed: int) ->
             near, far = ids[at].tolist(), far.tolist()
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float32()))], names=["node", "ids", "d"])
 
-    placed = map_arrow(nodes.select("node", "half"), place, "tree int, code long, along float, node long, half binary")
+    placed = map_arrow(nodes.select("node", "packed"), place, "tree int, code long, along float, node long, packed binary")
     ordered = placed.repartitionByRange("tree", "code", "along", "node").sortWithinPartitions("tree", "code", "along", "node")
     return _merged(map_arrow(ordered, blocks, "node long, ids array<long>, d array<float>").withColumn("old", F.lit(False)), degree)
 
@@ -179,8 +194,8 @@ def _round(nodes: DataFrame, graph: DataFrame, degree: int, inward: int) -> Data
     of the one, or than `degree` others that it meets here, can't change its list.
     """
     worst = graph.select(F.col("node").alias("near"), F.when(F.size("ids") >= degree, F.element_at("d", -1)).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-    halves = nodes.select(F.col("node").alias("near"), "half").join(worst, "near", "left")
-    meet = _kept(graph, inward).join(halves, "near").groupBy("node").agg(F.collect_list(F.struct("near", "half", "worst", "fresh")).alias("around"))
+    packed = nodes.select(F.col("node").alias("near"), "packed").join(worst, "near", "left")
+    meet = _kept(graph, inward).join(packed, "near").groupBy("node").agg(F.collect_list(F.struct("near", "packed", "worst", "fresh")).alias("around"))
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -190,7 +205,7 @@ def _round(nodes: DataFrame, graph: DataFrame, degree: int, inward: int) -> Data
                 flat = around.values
                 ids, fresh = flat.field("near").to_numpy(), flat.field("fresh").to_numpy(zero_copy_only=False).astype(bool)
                 worst = flat.field("worst").to_numpy(zero_copy_only=False)
-                x = np.frombuffer(b"".join(flat.field("half").slice(ends[0], ends[-1] - ends[0]).to_pylist()), dtype=np.float16).reshape(ends[-1] - ends[0], -1).astype(np.float32)
+                x = np.frombuffer(b"".join(flat.field("packed").slice(ends[0], ends[-1] - ends[0]).to_pylist()), dtype=np.float32).reshape(ends[-1] - ends[0], -1)
                 to, near, far, sizes = [], [], [], []
                 for a, z in zip(ends[:-1], ends[1:]):
                     if z - a > 1 and fresh[a:z].any():
@@ -218,66 +233,73 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
     Greedy search: `entries` nodes are the bounded set of entry points; of the best `beam` nodes of a
     query, up to `step` not yet expanded are expanded at a time, until all are. For `probes` of the
     queries the nearest of all nodes are measured; `beam` is doubled until the search finds the share
-    `recall` of these, or the beam holds all nodes. The best `rerank` nodes are measured in double
-    precision. A query's own id isn't a candidate.
+    `recall` of these, or the beam holds all nodes. The best `rerank` nodes, and all that tie
+    with the last, are measured in double precision. A query's own id isn't a candidate.
     """
-    chosen = nodes.orderBy(F.xxhash64(F.lit(1), "node"), "node").limit(entries).select("node", "half").collect()
+    chosen = nodes.orderBy(F.xxhash64(F.lit(1), "node"), "node").limit(entries).select("node", "packed").collect()
     ids = np.array([r.node for r in chosen], dtype=np.int64)
-    points = np.stack([np.frombuffer(r.half, dtype=np.float16) for r in chosen]).astype(np.float32) if chosen else np.zeros((0, 1), np.float32)
+    points = np.stack([np.frombuffer(r.packed, dtype=np.float32) for r in chosen]) if chosen else np.zeros((0, 1), np.float32)
+    centre, scale = _scaling(nodes)
+    # Rounding moves a scaled vector by less than this; sums of squares are off by less than a ten-thousandth.
+    blur = 0.0 if not centre.any() else 2.0**-22 * math.sqrt(points.shape[1])
     pool_type = "array<struct<d:float,node:long,done:boolean>>"
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = (points * points).sum(axis=1)
         for b in batches:
-            halves, pools = [], []
+            packed, pools = [], []
             for v in b.column("v").to_pylist():
-                x = np.array(v, dtype=np.float16)
-                halves.append(x.tobytes())
-                x = x.astype(np.float32)
-                d = np.maximum(0, s - 2 * (points @ x) + x @ x) if len(points) and points.shape[1] == len(x) else np.zeros(0)
+                x = np.array(v)
+                x = (x * scale - (centre if len(centre) in (1, len(x)) else 0)).astype(np.float32)
+                packed.append(x.tobytes())
+                d = ((points - x) ** 2).sum(axis=1) if len(points) and points.shape[1] == len(x) else np.zeros(0)
                 best = np.argsort(d, kind="stable")[:step]
                 pools.append([{"d": float(d[a]), "node": int(ids[a]), "done": False} for a in best])
             kind = pa.list_(pa.struct([("d", pa.float32()), ("node", pa.int64()), ("done", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("v"), pa.array(halves, pa.binary()), pa.array(pools, kind)], names=["query_id", "v", "half", "pool"])
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("v"), pa.array(packed, pa.binary()), pa.array(pools, kind)], names=["query_id", "v", "packed", "pool"])
 
-    state = stored(map_arrow(queries.select("query_id", "v"), enter, f"query_id long, v array<double>, half binary, pool {pool_type}"), "beam")
-    asked = state.select("query_id", "v", "half")
+    state = stored(map_arrow(queries.select("query_id", "v"), enter, f"query_id long, v array<double>, packed binary, pool {pool_type}"), "beam")
+    asked = state.select("query_id", "v", "packed")
     pools = state.select("query_id", "pool")
-    halves = nodes.select("node", F.col("half").alias("other"))
+    packed = nodes.select("node", F.col("packed").alias("other"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.frombuffer(b"".join(b.column("half").to_pylist()), dtype=np.float16).reshape(b.num_rows, -1).astype(np.float32)
-                y = np.frombuffer(b"".join(b.column("other").to_pylist()), dtype=np.float16).reshape(b.num_rows, -1).astype(np.float32)
+                x = np.frombuffer(b"".join(b.column("packed").to_pylist()), dtype=np.float32).reshape(b.num_rows, -1)
+                y = np.frombuffer(b"".join(b.column("other").to_pylist()), dtype=np.float32).reshape(b.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("node"), pa.array(((x - y) ** 2).sum(axis=1), pa.float32())], names=["query_id", "node", "d"])
 
+    def first(pool: Column, n: int) -> Column:
+        """The n nearest of a pool in order, and those that rounding may have put behind the last."""
+        last = F.sqrt(F.try_element_at(pool, F.lit(n))["d"].cast("double")) * 1.0001 + blur
+        return F.filter(pool, lambda e: F.coalesce(F.sqrt(e["d"].cast("double")) <= last, F.lit(True)))
+
     def greedy(asked: DataFrame, pools: DataFrame, beam: int) -> DataFrame:
         while True:
             todo = pools.select("query_id", F.slice(F.filter("pool", lambda e: ~e["done"]), 1, step).alias("next")).where(F.size("next") > 0)
             if not todo.head(1):
                 break
             around = todo.select("query_id", F.explode("next.node").alias("node")).join(graph, "node").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("seen"))
-            fresh = pools.join(around, "query_id").select("query_id", F.explode(F.array_except("seen", F.col("pool.node"))).alias("node")).join(asked.select("query_id", "half"), "query_id")
-            found = map_arrow(fresh.join(halves, "node").select("query_id", "node", "half", "other"), measure, "query_id long, node long, d float")
+            fresh = pools.join(around, "query_id").select("query_id", F.explode(F.array_except("seen", F.col("pool.node"))).alias("node")).join(asked.select("query_id", "packed"), "query_id")
+            found = map_arrow(fresh.join(packed, "node").select("query_id", "node", "packed", "other"), measure, "query_id long, node long, d float")
             new = found.groupBy("query_id").agg(F.collect_list(F.struct("d", "node", F.lit(False).alias("done"))).alias("new"))
             joined = pools.join(todo, "query_id", "left").join(new, "query_id", "left")
             none = F.array().cast(pool_type)
             expanded = F.transform("pool", lambda e: F.struct(e["d"].alias("d"), e["node"].alias("node"), (e["done"] | F.array_contains(F.coalesce(F.col("next.node"), F.array().cast("array<long>")), e["node"])).alias("done")))
-            pools = stored(joined.select("query_id", F.slice(F.sort_array(F.concat(expanded, F.coalesce("new", none))), 1, beam).alias("pool")), "beam")
+            pools = stored(joined.select("query_id", first(F.sort_array(F.concat(expanded, F.coalesce("new", none))), beam).alias("pool")), "beam")
         return pools
 
     some = stored(state.orderBy(F.xxhash64(F.lit(2), "query_id"), "query_id").limit(probes), "beam")
-    asking = some.select("query_id", "half").collect()
+    asking = some.select("query_id", "packed").collect()
     total = nodes.count()
-    within = _scanned(nodes, [(r.query_id, np.frombuffer(r.half, dtype=np.float16)) for r in asking], k)
+    within = _scanned(nodes, [(r.query_id, np.frombuffer(r.packed, dtype=np.float32)) for r in asking], k)
     while asking and beam < total:
-        tried = greedy(some.select("query_id", "v", "half"), some.select("query_id", "pool"), beam).select("query_id", "pool.node").collect()
+        tried = greedy(some.select("query_id", "v", "packed"), some.select("query_id", "pool"), beam).select("query_id", "pool.node").collect()
         if sum(len(within[r.query_id].intersection(r.node)) for r in tried) >= recall * sum(map(len, within.values())):
             break
         beam *= 2
     pools = greedy(asked, pools, beam)
-    best = pools.select("query_id", F.explode(F.slice("pool", 1, rerank)).alias("e")).select("query_id", F.col("e.node").alias("node"))
+    best = pools.select("query_id", F.explode(first(F.col("pool"), rerank)).alias("e")).select("query_id", F.col("e.node").alias("node"))
     pairs = best.join(nodes.select("node", F.col("v").alias("w"), "members"), "node").join(asked.select("query_id", "v"), "query_id")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +307,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
             if b.num_rows:
                 x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 y = b.column("w").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("members"), pa.array(np.sqrt(((x - y) ** 2).sum(axis=1)), pa.float64())], names=["query_id", "members", "score"])
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("members"), pa.array(np.sqrt(((x * scale - y * scale) ** 2).sum(axis=1)) / scale, pa.float64())], names=["query_id", "members", "score"])
 
     measured = map_arrow(pairs.select("query_id", "v", "w", "members"), exact, "query_id long, members array<long>, score double")
     each = measured.select("query_id", F.explode("members").alias("vec_id"), "score").where("vec_id <> query_id")
@@ -300,14 +322,14 @@ def _scanned(nodes: DataFrame, asking: list[tuple[int, np.ndarray]], k: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("node").to_numpy()
-            y = np.stack([np.frombuffer(h, dtype=np.float16) for h in b.column("half").to_pylist()]).astype(np.float32) if len(ids) else np.zeros((0, 1), np.float32)
+            y = np.stack([np.frombuffer(h, dtype=np.float32) for h in b.column("packed").to_pylist()]) if len(ids) else np.zeros((0, 1), np.float32)
             for own, v in x:
                 d = ((y - v) ** 2).sum(axis=1) if y.shape[1] == len(v) else np.zeros(0)
                 best = np.lexsort((ids[: len(d)], d))[: k + 1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), own), pa.int64()), pa.array(ids[best], pa.int64()), pa.array(d[best], pa.float32())], names=["query_id", "node", "d"])
 
     best = Window.partitionBy("query_id").orderBy("d", "node")
-    rows = map_arrow(nodes.select("node", "half"), run, "query_id long, node long, d float").where("node <> query_id").withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).collect()
+    rows = map_arrow(nodes.select("node", "packed"), run, "query_id long, node long, d float").where("node <> query_id").withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).collect()
     found: dict[int, set[int]] = {own: set() for own, _ in asking}
     for r in rows:
         found[r.query_id].add(r.node)

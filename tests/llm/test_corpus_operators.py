@@ -225,3 +225,17 @@ def test_neighbour_graph_has_no_fixed_caps(spark):
         got[r.query_id].add(r.vec_id)
     near = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) for q in range(0, 1500, 30)}
     assert sum(len(near[q] & got[q]) for q in near) >= 0.9 * 10 * len(near)
+
+
+def test_neighbours_in_a_dense_group(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16))
+    x[:120] = x[0] + rng.normal(size=(120, 16)) * 1e-5
+    x *= 1e6
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes, graph = nn_descent.index(table)
+    got = defaultdict(set)
+    for r in nn_descent.search(nodes, graph, nn_descent.own_queries(table, every=20), probes=8).collect():
+        got[r.query_id].add(r.vec_id)
+    near = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) for q in range(0, 300, 20)}
+    assert sum(len(near[q] & got[q]) for q in near) >= 0.95 * 10 * len(near)
