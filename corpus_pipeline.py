@@ -5,8 +5,8 @@ and read again as the next one's docs. All but the last return the columns of do
 
 Defined results: null and empty texts are scored, compared, searched and encoded as empty texts
 (an empty document is linked with nothing); repeated rows of a document count as copies of it, of
-which one stays; a null doc_id is kept like any other document without copies; extra columns of the
-input are dropped; empty tables give empty results.
+which one stays; documents without a doc_id are compared like others; extra columns of the input are
+dropped; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,13 +31,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles with a Jaccard of 0.8 or more link."""
+    """One document of each group that five-word shingles with a Jaccard of 0.8 or more link.
+
+    Of a group the smallest doc_id stays, a null last; documents without words all stay.
+    """
     docs = docs.select(*COLUMNS)
     linked = ngram_join.link(docs, 5, Fraction(4, 5))
-    first = linked.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first.hint("merge"), docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
-    return kept.withColumn("__k", F.row_number().over(again)).where("__k = 1 or doc_id is null").select(*COLUMNS)
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    first = linked.where("group is not null").groupBy("group").agg(F.min(order)["row"].alias("__row")).select("__row")
+    alone = linked.where("group is null").select(F.col("row").alias("__row")).distinct()
+    kept = docs.withColumn("__row", ngram_join.row_hash(docs)).join(first.union(alone).hint("merge"), "__row")
+    again = Window.partitionBy("__row", "doc_id").orderBy("lang", "source", "n_chars")
+    return kept.withColumn("__k", F.row_number().over(again)).where("__k = 1").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,16 +56,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words take no part in a mix and stay once.
     """
-    docs = stored(docs.select(*COLUMNS), "mixture_input")
-    mixed, listed = mixing.mix(docs)
-    uses = mixed.where("from_word = 0").groupBy("row").agg(F.countDistinct("pass").alias("uses"))
-    times = listed.select("row", "doc_id", "source", "size").join(uses, "row", "left").select("doc_id", "source", F.when(F.col("size") == 0, 1).otherwise(F.coalesce("uses", F.lit(0))).alias("uses"))
-    # Repeated rows of a document are alike to the mix: their uses are dealt out in any order.
-    one = Window.partitionBy("doc_id", "source").orderBy(F.desc("uses"))
-    dealt = times.withColumn("__k", F.row_number().over(one)).where("uses > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__k", "uses")
-    numbered = docs.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("text")))
-    same = numbered["doc_id"].eqNullSafe(dealt["__id"]) & numbered["source"].eqNullSafe(dealt["__source"]) & (numbered["__n"] == dealt["__k"])
-    return numbered.join(dealt.hint("merge"), same).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))).alias("__use")).select(*COLUMNS)
+    docs = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "mixture_input")
+    mixed, listed = mixing.mix(docs, row="__row")
+    starts = mixed.where("from_word = 0").groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("__uses"))
+    times = listed.select(F.col("row").alias("__row"), "size").join(starts, "__row", "left").select("__row", F.when(F.col("size") == 0, 1).otherwise(F.coalesce("__uses", F.lit(0))).cast("int").alias("__uses"))
+    used = docs.join(times.where("__uses > 0").hint("merge"), "__row")
+    return used.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("__uses"))).alias("__use")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,12 +61,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files are deleted when the application ends.
+    few: rows are dealt anew first, so that a small table is one file and not one a task. The files
+    are deleted when the application ends.
     """
     spark = df.sparkSession
+    if few:
+        df = df.hint("rebalance")
     path = f"{shared_dir(spark)}/packsight/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,23 +4,27 @@ The documents of a source are shuffled by a hash and laid end to end; the stream
 of equally many words. Slot i of the mix belongs to the source in whose share of the unit interval
 the golden-ratio point frac(i * phi) falls; the k-th slot of a source takes the k-th block of its
 stream, which starts again once it is used up. A last slot is cut so that a source gives exactly
-its target. Points are 32-bit integers, so that every machine gives the same schedule.
+its target. Points are 40-bit integers, so that every machine gives the same schedule; prefix sums
+are taken in two levels, so that no task orders the documents or slots of a source.
 
 Defined results: a null text has size 0; sources are ordered by code point with null last; a
-document without words takes part with nothing; repeated rows are documents of their own; empty
-tables give empty mixes.
+document without words takes part with nothing; repeated rows are documents of their own, of which
+any may come first; null and repeated ids are shuffled by their texts; very long texts are cut into
+blocks like others; empty tables give empty mixes; other columns of the input are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored
 
-GOLDEN = 2654435769  # floor(2**32 / phi), odd: i -> i * GOLDEN mod 2**32 meets every point once
+POINTS = 2**40  # points of the schedule, and slots that it can have
+GOLDEN = int(POINTS * (5**0.5 - 1) / 2) | 1  # odd: i -> i * GOLDEN mod POINTS meets every point once
 CELLS = 4096  # equal parts of the unit interval by which slots meet their sources
 CHUNK = 4096  # slots that are ranked together
+SPAN = 4096  # rows that are summed together in a prefix sum
 BUCKET = 1024  # documents of a source that are laid out together
 
 
@@ -47,21 +51,39 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return leveled.select("source", "number", "n_docs", "source_size", F.when(full, F.col("cap")).otherwise(F.least("cap", free["level"] * F.col("weight"))).alias("target"))
 
 
+def _point(slot: Column) -> Column:
+    """slot * GOLDEN mod POINTS, in two halves of 20 bits so that no product exceeds 64 bits."""
+    low, high = slot.bitwiseAND(2**20 - 1), F.shiftright(slot, 20).bitwiseAND(2**20 - 1)
+    return (low * GOLDEN + F.shiftleft(high * (GOLDEN % 2**20) % 2**20, 20)).bitwiseAND(POINTS - 1)
+
+
+def _before(rows: DataFrame, at: str, value: str, into: str) -> DataFrame:
+    """rows plus the sum of value over the rows of the same number that come earlier by `at`."""
+    running = lambda by, order, x: F.coalesce(F.sum(x).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wide = rows.withColumn("__far", F.expr(f"{at} div {SPAN}"))
+    far = wide.groupBy("number", "__far").agg(F.sum(value).alias("__sum"))
+    base = far.select("number", "__far", running(["number"], "__far", "__sum").alias("__base"))
+    near = wide.withColumn(into, running(["number", "__far"], at, value))
+    return near.join(base, ["number", "__far"]).withColumn(into, F.col(into) + F.col("__base")).drop("__far", "__base")
+
+
 def _slots(targets: DataFrame, block: int) -> DataFrame:
     """The schedule: position of each slot in the mix, its source's number and rank."""
     spark = targets.sparkSession
     asked = targets.select("number", F.floor("target").cast("long").alias("words")).withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
     n = asked.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    if n > POINTS:
+        raise ValueError(f"{n} slots; block_words has to be raised to keep them to 2**40")
     until = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edge = F.floor(F.sum("words").over(until) / F.greatest(F.lit(1), F.sum("words").over(everything)) * 2.0**32).cast("long")
+    edge = F.floor(F.sum("words").over(until) / F.greatest(F.lit(1), F.sum("words").over(everything)) * float(POINTS)).cast("long")
     edges = asked.select("*", edge.alias("high")).withColumn("low", F.lag("high", 1, 0).over(Window.orderBy("number")))
-    width = 2**32 // CELLS
+    width = POINTS // CELLS
     spans = edges.where("high > low").select("number", "low", "high", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))).alias("cell"))
-    points = spark.range(n).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN % 2**32).alias("point")).withColumn("cell", F.expr(f"point div {width}"))
+    points = spark.range(n).select(F.col("id").alias("slot"), _point(F.col("id")).alias("point")).withColumn("cell", F.expr(f"point div {width}"))
     drawn = points.join(spans, "cell").where("point >= low and point < high").select("slot", "number", F.expr(f"slot div {CHUNK}").alias("chunk"))
     counts = drawn.groupBy("number", "chunk").count()
-    offsets = counts.select("number", "chunk", F.coalesce(F.sum("count").over(Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    offsets = _before(counts, "chunk", "count", "offset").select("number", "chunk", "offset")
     ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("number", "chunk").orderBy("slot")) - 1).join(offsets, ["number", "chunk"]).select("slot", "number", (F.col("offset") + F.col("k")).alias("rank"))
     # A source that the points gave a block or two too few gets them after the others.
     given = counts.groupBy("number").agg(F.sum("count").alias("given"))
@@ -70,25 +92,26 @@ def _slots(targets: DataFrame, block: int) -> DataFrame:
     return ranked.unionByName(late)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block_words: int = 64, seed: int = 20) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block_words: int = 64, seed: int = 20, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix of docs (doc_id, text, source), and the documents with their sources' targets.
 
     The mix has one row for each part of a document in a block: slot, row, doc_id, pass (0 for the
     first use of the document), from_word, to_word. The documents have row, doc_id, source, size,
-    source_size and target; `row` tells repeated rows apart.
+    source_size and target; `row` tells repeated rows apart: a column of docs, if one is named.
 
-    block_words is the schedule's grain; it must keep the number of slots below 2**31.
+    block_words is the schedule's grain; there can be up to 2**40 slots.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = stored(docs.select("doc_id", "source", size.alias("size")).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    hash_ = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    numbers = F.monotonically_increasing_id() if row is None else F.col(row)
+    sizes = stored(docs.select("doc_id", "source", size.alias("size"), hash_.alias("hash"), numbers.alias("row")), "sizes")
     targets = stored(source_targets(sizes, weights, share, most), "targets")
-    documents = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("row", "doc_id", sizes["source"], "size", "number", "n_docs", "source_size", "target")
+    documents = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("row", "doc_id", sizes["source"], "size", "hash", "number", "n_docs", "source_size", "target")
 
-    hashed = documents.withColumn("hash", F.xxhash64(F.lit(seed), F.col("doc_id")))
     buckets = F.ceil(F.col("n_docs") / BUCKET).cast("long")
-    placed = hashed.withColumn("bucket", F.shiftright(F.shiftrightunsigned("hash", 33) * buckets, 31))
+    placed = documents.withColumn("bucket", F.shiftright(F.shiftrightunsigned("hash", 33) * buckets, 31))
     held = placed.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
-    starts = held.select("number", "bucket", F.coalesce(F.sum("words").over(Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    starts = _before(held, "bucket", "words", "start").select("number", "bucket", "start")
     inside = Window.partitionBy("number", "bucket").orderBy(F.shiftrightunsigned("hash", 1), "doc_id", "size", "row")
     laid = placed.withColumn("ahead", F.sum("size").over(inside) - F.col("size")).join(starts, ["number", "bucket"])
     used = (

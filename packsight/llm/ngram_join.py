@@ -2,28 +2,32 @@
 
 The global order of n-grams is the order of their 64-bit hashes, and it is cut into fragments.
 
-1. Buckets. Two sets with Jaccard >= p/q differ in at most (|x|+|y|)(q-p)/(q+p) n-grams. With more
-   fragments than that (the number depends on the size class), one fragment at least is the same in
-   both, so documents that share a fragment's digest meet in a bucket. Some more fragments are used
-   than needed, so that fragments with too few n-grams can be passed over. Buckets are gathered in
-   rounds over the digests, which bounds the disk that shuffles need.
-2. Candidates. A bucket of at most SOLO members gives its pairs. A larger bucket isn't expanded: its
-   members are compared with its leader, the member that meets most others, so near copies of one
-   document all meet the same leader. Pairs of small buckets are dropped where their parity bitmaps
-   differ in more bits than linked sets can: a bit can't differ without an n-gram that does.
-3. Overlaps. The order is cut into vertical parts; each pair's overlap is counted part by part and
-   summed. The same pass gives each member's difference from the leader of its large bucket.
-4. The rest. Two members of a large bucket that aren't yet connected can only be linked if their
-   differences from their leader share an n-gram early in the order (prefix filter); such pairs are
-   verified too.
-
-No link is lost, and the work follows the number of documents, not the number of pairs in a group.
+1. Buckets. Two sets with Jaccard >= p/q differ in at most (|x|+|y|)(q-p)/(q+p) n-grams. There are
+   more fragments than that (the number depends on the size class), so the sets agree in several of
+   them, and documents that share a fragment's digest meet in a bucket. Fragments with too few
+   n-grams are passed over; there are some to spare for that. Buckets are gathered in rounds over
+   the digests, which bounds the disk that shuffles need.
+2. Counts. A set must share as many fragments as a linked set has to agree in; sets that only have a
+   passage in common with others share fewer, and leave the buckets.
+3. Stars. The members of a bucket are compared with its leader, the member that meets most others, so
+   near copies of one document all meet the same leader, and a bucket gives fewer pairs than members.
+   Pairs are dropped where their parity bitmaps differ in more bits than linked sets can: a bit
+   can't differ without an n-gram that does.
+4. Overlaps. The order is cut into vertical parts; each pair's overlap is counted part by part and
+   summed.
+5. The rest. Members of a bucket that isn't connected by now meet again by a prefix filter among
+   themselves: their n-grams are put in order from the rarest on, and two linked sets share one
+   early in that order. Pairs that aren't connected yet are verified too.
+
+No link between components is lost, and a group of near copies costs as many pairs as it has members.
 Sets are identified by a 64-bit sum of their hashes (two different sets of 10^8 documents agree by
 chance with a probability of about 3e-4).
 
 Defined results: null and empty texts have an empty set and are linked with nothing; a text with
 fewer words than n has its whole sequence as its one n-gram; equal sets are linked; repeated rows
-give repeated rows; a null doc_id never becomes a component's id unless there is no other.
+give repeated rows; rows without a doc_id are linked like any others, but a null never becomes a
+component's id unless there is no other; very long texts are read whole; an empty table gives an
+empty one; other columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, map_arrow, pieces, released, stored, utf8
@@ -41,7 +45,6 @@ from .components import components
 
 VERTICAL = 8  # parts of the order in which overlaps are counted
 PASSES = ((4, 5), (6, 7), (0, 1), (2, 3))  # parts that are joined at a time, in the order of signed hashes
-SOLO = 16  # members up to which a bucket gives its pairs
 ROUNDS = 4  # rounds in which buckets are gathered
 KEPT = 400_000  # words whose hashes, and sets whose digests, a task remembers
 
@@ -93,24 +96,32 @@ class Fragments:
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, self.edges[-1] * 3 // 2))
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        n = len(s)
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Digests of a set's fragments, and how many of them a linked set shares at least.
+
+        A set has one level or two neighbouring ones; a digest's last bit is its level's parity, and
+        the two counts are by that parity.
+        """
+        n, need = len(s), [0, 0]
         own = int(np.searchsorted(self.edges, n, side="right")) - 1
-        levels = [own, own + 1] if n * self.q // self.p >= self.edges[own + 1] else [own]
-        return np.concatenate([self._at(s, level) for level in levels])
-
-    def _at(self, s: np.ndarray, level: int) -> np.ndarray:
-        differ = 2 * (self.edges[level + 1] - 1) * (self.q - self.p) // (self.q + self.p)
-        spare = (self.extra + differ * self.share // 100) if differ else 0
-        count = differ + 1 + spare
-        part = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-        sizes = np.bincount(part.astype(np.int64), minlength=count)
-        total = np.zeros(count, dtype=np.uint64)
-        full = np.flatnonzero(sizes)
-        total[full] = np.add.reduceat(_mix(s + np.uint64(level)), (np.cumsum(sizes) - sizes)[full])
-        small = sizes < self.small
-        at = np.arange(count) if small.sum() > spare else np.flatnonzero(~small)
-        return _mix(total[at] + _mix(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level + 1)))
+        found = []
+        for level in [own, own + 1] if n * self.q // self.p >= self.edges[own + 1] else [own]:
+            most = self.edges[level + 1] - 1
+            differ = 2 * most * (self.q - self.p) // (self.q + self.p)
+            spare = (self.extra + differ * self.share // 100) if differ else 0
+            count = differ + 1 + spare
+            part = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+            sizes = np.bincount(part.astype(np.int64), minlength=count)
+            total = np.zeros(count, dtype=np.uint64)
+            full = np.flatnonzero(sizes)
+            total[full] = np.add.reduceat(_mix(s + np.uint64(level)), (np.cumsum(sizes) - sizes)[full])
+            small = sizes < self.small
+            at = np.arange(count) if small.sum() > spare else np.flatnonzero(~small)
+            digest = _mix(total[at] + _mix(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level + 1)))
+            found.append(digest & ~np.uint64(1) | np.uint64(level & 1))
+            apart = (n + min(most, n * self.q // self.p)) * (self.q - self.p) // (self.q + self.p)
+            need[level & 1] = max(1, count - apart - int(small.sum()))
+        return np.concatenate(found), need
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -121,45 +132,60 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """doc_id, size of the set, its digest (null for an empty set), its bitmap and its bucket keys.
+    """doc_id, row (a hash of id and text), size of the set, its digest (null for an empty set), its
+    bitmap, its bucket keys and the numbers of them that it must share.
 
     A set that the task has met before gets no bitmap and no keys: its digest has them already.
     """
-    schema = docs.select("doc_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("sig"), F.array().cast("array<long>").alias("bits"), F.array().cast("array<long>").alias("keys")).schema
+    longs, none = F.array().cast("array<long>"), F.lit(None).cast("long")
+    schema = docs.select("doc_id", none.alias("row"), F.lit(0).cast("long").alias("n"), none.alias("sig"), longs.alias("bits"), longs.alias("keys"), longs.alias("need")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, fragments, empty = _Words(), set(), Fragments(p, q), np.zeros(0, np.uint64)
+        known, seen, fragments, empty = _Words(), set(), Fragments(p, q), np.zeros(0, np.int64)
         for batch in pieces(batches, "text"):
-            sizes, digests, bits, keys = [], [], [], []
+            sizes, digests, bits, keys, needs = [], [], [], [], []
             for data in utf8(batch.column("text")).to_pylist():
                 s = shingles(data or b"", n, known)
                 digest = int(_mix(s).sum().view(np.int64)) if len(s) else None
-                new = digest is not None and digest not in seen
-                if new:
+                sizes.append(len(s))
+                digests.append(digest)
+                if digest is None or digest in seen:
+                    own = empty, empty, []
+                else:
                     if len(seen) >= KEPT:
                         seen.clear()
                     seen.add(digest)
-                sizes.append(len(s))
-                digests.append(digest)
-                bits.append(bitmap(s) if new else empty.view(np.int64))
-                keys.append(fragments.keys(s).view(np.int64) if new else empty.view(np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate(x))) for x in (bits, keys)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), *lists], names=["doc_id", "n", "sig", "bits", "keys"])
+                    found, need = fragments.keys(s)
+                    own = bitmap(s), found.view(np.int64), need
+                for held, x in zip((bits, keys, needs), own):
+                    held.append(x)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate(x), pa.int64())) for x in (bits, keys, needs)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), *lists], names=["doc_id", "row", "n", "sig", "bits", "keys", "need"])
+
+    return map_arrow(docs.select("doc_id", row_hash(docs).alias("row"), "text"), run, schema)
+
 
-    return map_arrow(docs.select("doc_id", "text"), run, schema)
+def row_hash(docs: DataFrame) -> Column:
+    """The `row` of each of docs (doc_id, text); rows of the same id and text have the same."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """sig, part, items: the vertical parts of the sets in wanted (doc_id, sig)."""
+    """sig, part, items: the vertical parts of the sets in wanted (row, sig)."""
     schema = "sig long, part int, items array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known, seen = _Words(), set()
         for batch in pieces(batches, "text"):
             sigs, parts, items = [], [], []
             for sig, data in zip(batch.column("sig").to_pylist(), utf8(batch.column("text")).to_pylist()):
+                if sig in seen:
+                    continue
                 s = shingles(data or b"", n, known)
                 if len(s) and int(_mix(s).sum().view(np.int64)) == sig:
+                    if len(seen) >= KEPT:
+                        seen.clear()
+                    seen.add(sig)
                     cuts = np.searchsorted(s, np.arange(1, VERTICAL, dtype=np.uint64) << np.uint64(61))
                     sigs += [sig] * VERTICAL
                     parts += range(VERTICAL)
@@ -169,53 +195,57 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["sig", "part", "items"])
 
     # wanted grows with the documents: it is shuffled at every size, never broadcast.
-    return map_arrow(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("sig", "text"), run, schema)
+    return map_arrow(docs.select(row_hash(docs).alias("row"), "text").join(wanted.hint("merge"), "row").select("sig", "text"), run, schema)
 
 
 def _members(profiles: DataFrame) -> DataFrame:
-    """(key, sig, members) of the buckets that different sets share."""
+    """(key, sig) of the buckets that different sets share."""
     found = None
     for k in range(ROUNDS):
-        keyed = profiles.select("sig", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(ROUNDS)) == k)
+        # One shuffle serves the grouping and the join; a key has few different sets or none.
+        keyed = profiles.select("sig", F.explode("keys").alias("key")).where(F.pmod(F.shiftrightunsigned("key", 1), F.lit(ROUNDS)) == k).repartition("key")
         shared = keyed.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key")
-        part = stored(keyed.join(shared.hint("merge"), "key").distinct(), "members")
+        part = stored(keyed.join(shared.hint("shuffle_hash"), "key").distinct(), "members", few=True)
         released(profiles.sparkSession)
         found = part if found is None else found.unionByName(part)
-    sizes = found.groupBy("key").agg(F.count("*").alias("members"))
-    return found.join(sizes, "key")
-
+    return found
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """(a, b, star): pairs of small buckets, a < b; and of large ones each leader a with each member b."""
-    small = members.where(F.col("members") <= SOLO).groupBy("key").agg(F.array_sort(F.collect_list("sig")).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.lit(SOLO)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    close = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").withColumn("star", F.lit(False))
-    large = stored(members.where(F.col("members") > SOLO), "large")
-    meets = large.groupBy("sig").agg(F.sum("members").alias("meets"))
-    leaders = large.join(meets, "sig").groupBy("key").agg(F.max(F.struct("meets", "sig"))["sig"].alias("a"))
-    stars = large.join(leaders, "key").where("a <> sig").select("a", F.col("sig").alias("b")).withColumn("star", F.lit(True))
-    return close.unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
 
+def _counted(members: DataFrame, needs: DataFrame) -> DataFrame:
+    """The members without sets that share fewer buckets than a linked set would share with them.
 
-def _near(pairs: DataFrame, first: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs with their sizes, but for those that sizes or bitmaps show not to be linked; stars stay."""
-    of = lambda side: first.select(F.col("sig").alias(side), F.col("n").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}"))
+    What these leave behind can fall short in turn, so it is counted twice; more rounds would only
+    save work, as every pair is verified.
+    """
+    for _ in range(2):
+        parity = F.col("key").bitwiseAND(F.lit(1)).alias("parity")
+        counts = members.groupBy("sig").agg(F.sum(F.when(parity == 0, 1).otherwise(0)).alias("even"), F.sum(F.when(parity == 1, 1).otherwise(0)).alias("odd"))
+        enough = counts.join(needs, "sig").select("sig", (F.col("even") >= F.col("need")[0]).alias("even"), (F.col("odd") >= F.col("need")[1]).alias("odd")).where("even or odd")
+        left = members.join(enough, "sig").where(F.when(parity == 0, F.col("even")).otherwise(F.col("odd"))).select("key", "sig")
+        left = stored(left, "counted", few=True)
+        shared = left.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key")
+        members = stored(left.join(shared, "key").select("key", "sig"), "members", few=True)
+    return members
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """(a, b), a < b: the leader of each bucket with each of its members."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("members"))
+    meets = members.join(sizes, "key").groupBy("sig").agg(F.sum("members").alias("meets"))
+    leaders = members.join(meets, "sig").groupBy("key").agg(F.max(F.struct("meets", "sig"))["sig"].alias("leader"))
+    return members.join(leaders, "key").where("leader <> sig").select(F.least("leader", "sig").alias("a"), F.greatest("leader", "sig").alias("b")).distinct()
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs with their sizes, but for those that sizes or bitmaps show not to be linked."""
+    of = lambda side: sketches.select(F.col("sig").alias(side), F.col("n").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}"))
     sized = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
     half = lambda x: (F.size(x) / 2).cast("int")
     fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda u, v: u.bitwiseXOR(v))
     to = lambda x, y: F.when(F.size(x) > F.size(y), fold(x)).otherwise(x)
     differ = F.aggregate(F.zip_with(to(F.col("bits_a"), F.col("bits_b")), to(F.col("bits_b"), F.col("bits_a")), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, x: s + x)
     sizes = F.expr(f"{q} * least(size_a, size_b) >= {p} * greatest(size_a, size_b)")
-    close = sizes & (differ * (q + p) <= (F.col("size_a") + F.col("size_b")) * (q - p))
-    return sized.where(F.col("star") | close).select("a", "b", "star", "size_a", "size_b")
-
-
-def _parts(pairs: DataFrame, sets: DataFrame, parts: tuple[int, ...]) -> DataFrame:
-    """pairs with the given parts' items of both sides: of_a, of_b."""
-    unique = sets.where(F.col("part").isin(*parts)).dropDuplicates(["sig", "part"])
-    spread = pairs.select("*", F.explode(F.array(*map(F.lit, parts))).alias("part"))
-    with_b = spread.join(unique.select(F.col("sig").alias("b"), "part", F.col("items").alias("of_b")).hint("merge"), ["b", "part"])
-    return with_b.join(unique.select(F.col("sig").alias("a"), "part", F.col("items").alias("of_a")).hint("merge"), ["a", "part"])
+    return sized.where(sizes).where(differ * (q + p) <= (F.col("size_a") + F.col("size_b")) * (q - p)).select("a", "b", "size_a", "size_b")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -225,91 +255,87 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     counts = None
     for parts in PASSES:
-        each = _parts(pairs.select("a", "b"), sets, parts).select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("common"))
-        one = stored(each.groupBy("a", "b").agg(F.sum("common").alias("common")), "overlaps")
+        unique = sets.where(F.col("part").isin(*parts)).dropDuplicates(["sig", "part"])
+        spread = pairs.select("a", "b", F.explode(F.array(*map(F.lit, parts))).alias("part"))
+        of = lambda side: unique.select(F.col("sig").alias(side), "part", F.col("items").alias(f"of_{side}")).hint("merge")  # noqa: E731, B023
+        each = spread.join(of("b"), ["b", "part"]).join(of("a"), ["a", "part"]).select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("common"))
+        one = stored(each.groupBy("a", "b").agg(F.sum("common").alias("common")), "overlaps", few=True)
         released(pairs.sparkSession)
         counts = one if counts is None else counts.unionByName(one)
     return pairs.join(counts.groupBy("a", "b").agg(F.sum("common").alias("common")), ["a", "b"])
 
 
-def _differences(stars: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """a, b, n, own and lost (sizes of the difference) and items, its first n-grams.
+def _linked(p: int, q: int) -> Column:
+    return F.expr(f"{q} * common >= {p} * (size_a + size_b - common)")
 
-    First come those of b that a lacks, then those of a that b lacks, each in the global order; as
-    many as the prefix filter can ask for. Parts are taken in that order, each pair until it has them.
-    """
-    most = F.expr(f"least(size_a + size_b - 2 * common, size_b * {q - p} div {p} + 1)")
-    need = stars.withColumn("most", most).withColumn("own_need", F.least(F.col("most"), F.col("size_b") - F.col("common"))).withColumn("lost_need", F.col("most") - F.col("own_need"))
-    todo = need.select("a", "b", "own_need", "lost_need")
-    heads = None
-    for parts in PASSES:
-        ahead = lambda x, y, most: F.slice(F.sort_array(F.array_except(x, y)), F.lit(1), F.col(most).cast("int"))
-        each = _parts(todo, sets, parts).select("a", "b", "own_need", "lost_need", ahead("of_b", "of_a", "own_need").alias("own"), ahead("of_a", "of_b", "lost_need").alias("lost"))
-        one = stored(each.groupBy("a", "b", "own_need", "lost_need").agg(F.sort_array(F.flatten(F.collect_list("own"))).alias("own"), F.sort_array(F.flatten(F.collect_list("lost"))).alias("lost")).select("a", "b", "own_need", "lost_need", F.slice("own", F.lit(1), F.col("own_need").cast("int")).alias("own"), F.slice("lost", F.lit(1), F.col("lost_need").cast("int")).alias("lost")), "heads")
-        heads = one.select("a", "b", "own", "lost") if heads is None else heads.unionByName(one.select("a", "b", "own", "lost"))
-        todo = one.select("a", "b", (F.col("own_need") - F.size("own")).alias("own_need"), (F.col("lost_need") - F.size("lost")).alias("lost_need")).where("own_need > 0 or lost_need > 0")
-        released(stars.sparkSession)
-    whole = lambda c: F.sort_array(F.flatten(F.collect_list(c)))
-    gathered = heads.groupBy("a", "b").agg(F.concat(whole("own"), whole("lost")).alias("items"))
-    return gathered.join(need, ["a", "b"]).select("a", "b", F.col("size_b").alias("n"), (F.col("size_b") - F.col("common")).alias("own"), (F.col("size_a") - F.col("common")).alias("lost"), "items")
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, root) of the members of buckets that aren't connected, but for those of two members."""
+    rooted = members.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high and members > 2").select("key")
+    return rooted.join(mixed, "key").select("sig", "root").distinct()
 
-def _linked(p: int, q: int) -> Column:
-    return F.expr(f"{q} * common >= {p} * (size_a + size_b - common)")
 
+def _rest(still: DataFrame, sketches: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): pairs of still (sig, root) with different roots that can be linked, by a prefix filter.
 
-def _others(stars: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b): pairs of a leader's members that can be linked and aren't connected yet."""
-    # Members that are all linked to their leader are connected; of the others a pair must share an item.
-    mixed = stars.groupBy("a").agg(F.min(_linked(p, q)).alias("all_linked")).where(~F.col("all_linked")).select("a")
-    delta = _differences(stars.join(mixed, "a"), sets, p, q).join(roots.select(F.col("node").alias("b"), "root"), "b", "left")
-    delta = stored(delta.withColumn("root", F.coalesce("root", "b")), "differences")
-    items = delta.select(F.col("a").alias("leader"), "b", "n", "own", "lost", "root", F.posexplode("items").alias("at", "item"))
-    several = items.groupBy(F.xxhash64("leader", "item").alias("key")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_items = stored(items.withColumn("key", F.xxhash64("leader", "item")).join(several, "key"), "items")
-    one, two = open_items.alias("x"), open_items.alias("y")
-    # An item that is the first in common leaves at most this many in common: of the leader's own
-    # n-grams both have lost, and before those of the n-grams that both have besides.
-    ahead = "case when x.at < x.own then least(x.own - x.at, y.own - y.at) + least(x.lost, y.lost) else least(x.own + x.lost - x.at, y.own + y.lost - y.at) end"
-    reach = f"2 * ({ahead}) * {q + p} >= (x.own + x.lost + y.own + y.lost) * {q + p} - (x.n + y.n) * {q - p}"
-    near = F.expr(f"x.key = y.key and x.leader = y.leader and x.item = y.item and x.b < y.b and x.root <> y.root and {reach}")
-    return one.join(two, near).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    First in the order come n-grams that only one root has, which no pair here can share, then the
+    others, the rarest first.
+    """
+    items = sets.dropDuplicates(["sig", "part"]).join(still, "sig").select("sig", "root", F.explode("items").alias("item"))
+    common = items.groupBy("item").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("item", "held")
+    met = items.join(common, "item")
+    own = Window.partitionBy("sig")
+    placed = met.withColumn("at", F.row_number().over(own.orderBy("held", "item")) - F.count("*").over(own)).join(sketches.select("sig", "n"), "sig")
+    ahead = placed.withColumn("after", -F.col("at")).where(F.expr(f"after + 1 >= ({p} * n + {q - 1}) div {q}"))
+    ahead = stored(ahead.select("sig", "root", "item", "n", "after"), "prefixes", few=True)
+    sizes = f"{q} * least(x.n, y.n) >= {p} * greatest(x.n, y.n)"
+    reach = f"{p + q} * (1 + least(x.after, y.after)) >= {p} * (x.n + y.n)"
+    near = F.expr(f"x.item = y.item and x.sig < y.sig and x.root <> y.root and {sizes} and {reach}")
+    return ahead.alias("x").join(ahead.alias("y"), near).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
 
 
 def link(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs (doc_id, text).
+    """doc_id, row, n_shingles, component_id and group for every row of docs (doc_id, text).
 
     Two documents are linked when their word n-gram sets have a Jaccard similarity of at least the
-    threshold; component_id is the smallest doc_id that links lead to.
+    threshold; component_id is the smallest doc_id that links lead to. group is the same number for
+    all rows of a component, whatever their ids, and null for an empty set; row is row_hash's.
     """
     p, q = threshold.numerator, threshold.denominator
     spark = docs.sparkSession
     whole = stored(_profiles(docs, n, p, q), "profiles")
-    profiles = stored(whole.select("doc_id", "n", "sig", "bits"), "sizes")
-    candidates = stored(_candidates(_members(whole)), "candidates")
+    profiles = stored(whole.select("doc_id", "row", "n", "sig"), "sizes")
+    first = profiles.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count("*").alias("copies"))
+    needs = whole.where("size(need) > 0").groupBy("sig").agg(F.first("need").alias("need"))
+    sketches = stored(whole.where("size(bits) > 0").groupBy("sig").agg(F.max("n").alias("n"), F.first("bits").alias("bits")), "sketches", few=True)
+    members = _counted(_members(whole), needs)
     dropped(whole)
     released(spark)
-    first = profiles.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    sketches = stored(profiles.where("size(bits) > 0").select("sig", "n", "bits").dropDuplicates(["sig"]), "sketches")
-    pairs = stored(_near(candidates, sketches, p, q), "pairs")
+    pairs = stored(_near(_stars(members), sketches, p, q), "pairs", few=True)
     released(spark)
 
-    ids = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    sets = stored(_sets(docs, first.join(ids, "sig").select("doc_id", "sig"), n), "sets")
-    released(spark)
-    compared = stored(_overlaps(pairs, sets), "compared")
-    near = compared.where(_linked(p, q)).select("a", "b")
-    roots = components(near)
-    found = _others(compared.where("star"), roots, sets, p, q)
-    others = stored(_near(found.withColumn("star", F.lit(False)), sketches, p, q), "others")
-    released(spark)
-    if others.head(1):
-        late = stored(_overlaps(others, sets).where(_linked(p, q)).select("a", "b"), "late_links")
-        roots = components(near.union(late))
+    def sets_of(sigs: DataFrame) -> DataFrame:
+        kept = stored(_sets(docs, first.join(sigs.select("sig").distinct(), "sig").select("row", "sig"), n), "sets")
+        released(spark)
+        return kept
+
+    sets = sets_of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")))
+    near = stored(_overlaps(pairs, sets).where(_linked(p, q)).select("a", "b"), "links", few=True)
     dropped(sets)
-    grouped = first.select("sig", "doc_id", "copies").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
-    grouped = grouped.where("root is not null or copies > 1").withColumn("root", F.coalesce("root", "sig"))
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = stored(grouped.select("sig", "root").join(least, "root").select("sig", "component_id"), "component")
-    joined = profiles.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(component, "sig", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    roots = components(near)
+    still = stored(_open(members, roots), "open", few=True)
+    if still.head(1):
+        sets = sets_of(still)
+        others = stored(_near(_rest(still, sketches, sets, p, q), sketches, p, q), "others", few=True)
+        released(spark)
+        if others.head(1):
+            late = stored(_overlaps(others, sets).where(_linked(p, q)).select("a", "b"), "links", few=True)
+            roots = components(near.union(late))
+        dropped(sets)
+    grouped = first.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "doc_id", F.coalesce("root", "sig").alias("group"), "copies", F.col("root").isNotNull().alias("linked"))
+    grouped = grouped.where("linked or copies > 1")
+    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    component = stored(grouped.select("sig", "group").join(least, "group"), "component", few=True)
+    joined = profiles.select("doc_id", "row", F.col("n").alias("n_shingles"), "sig").join(component, "sig", "left")
+    return joined.select("doc_id", "row", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("group", "sig").alias("group"))
