@@ -1,15 +1,21 @@
 """HTML to text by layout-aware rendering.
 
 A tree builder with implied end tags and visibility rules feeds a renderer that keeps block spacing,
-numbers or marks list items and pads table cells into aligned columns.
+numbers or marks list items and pads table cells into aligned columns; a cell of several lines takes
+several lines, and head rows come first, foot rows last. Tree and renderer keep their own stacks, as
+pages may nest without limit; items deeper than MARGIN lists are marked, but not moved further to
+the right, and a table within MARGIN tables gives each cell one line.
 
 Defined results: a null or empty page gives the empty text; unclosed tags close at the end of the
-page; unknown tags are inline; a lone `<` is text; repeated rows are rendered each by itself.
+page; unknown tags are inline; a lone `<` is text; very long pages are rendered whole; repeated rows
+are rendered each by itself; an empty table gives an empty one; an existing column of the result's
+name is replaced, other columns stay.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,7 +30,9 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript head title iframe object svg math canvas audio video datalist".split())
+HIDDEN = frozenset("script style template noscript head title iframe object canvas audio video datalist defs desc metadata annotation annotation-xml".split())
+VALUED = frozenset("submit button reset text search email url tel number date".split())  # inputs that show their value
+MARGIN = 20
 RAW = {"script": re.compile(r"</script\b[^>]*>?", re.I), "style": re.compile(r"</style\b[^>]*>?", re.I), "title": re.compile(r"</title\b[^>]*>?", re.I), "textarea": re.compile(r"</textarea\b[^>]*>?", re.I)}
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
@@ -65,11 +73,17 @@ def _attributes(source: str) -> dict[str, str]:
 def parse(page: str) -> Node:
     """The element tree of a page."""
     root = Node("#root", {})
-    stack, at = [root], 0
+    stack, at, opened = [root], 0, Counter()
+
+    def close(depth: int) -> None:
+        """End the open elements from a depth on."""
+        for node in stack[depth:]:
+            opened[node.tag] -= 1
+        del stack[depth:]
 
     def text(s: str) -> None:
         if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
-            stack.pop()
+            close(len(stack) - 1)
         stack[-1].children.append(s)
 
     while at < len(page):
@@ -85,31 +99,31 @@ def parse(page: str) -> Node:
                 text(m[0][9:].removesuffix("]]>"))
             continue
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[depth].tag == tag:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if tag not in BLOCK and stack[depth].tag in ("td", "th", "table"):
                     break  # an inline end tag doesn't leave its cell
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
-        if tag in CLOSES_P:
+            close(len(stack) - 1)
+        if tag in CLOSES_P and opened["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag in STOPS_P:
                     break
         ends, until = IMPLIED.get(tag, ((), ()))
         cut = 0
-        for depth in range(len(stack) - 1, 0, -1) if ends else ():
+        for depth in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
             if stack[depth].tag in until:
                 break
             if stack[depth].tag in ends:
                 cut = depth
         if cut:
-            del stack[cut:]
+            close(cut)
         node = Node(tag, _attributes(m[3]))
         stack[-1].children.append(node)
         if tag in RAW:
@@ -118,26 +132,38 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
-def visible(node: Node) -> bool:
+def _style(node: Node) -> str:
+    return node.attributes.get("style", "").replace(" ", "").lower() if node.attributes else ""
+
+
+def present(node: Node) -> bool:
+    """Whether an element takes part in the layout."""
     if node.tag in HIDDEN:
         return False
     a = node.attributes
     if not a:
         return True
-    style = a.get("style", "").replace(" ", "").lower()
-    return "hidden" not in a and a.get("aria-hidden", "").lower() != "true" and "display:none" not in style and "visibility:hidden" not in style and not (node.tag == "input" and a.get("type", "").lower() == "hidden")
+    return "hidden" not in a and a.get("aria-hidden", "").lower() != "true" and "display:none" not in _style(node) and not (node.tag == "input" and a.get("type", "").lower() == "hidden")
+
+
+def shown(node: Node, before: bool) -> bool:
+    """Whether an element's own text is visible, if its parent's is or isn't."""
+    style = _style(node)
+    return before and "visibility:hidden" not in style and "visibility:collapse" not in style or "visibility:visible" in style
 
 
 class _Writer:
-    """Lines of text with collapsed white space."""
+    """Lines of text with collapsed white space, behind the marks and margins of open list items."""
 
-    def __init__(self) -> None:
+    def __init__(self, tables: int = 0) -> None:
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.space = self.gap = False
+        self.margin, self.mark, self.lists, self.tables = "", None, 0, tables
 
     def text(self, s: str) -> None:
         s = SPACES.sub(" ", s)
@@ -151,147 +177,187 @@ class _Writer:
         self.space = s.endswith(" ")
         self.parts.append(s.rstrip(" ") if self.space else s)
 
+    def _line(self, line: str) -> None:
+        if self.gap and self.lines and self.lines[-1] and not self.lists:
+            self.lines.append("")
+        self.gap = False
+        if line or not self.lists:
+            self.lines.append(((self.margin if self.mark is None else self.mark) + line) if line else "")
+            self.mark = None
+
     def verbatim(self, s: str) -> None:
         first, *more = s.replace("\r\n", "\n").split("\n")
         self.parts.append(first)
         for line in more:
-            if self.gap and self.lines and self.lines[-1]:
-                self.lines.append("")
-            self.gap = False
-            self.lines.append("".join(self.parts).rstrip())
+            self._line("".join(self.parts).rstrip())
             self.parts = [line]
 
     def end_line(self, always: bool = False) -> None:
         line = "".join(self.parts)
         if line or always:
-            if self.gap and self.lines and self.lines[-1]:
-                self.lines.append("")
-            self.gap = False
-            self.lines.append(line)
+            self._line(line)
         self.parts, self.space = [], False
 
     def block(self, spaced: bool) -> None:
         self.end_line()
         self.gap |= spaced
 
+    def item(self, mark: str):
+        """Open a list item; what comes back closes it."""
+        self.end_line()
+        held = self.margin, self.mark
+        self.mark = (self.margin if self.mark is None else self.mark) + mark
+        if self.lists <= MARGIN:
+            self.margin += " " * len(mark)
+
+        def close() -> None:
+            self.end_line()
+            # A mark that no text has followed is left out; one that was used is gone for outer items too.
+            self.margin, self.mark = held[0], held[1] if self.mark is not None else None
+
+        return close
+
     def done(self) -> list[str]:
         self.end_line()
         return self.lines
 
 
-def _render(node: Node, out: _Writer, pre: bool = False) -> None:
-    """Write a tree; the stack is explicit, as pages may nest deeply."""
-    todo: list = [(node, pre)]
+def _render(root: Node) -> list[str]:
+    """The lines of a tree."""
+    whole = _Writer()
+    todo: list = [(root, whole, False, True)]
     while todo:
-        item, pre = todo.pop()
+        item, out, pre, seen = todo.pop()
         if callable(item):
             item()
         elif isinstance(item, str):
-            out.verbatim(unescape(item)) if pre else out.text(unescape(item))
-        elif visible(item):
-            tag = item.tag
+            if seen:
+                out.verbatim(unescape(item)) if pre else out.text(unescape(item))
+        elif present(item):
+            tag, seen = item.tag, shown(item, seen)
+            within = [(child, out, pre or tag == "pre", seen) for child in item.children]
             if tag == "br":
                 out.end_line(always=True)
-            elif tag == "hr":
-                out.block(True)
-                out.parts.append("---")
+                continue
+            if tag == "hr":
                 out.block(True)
-            elif tag == "img":
-                out.text(item.attributes.get("alt", ""))
-            elif tag == "table":
+                out.parts.append("---" if seen else "")
                 out.block(True)
-                for line in _table(item):
-                    out.parts.append(line)
-                    out.end_line()
+                continue
+            if tag in ("img", "input"):
+                kind = item.attributes.get("type", "text").lower()
+                value = item.attributes.get("value" if tag == "input" and kind in VALUED else "alt" if tag == "img" or kind == "image" else "", "")
+                if seen and value:
+                    out.text(value)
+                continue
+            if tag == "table":
                 out.block(True)
+                within = _table(item, out, pre, seen)
             elif tag in ("ul", "ol", "menu", "dir"):
                 out.block(True)
-                for line in _list(item):
-                    out.parts.append(line)
-                    out.end_line(always=True)
-                out.block(True)
-            else:
+                within = _list(item, out, pre, seen)
+            elif tag in SPACED or tag in BLOCK:
                 spaced = tag in SPACED
-                if spaced or tag in BLOCK:
-                    out.block(spaced)
-                    todo.append((lambda s=spaced: out.block(s), pre))
-                todo += [(child, pre or tag == "pre") for child in reversed(item.children)]
+                out.block(spaced)
+                within.append((lambda o=out, s=spaced: o.block(s), out, pre, seen))
+            todo += reversed(within)
+    return whole.done()
 
 
-def _inside(node: Node) -> list[str]:
-    out = _Writer()
+def _list(node: Node, out: _Writer, pre: bool, seen: bool) -> list:
+    """What is to be rendered of a list: marked or numbered items, with what they hold below."""
+    start = node.attributes.get("start", "")
+    number = int(start) if node.tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+    steps: list = [(lambda: setattr(out, "lists", out.lists + 1), out, pre, seen)]
+    closers: list = []
     for child in node.children:
-        _render(child, out)
-    return out.done()
+        if isinstance(child, str) or child.tag != "li":
+            steps.append((child, out, pre, seen))
+        elif present(child):
+            steps.append((lambda m=f"{number}. " if node.tag == "ol" else "- ": closers.append(out.item(m)), out, pre, seen))
+            steps += [(x, out, pre, shown(child, seen)) for x in child.children]
+            steps.append((lambda: closers.pop()(), out, pre, seen))
+            number += 1
 
+    def close() -> None:
+        out.end_line()
+        out.lists -= 1
+        out.block(not out.lists)
 
-def _list(node: Node, limit: int = 40) -> list[str]:
-    """The lines of a list: marked or numbered items, with what they hold indented below."""
-    lines, number = [], 1
-    start = node.attributes.get("start", "")
-    if node.tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start):
-        number = int(start)
-    for child in node.children:
-        if isinstance(child, str):
-            if child.strip():
-                lines.append(SPACES.sub(" ", unescape(child)).strip())
-        elif visible(child):
-            own = [x for x in _inside(child) if x]
-            if child.tag == "li":
-                mark = f"{number}. " if node.tag == "ol" else "- "
-                number += 1
-                lines += [mark + own[0], *(" " * len(mark) + x for x in own[1:])] if own else []
-            else:
-                lines += own
-    return lines
-
-
-def _table(node: Node) -> list[str]:
-    """The lines of a table: captions and what stands outside of any cell, then rows of padded cells."""
-    lines: list[str] = []
-    grid: list[list[str]] = []
-
-    def loose(child: Node | str) -> None:
-        holder = Node("#part", {})
-        holder.children = [child]
-        lines.extend(x for x in _inside(holder) if x)
-
-    def row(tr: Node) -> None:
-        cells: list[str] = []
-        for cell in tr.children:
-            if isinstance(cell, str) or cell.tag not in ("td", "th"):
-                loose(cell)
-            elif visible(cell):
-                span = cell.attributes.get("colspan", "1")
-                cells.append(" ".join(x.strip() for x in _inside(cell) if x))
-                cells.extend([""] * (min(int(span), 100) - 1 if re.fullmatch(r"[0-9]{1,4}", span) else 0))
-        if any(cells):
-            grid.append(cells)
-
-    sections = [node]
-    while sections:
-        for child in sections.pop(0).children:
-            if isinstance(child, str) or child.tag not in ("tr", "td", "th", "thead", "tbody", "tfoot", "colgroup", "col"):
-                loose(child)
-            elif not visible(child):
-                continue
-            elif child.tag == "tr":
-                row(child)
-            elif child.tag in ("td", "th"):  # a cell without a row is a row of its own
-                alone = Node("tr", {})
-                alone.children = [child]
-                row(alone)
+    return [*steps, (close, out, pre, seen)]
+
+
+def _span(cell: Node, name: str) -> int:
+    value = cell.attributes.get(name, "1")
+    return min(max(1, int(value)), 1000) if re.fullmatch(r"[0-9]{1,5}", value) else 1
+
+
+def _table(node: Node, out: _Writer, pre: bool, seen: bool) -> list:
+    """What is to be rendered of a table: captions and what stands outside of any cell, then its rows."""
+    loose, cells = [], []
+    rows: list[tuple[int, list[tuple[Node, _Writer]]]] = []
+    todo = [(child, 1, seen) for child in reversed(node.children)]
+    while todo:
+        child, rank, visible = todo.pop()
+        if isinstance(child, str) or child.tag not in ("tr", "td", "th", "thead", "tbody", "tfoot", "colgroup", "col"):
+            loose += [(child, out, pre, visible), (out.end_line, out, pre, visible)]
+        elif present(child):
+            visible = shown(child, visible)
+            if child.tag in ("tr", "td", "th"):  # a cell without a row is a row of its own
+                row = []
+                for cell in child.children if child.tag == "tr" else [child]:
+                    if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                        loose += [(cell, out, pre, visible), (out.end_line, out, pre, visible)]
+                    elif present(cell):
+                        row.append((cell, writer := _Writer(out.tables + 1)))
+                        cells += [(x, writer, pre, shown(cell, visible)) for x in cell.children]
+                rows.append((rank, row))
             else:
-                sections.append(child)
-    widths = [max(len(r[k]) for r in grid if k < len(r)) for k in range(max(map(len, grid), default=0))]
-    return lines + ["  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in grid]
+                todo += [(x, {"thead": 0, "tfoot": 2}.get(child.tag, 1), visible) for x in reversed(child.children)]
+
+    def close() -> None:
+        out.end_line()
+        for line in _grid([row for _, row in sorted(rows, key=lambda r: r[0])], out.tables < MARGIN):
+            out.parts.append(line)
+            out.end_line()
+        out.block(True)
+
+    return [*loose, *cells, (close, out, pre, seen)]
+
+
+def _grid(rows: list[list[tuple[Node, _Writer]]], tall: bool) -> list[str]:
+    """The lines of padded cells; cells that span columns or rows leave the others that they cover empty."""
+    table: list[list[list[str]]] = []
+    covered: dict[int, int] = {}
+    for row in rows:
+        line: list[list[str]] = []
+        below: dict[int, int] = {}
+
+        def skip() -> None:
+            while covered.get(len(line), 0):  # noqa: B023
+                below[len(line)] = covered[len(line)] - 1  # noqa: B023
+                line.append([])  # noqa: B023
+
+        for cell, writer in row:
+            skip()
+            found = [x for x in writer.done() if x.strip()]
+            across, down = _span(cell, "colspan"), _span(cell, "rowspan")
+            for k in range(across):
+                if down > 1:
+                    below[len(line)] = down - 1
+                line.append((found if tall else [" ".join(x.strip() for x in found)] if found else []) if k == 0 else [])
+        skip()
+        covered = {k: n for k, n in below.items() if n}
+        if any(line):
+            table.append(line)
+    widths = [max((len(x) for r in table if k < len(r) for x in r[k]), default=0) for k in range(max(map(len, table), default=0))]
+    kept = [k for k, w in enumerate(widths) if w]
+    return ["  ".join((r[k][n] if k < len(r) and n < len(r[k]) else "").ljust(widths[k]) for k in kept).rstrip() for r in table for n in range(max(map(len, r)))]
 
 
 def render(page: str) -> str:
     """The visible text of a page."""
-    out = _Writer()
-    _render(parse(page), out)
-    return "\n".join(out.done()).strip("\n")
+    return "\n".join(_render(parse(page))).strip("\n")
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
