@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .text import WHITE
 
 
@@ -78,6 +80,12 @@ def merged_boxes(boxes: list[tuple[int, int, int, int]]) -> list[tuple[int, int,
     return sorted((x, y, x2 - x, y2 - y) for x, y, x2, y2 in done)
 
 
-@F.udf(BOXES)
-def merge_boxes(boxes):
-    return None if boxes is None else merged_boxes([(b["x"], b["y"], b["w"], b["h"]) for b in boxes])
+def merge_boxes(boxes: Column | str) -> Column:
+    """merged_boxes of a column of boxes, in Arrow batches; null where there are no boxes to read."""
+    ship(SparkSession.active())
+
+    def run(rows: pd.Series) -> pd.Series:
+        folded = [None if boxes is None else merged_boxes([(b["x"], b["y"], b["w"], b["h"]) for b in boxes]) for boxes in rows]
+        return pd.Series([None if boxes is None else [dict(zip("xywh", b)) for b in boxes] for boxes in folded])
+
+    return F.pandas_udf(run, BOXES)(boxes)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.geometry import merged_boxes
 from ..shipping import ship
@@ -360,10 +361,12 @@ def prepare(rgb: np.ndarray, steps: Steps = Steps(), matte: Callable[[np.ndarray
     return [rgb], before, notes
 
 
-def prepare_images(images: DataFrame, steps: Steps = Steps(), matte: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def prepare_images(images: DataFrame, steps: Steps = Steps(), matte: Callable[[np.ndarray], np.ndarray] | None = None, uncropped: bool = False) -> DataFrame:
     """path, crop, height, width, data (RGB), key (hash with shape), notes; one row a crop.
 
-    images: rows of Spark's image source. Images that can't be decoded give no rows.
+    images: rows of Spark's image source, and the file's bytes as `content` if photos are to be turned
+    upright by their EXIF block. Images that can't be decoded give no rows. uncropped: the image
+    before cropping is added as crop -1, which is what bars are to be looked for in.
     """
     ship(images.sparkSession)
 
@@ -374,8 +377,35 @@ def prepare_images(images: DataFrame, steps: Steps = Steps(), matte: Callable[[n
             for row in frame.itertuples():
                 if row.height <= 0:
                     continue
-                crops, _, notes = prepare(rgb_of(row.data, row.height, row.width, row.nChannels), steps, matte)
-                rows = [(row.origin, k, c.shape[0], c.shape[1], c.tobytes(), hashlib.sha256(f"{c.shape[0]}:{c.shape[1]}:".encode() + c.tobytes()).hexdigest(), notes) for k, c in enumerate(crops)]
+                rgb, turned = rgb_of(row.data, row.height, row.width, row.nChannels), []
+                orientation = exif_orientation(row.content) if row.content else 1
+                if orientation != 1:
+                    rgb, turned = oriented(rgb, orientation), [f"orientation {orientation}"]
+                crops, before, notes = prepare(rgb, steps, matte)
+                pictures = [*([(-1, before)] if uncropped else []), *enumerate(crops)]
+                rows = [(row.origin, k, c.shape[0], c.shape[1], c.tobytes(), hashlib.sha256(f"{c.shape[0]}:{c.shape[1]}:".encode() + c.tobytes()).hexdigest(), turned + notes) for k, c in pictures]
                 yield pd.DataFrame(rows, columns=["path", "crop", "height", "width", "data", "key", "notes"])
 
-    return images.select("image.*").mapInPandas(run, "path string, crop int, height int, width int, data binary, key string, notes array<string>")
+    content = "content" if "content" in images.columns else F.lit(None).cast("binary").alias("content")
+    return images.select("image.*", content).mapInPandas(run, "path string, crop int, height int, width int, data binary, key string, notes array<string>")
+
+
+def decode_images(images: DataFrame, decode: Callable[[np.ndarray], str | None], valid: Callable[[str], bool], cache: DataFrame | None = None) -> DataFrame:
+    """key, code, step, cached of every distinct image (key, height, width, data as RGB).
+
+    Images with a row in cache (key, code, step) aren't decoded: a row without a code says that the
+    ladder has found nothing, an image without a row has not been tried. New rows can be added to it.
+    """
+    ship(images.sparkSession)
+    result = "key string, code string, step string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [decode_ladder(np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, 3), decode, valid) or (None, None) for r in frame.itertuples()]
+            yield pd.DataFrame({"key": frame["key"], "code": [c for c, _ in found], "step": [s for _, s in found]})
+
+    distinct = images.select("key", "height", "width", "data").dropDuplicates(["key"])
+    if cache is None:
+        return distinct.mapInPandas(run, result).withColumn("cached", F.lit(False))
+    known = cache.select("key", "code", "step").join(distinct.select("key"), "key", "left_semi").withColumn("cached", F.lit(True))
+    return distinct.join(cache, "key", "left_anti").mapInPandas(run, result).withColumn("cached", F.lit(False)).unionByName(known)

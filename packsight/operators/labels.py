@@ -44,29 +44,32 @@ def weak_labels(words: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def training_examples(labelled: DataFrame) -> DataFrame:
-    """One row a crop: words, boxes and label ids in word order; crops without any label are left out."""
+    """One row a crop (product_key, view, crop): words, boxes and label ids in word order.
+
+    Crops without any label are left out.
+    """
     w = F.array_sort(F.collect_list(F.struct("word_no", "word", "box", "label_id")))
-    rows = labelled.groupBy("product_key").agg(w.alias("w"), F.max("label_id").alias("most")).where("most > 0")
+    rows = labelled.groupBy("product_key", "view", "crop").agg(w.alias("w"), F.max("label_id").alias("most")).where("most > 0")
     part = lambda name: F.transform("w", lambda x: x[name])
-    return rows.select("product_key", part("word").alias("words"), part("box").alias("boxes"), part("label_id").alias("label_ids"))
+    return rows.select("product_key", "view", "crop", part("word").alias("words"), part("box").alias("boxes"), part("label_id").alias("label_ids"))
 
 
 def spans(words: DataFrame) -> DataFrame:
-    """product_key, crop, span, label, value, confidence: neighbouring words of one label.
+    """product_key, view, crop, span, label, value, confidence: neighbouring words of one label in a crop.
 
-    words: product_key, crop, word_no, word, label, confidence.
+    words: product_key, view, crop, word_no, word, label, confidence.
     """
-    w = Window.partitionBy("product_key", "crop").orderBy("word_no")
+    w = Window.partitionBy("product_key", "view", "crop").orderBy("word_no")
     change = F.when(F.lag("label").over(w).eqNullSafe(F.col("label")), 0).otherwise(1)
     numbered = words.withColumn("change", change).withColumn("span", F.sum("change").over(w))
     ordered = F.array_sort(F.collect_list(F.struct("word_no", "word")))
-    grouped = numbered.where("label <> 'O'").groupBy("product_key", "crop", "span", "label").agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("value"), F.avg("confidence").alias("confidence"))
+    grouped = numbered.where("label <> 'O'").groupBy("product_key", "view", "crop", "span", "label").agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("value"), F.avg("confidence").alias("confidence"))
     return grouped
 
 
 def fields_from_spans(found: DataFrame, weight: float = 0.7, source: str = "token-model") -> DataFrame:
     """The most confident span of each field, as field rows; of equals, the first."""
     names = F.create_map(*(F.lit(x) for pair in LABEL_FIELDS.items() for x in pair))
-    best = F.max_by(F.struct("value", "confidence"), F.struct("confidence", -F.col("crop"), -F.col("span"))).alias("b")
+    best = F.max_by(F.struct("value", "confidence"), F.struct("confidence", -F.col("view"), -F.col("crop"), -F.col("span"))).alias("b")
     named = found.withColumn("field", names[F.col("label")]).where("field is not null")
     return named.groupBy("product_key", "field").agg(best).select("product_key", "field", "b.value", (F.lit(weight) * F.col("b.confidence")).alias("confidence"), F.lit(source).alias("source"))

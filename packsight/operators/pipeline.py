@@ -37,7 +37,7 @@ def collect_pools(crops: DataFrame, ladder: Ladder, cache: DataFrame | None = No
 
     def pool(column: str) -> DataFrame:
         rows = placed.select("product_key", "view", "crop", F.posexplode(column).alias("at", "l"))
-        number = F.col("view") * 1_000_000 + F.col("crop") * 10_000 + F.col("at")
+        number = F.shiftleft(F.col("view").cast("long"), 40) + F.shiftleft(F.col("crop").cast("long"), 20) + F.col("at")
         return rows.select("product_key", "view", "crop", number.alias("line_no"), F.col("l.text").alias("text"), F.col("l.confidence").alias("confidence"))
 
     text = pool("text_lines")
@@ -118,6 +118,11 @@ def row_range(rows: DataFrame, start: int, n: int, key: str = "row_id") -> DataF
     return rows.where(F.col(key).between(start, start + n - 1))
 
 
+def licence_probe(values: DataFrame, key: str, n: int = 20) -> DataFrame:
+    """The first n values (key, value) that are digits only, ten at least: a look at what licence numbers there are."""
+    return values.where(F.rlike("value", F.lit("^[0-9]{10,}$"))).orderBy(key).limit(n)
+
+
 def names_with(names: DataFrame, part: str, most: int = 500, column: str = "path") -> DataFrame:
     return names.where(F.contains(F.lower(column), F.lit(part.lower()))).orderBy(column).limit(most)
 
@@ -127,6 +132,26 @@ def first_reasons(reads: DataFrame, n: int = 8) -> DataFrame:
     return reads.where("reason is not null").orderBy("key").limit(n)
 
 
+def patient(generate: Callable[[object, float], str], limited: Callable[[Exception], bool], wait: Callable[[int], None], waits: int = 5) -> Callable[[object, float], str]:
+    """generate for a hosted service: while it is rate-limited, wait and ask again with the same warmth.
+
+    Waiting isn't an attempt of json_engine's. An error that isn't the limit's, or the limit after all
+    waits, is raised.
+    """
+
+    def run(payload: object, warmth: float) -> str:
+        for k in range(waits):
+            try:
+                return generate(payload, warmth)
+            except Exception as error:
+                if not limited(error):
+                    raise
+                wait(k)
+        return generate(payload, warmth)
+
+    return run
+
+
 def json_engine(generate: Callable[[object, float], str], attempts: int = 3, repair: bool = True) -> Callable[[object], dict | None]:
     """A function of a payload to a JSON object; each attempt is a little warmer than the last.
 

@@ -115,6 +115,18 @@ def within_budget(inputs: DataFrame, engine: Engine, budget_usd: float | None) -
     return inputs.dropDuplicates(["key"]).orderBy("key").limit(int(budget_usd / engine.cost_usd + 1e-9))
 
 
+def merge_engines(reads: DataFrame) -> DataFrame:
+    """One read a key from those of several engines (key, engine, lines, cached).
+
+    Lines follow each other by engine name; the merged read costs nothing again and counts as cached
+    only if all of its parts were. A key has one row an engine.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("engine", "lines", "cached"))).alias("parts")
+    grouped = reads.groupBy("key").agg(parts)
+    each = lambda name: F.transform("parts", lambda x: x[name])
+    return grouped.select("key", F.array_join(each("engine"), "+").alias("engine"), F.flatten(each("lines")).alias("lines"), F.lit(0.0).alias("cost_usd"), F.forall("parts", lambda x: x["cached"]).alias("cached"))
+
+
 def latest(cache: DataFrame) -> DataFrame:
     """One row a key and engine, the last written (by `seq`)."""
     w = Window.partitionBy("key", "engine").orderBy(F.desc("seq"))
@@ -135,10 +147,10 @@ class Ladder:
     policy: Policy
     store: Callable[[DataFrame, str], DataFrame]
 
-    def _stage(self, inputs: DataFrame, cache: DataFrame | None, engine: Engine) -> DataFrame:
+    def _stage(self, inputs: DataFrame, cache: DataFrame | None, engine: Engine, budget_usd: float | None = None) -> DataFrame:
         todo = inputs if cache is None else missing(inputs, cache, engine.name)
         if engine.paid:
-            todo = within_budget(todo, engine, self.policy.budget_usd)
+            todo = within_budget(todo, engine, budget_usd)
         new = self.store(run_engine(todo, engine), engine.name).withColumn("cached", F.lit(False))
         if cache is None:
             return new
@@ -153,9 +165,13 @@ class Ladder:
         """
         free, paid = self.registry.ready(False), self.registry.ready(True) if self.policy.allow_paid else []
         best: DataFrame | None = None
+        left = self.policy.budget_usd
         for engine in [*free, *paid]:
             todo = inputs if best is None or (self.policy.union_free and not engine.paid) else inputs.join(best.where("reason is not null"), "key", "left_semi")
-            got = self._stage(todo, cache, engine).select("key", F.struct("engine", "lines", "cost_usd", "cached", weakness(F.col("lines"), self.policy).alias("reason")).alias("new"))
+            stage = self._stage(todo, cache, engine, left)
+            if engine.paid and left is not None:  # what this engine has cost isn't there for the next
+                left -= stage.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0]
+            got = stage.select("key", F.struct("engine", "lines", "cost_usd", "cached", weakness(F.col("lines"), self.policy).alias("reason")).alias("new"))
             if best is None:
                 best = got.select("key", "new.*").withColumn("trail", F.array(F.concat_ws(" ", "engine", F.coalesce(F.concat(F.lit("weak: "), F.col("reason")), F.lit("accepted")))))
                 continue

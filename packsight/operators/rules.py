@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -181,9 +181,9 @@ def extract_front(layout: DataFrame, barcodes: DataFrame | None = None) -> DataF
     barcodes: product_key, canonical_brand, canonical_name.
     """
     front = layout.where(tx.is_front_text(F.col("text"))).select("product_key", F.struct((-F.col("height")).alias("h"), "line_no", "text", sure(F.col("confidence")).alias("c")).alias("s"))
-    # The tallest, then the tallest of the rest: two minima that combine before the shuffle.
-    top = F.slice(F.array_sort(F.collect_list("s")), 1, 2)
-    two = front.groupBy("product_key").agg(top.alias("top"))
+    # Each task keeps the two tallest lines of a product, so that two lines of any task are gathered.
+    rank = F.row_number().over(Window.partitionBy("product_key").orderBy("s.h", "s.line_no", "s.text"))
+    two = front.withColumn("k", rank).where("k <= 2").groupBy("product_key").agg(F.array_sort(F.collect_list("s")).alias("top"))
     c = F.get("top", F.lit(0))["c"]
     rows = two.select(
         "product_key",

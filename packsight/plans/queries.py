@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import barcode, geometry, similarity
 from ..functions import text as tx
-from ..operators import labels, products, recognise, records, rules
+from ..operators import labels, pipeline, products, recognise, records, rules, search
 from ..sources.writers import product_texts, record_json
+from ..storage import stored
 from . import reports
 from . import samples as s
 from .sql import ORACLE_SQL
@@ -47,7 +48,7 @@ def views_total(spark, sf_dir):
 @query
 def norm_text(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", tx.norm(F.col("text")).alias("normalised"), tx.is_blank(F.col("text")).alias("blank"), tx.blank_to_null(F.substring("text", 1, 3)).alias("head"))
+    return docs.select("doc_id", tx.norm(F.col("text")).alias("normalised"), tx.is_blank(F.col("text")).alias("blank"), tx.blank_to_null(F.col("text")).alias("stripped"))
 
 
 @query
@@ -68,18 +69,14 @@ def script_counts(spark, sf_dir):
 
 @query
 def token_overlap(spark, sf_dir):
-    """F1 of the word sets of documents and the benchmark passage of the same number."""
-    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage")
-    pairs = docs.join(items, docs["doc_id"] % 40 == items["item_id"])
-    return pairs.select("doc_id", "item_id", tx.token_f1(F.col("text"), F.col("passage")).alias("f1"))
+    """The benchmark passage whose word set is nearest to each document's."""
+    return search.closest_passage(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 @query
 def benchmark_recall(spark, sf_dir):
-    """Whether a passage is found in the document of the same number."""
-    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage")
-    pairs = docs.join(items, docs["doc_id"] % 40 == items["item_id"])
-    return pairs.select("doc_id", "item_id", tx.found(F.lit("Brand"), F.col("passage"), F.col("text")).alias("found"))
+    """Every benchmark passage in every document that holds it."""
+    return search.passages_found(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 @query
@@ -169,9 +166,9 @@ def lookup_coalesce(spark, sf_dir):
 @query
 def cache_miss(spark, sf_dir):
     """Inputs without a usable cache row of one engine."""
-    calls = s.calls(spark, sf_dir)
-    cache = calls.where("event_id % 3 = 0").selectExpr("key", "engine", "user_id % 4 = 0 as failed")
-    return recognise.missing(calls.where("engine = 'click'").select("key").distinct(), cache, "click")
+    calls = s.calls(spark, sf_dir).withColumn("key", F.col("event_id").cast("string"))
+    cache = calls.selectExpr("key", "engine", "user_id % 4 = 0 as failed")
+    return recognise.missing(calls.select("key"), cache, "click")
 
 
 @query
@@ -194,8 +191,8 @@ def latency_summary(spark, sf_dir):
 def tier_share(spark, sf_dir):
     """How many calls each tier served, and its share."""
     counts = s.calls(spark, sf_dir).groupBy("engine").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select("engine", "n", (F.col("n") / F.col("total")).alias("share"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row an engine
+    return counts.select("engine", "n", (F.col("n") / total).alias("share"))
 
 
 @query
@@ -252,9 +249,9 @@ def field_checks(spark, sf_dir):
 
 @query
 def field_recall(spark, sf_dir):
-    """Recall by field before and after, and over all fields."""
+    """Recall by field, and over all fields: of the texts, and of a reading that takes 1 for l and 5 for S."""
     rows = _checks(spark, sf_dir)
-    return reports.field_recall(rows.select("field", tx.found(F.col("field"), F.col("value"), F.col("text")).alias("pre"), tx.found(F.col("field"), F.col("value"), F.substring("text", 1, 400)).alias("raw")))
+    return reports.field_recall(rows.select("field", tx.found(F.col("field"), F.col("value"), F.col("text")).alias("pre"), tx.found(F.col("field"), F.col("value"), F.translate("text", "15", "lS")).alias("raw")))
 
 
 @query
@@ -324,7 +321,7 @@ def keep_best(spark, sf_dir):
 
 @query
 def field_provenance(spark, sf_dir):
-    rows = s.calls(spark, sf_dir).where("event_id % 5 = 0").selectExpr("event_id as product_key", "case event_id % 3 when 0 then 'Brand' when 1 then 'Mrp' else 'Other' end as field", "cast(cents as string) as value", "cast(cents % 4 as double) / 4 as confidence", "engine as source")
+    rows = s.calls(spark, sf_dir).selectExpr("event_id as product_key", "case event_id % 3 when 0 then 'Brand' when 1 then 'Mrp' else 'Other' end as field", "cast(cents as string) as value", "cast(cents % 4 as double) / 4 as confidence", "engine as source")
     shown = records.field_map(rows).select("product_key", records.provenance(F.col("fields")).alias("p"), F.coalesce(F.col("fields")["Brand"], F.col("fields")["Mrp"], F.col("fields")["Other"])["confidence"].alias("c"))
     return shown.select("product_key", F.col("p")["Brand"].alias("brand"), F.col("p")["Mrp"].alias("mrp"), records.confidence_bucket(F.col("c")).alias("bucket"))
 
@@ -338,13 +335,13 @@ def extraction_report(spark, sf_dir):
 @query
 def label_spans(spark, sf_dir):
     """Spans of neighbouring labels, and the best span of each field."""
-    rows = s.calls(spark, sf_dir).selectExpr("user_id % 20 as product_key", "0 as crop", "event_id as word_no", "cast(cents as string) as word", "case engine when 'click' then 'BRAND' when 'view' then 'MRP' when 'error' then 'O' else 'FSSAI' end as label", "cast(cents % 8 as double) / 8 as confidence")
+    rows = s.calls(spark, sf_dir).selectExpr("user_id % 20 as product_key", "event_id % 3 as view", "event_id % 2 as crop", "event_id as word_no", "cast(cents as string) as word", "case engine when 'click' then 'BRAND' when 'view' then 'MRP' when 'error' then 'O' else 'FSSAI' end as label", "cast(cents % 8 as double) / 8 as confidence")
     return labels.fields_from_spans(labels.spans(rows), 0.5)
 
 
 @query
 def weak_labels(spark, sf_dir):
-    lines = s.label_lines(spark, sf_dir).where("line_no in (1, 2, 4)")
+    lines = s.label_lines(spark, sf_dir)
     words = lines.selectExpr("product_key", "line_no", "posexplode(split(text, ' +')) as (at, word)").selectExpr("product_key", "line_no * 100 + at as word_no", "word").where("word <> ''")
     truth = _table(spark, sf_dir, "part").selectExpr("p_partkey as product_key", "explode(array(struct('Brand' as field, p_brand as value), struct('Product Name' as field, p_name as value), struct('Mrp' as field, cast(p_size as string) || '.50' as value), struct('Fssai No' as field, cast(10012345678901 + p_partkey as string) || '.0' as value))) as m").select("product_key", "m.field", "m.value")
     return labels.weak_labels(words, truth).select("product_key", F.col("word_no").cast("long").alias("word_no"), "word", "label", F.col("label_id").cast("long").alias("label_id"))
@@ -353,7 +350,7 @@ def weak_labels(spark, sf_dir):
 @query
 def word_boxes(spark, sf_dir):
     """Words of lines with estimated boxes in thousandths, and relative heights."""
-    rows = s.label_lines(spark, sf_dir).where("line_no < 3").selectExpr("product_key", "line_no", "text", "array(struct(cast(product_key % 50 as int) as x, 10 as y), struct(cast(product_key % 50 + 300 as int) as x, 12 as y), struct(cast(product_key % 50 + 301 as int) as x, 40 as y), struct(cast(product_key % 50 as int) as x, 42 as y)) as bbox")
+    rows = s.label_lines(spark, sf_dir).selectExpr("product_key", "line_no", "text", "array(struct(cast(product_key % 50 as int) as x, 10 as y), struct(cast(product_key % 50 + 300 as int) as x, 12 as y), struct(cast(product_key % 50 + 301 as int) as x, 40 as y), struct(cast(product_key % 50 as int) as x, 42 as y)) as bbox")
     each = rows.select("product_key", "line_no", geometry.height_frac(F.col("bbox"), F.lit(400)).alias("height"), geometry.top_frac(F.col("bbox"), F.lit(400)).alias("top"), F.posexplode(geometry.line_words(F.col("text"), F.col("bbox"))).alias("word_no", "w"))
     n = lambda c, size: geometry.normalise(F.col(c), F.lit(size)).cast("long")
     return each.select("product_key", F.col("line_no").cast("long").alias("line_no"), F.col("word_no").cast("long").alias("word_no"), F.col("w.word").alias("word"), n("w.x0", 320).alias("x0"), n("w.y0", 400).alias("y0"), n("w.x1", 320).alias("x1"), n("w.y1", 400).alias("y1"), "height", "top")
@@ -384,7 +381,7 @@ def text_blocks(spark, sf_dir):
 @query
 def row_range(spark, sf_dir):
     """A range of rows by their persistent id, and names that contain a text, at most 500."""
-    return _table(spark, sf_dir, "supplier").where("s_suppkey between 20 and 39").select("s_suppkey", "s_name", F.contains("s_name", F.lit("3")).alias("shown"))
+    return pipeline.row_range(_table(spark, sf_dir, "supplier"), 20, 20, "s_suppkey").select("s_suppkey", "s_name", F.contains("s_name", F.lit("3")).alias("shown"))
 
 
 @query
@@ -392,7 +389,7 @@ def licence_probe(spark, sf_dir):
     """The first twenty all-digit values of ten digits or more."""
     codes = s.order_codes(spark, sf_dir)
     value = F.when(F.col("o_orderkey") % 3 == 0, F.substring("code", 1, 9)).otherwise(F.col("run"))
-    return codes.select("o_orderkey", value.alias("value")).where(F.rlike("value", F.lit("^[0-9]{10,}$"))).orderBy("o_orderkey").limit(20)
+    return pipeline.licence_probe(codes.select("o_orderkey", value.alias("value")), "o_orderkey")
 
 
 @query
@@ -444,10 +441,64 @@ def box_merge(spark, sf_dir):
 
 @query
 def engine_union(spark, sf_dir):
-    """Outputs of two engines merged: lines kept twice, cost zero, cached only if both were."""
-    calls = s.calls(spark, sf_dir)
-    both = calls.where("engine in ('click', 'view')").groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("engine")), "+").alias("engine"), F.count("*").alias("lines"), F.lit(0.0).alias("cost_usd"), F.min(F.col("event_id") % 2 == 0).alias("cached"))
-    return both
+    """The last reads of all engines merged: lines one after the other, cost zero, cached only if all were."""
+    reads = recognise.latest(s.calls(spark, sf_dir).selectExpr("key", "engine", "event_id as seq", "array(struct(cast(cents as string) as text, cast(null as double) as confidence)) as lines", "event_id % 3 <> 0 as cached"))
+    return recognise.merge_engines(reads).select("key", "engine", F.array_join(F.transform("lines", lambda x: x["text"]), "|").alias("lines"), "cost_usd", "cached")
+
+
+def _fast(text):
+    """A free reader that is unsure of two thirds of the texts."""
+    return [(text, 0.9 if len(text) % 3 == 0 else 0.5)]
+
+
+def _careful(text):
+    """A free reader that reads more, but fails on some texts."""
+    if len(text) % 5 == 0:
+        raise ValueError("no text")
+    return [(text, 0.6 if len(text) % 2 == 0 else 0.8), ("again", 0.6 if len(text) % 2 == 0 else 0.8)]
+
+
+def _paid(text):
+    return [(text, 0.95)]
+
+
+@query
+def tier_escalation(spark, sf_dir):
+    """Every document through a ladder of two free readers and a paid one; only weak reads go on."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("payload"), F.col("doc_id").cast("string").alias("key"))
+    registry = recognise.Registry([recognise.Engine("fast", _fast), recognise.Engine("careful", _careful), recognise.Engine("hosted", _paid, cost_usd=0.0015, paid=True)])
+    reads = recognise.Ladder(registry, recognise.Policy(allow_paid=True), stored).read(docs.select("key", "payload"))
+    return docs.join(reads, "key").select("doc_id", "engine", F.size("lines").cast("long").alias("lines"), "cost_usd", "reason", F.array_join("trail", ", ").alias("trail"))
+
+
+@query
+def hard_subset_comparison(spark, sf_dir):
+    """Engines compared on the products that one of them reads badly."""
+    reads = s.calls(spark, sf_dir).selectExpr("engine", "cast(user_id as string) as product_key", "event_id % 4 as found", "event_id % 4 + event_id % 2 as reachable", "cents as chars", "event_id % 3 as cjk", "event_id % 5 as devanagari", "cast(cents as double) as seconds", "event_id % 50 = 0 as failed", "case when cents < 4 then 'few characters' end as reason")
+    return reports.hard_subset(reads, "click")
+
+
+def _amounts(spark, sf_dir):
+    """Records of numbers and flags, whose scores SQL can follow; a quarter of the products has no guess."""
+    part = _table(spark, sf_dir, "part")
+    truth = part.select(F.col("p_partkey").alias("product_key"), F.to_json(F.expr("struct(p_size as size, p_partkey % 10 as pack, p_partkey % 2 = 0 as veg)"), {"ignoreNullFields": "false"}).alias("record"))
+    guess = part.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("product_key"), F.to_json(F.expr("struct(case when p_partkey % 3 <> 0 then p_size + p_partkey % 7 end as size, p_partkey % 10 as pack, p_partkey % 5 < 3 as veg)"), {"ignoreNullFields": "false"}).alias("record"))
+    return reports.paired(truth, guess)
+
+
+@query
+def paired_scores(spark, sf_dir):
+    """Precision, recall and F1 of every product with a truth and a guess."""
+    return _amounts(spark, sf_dir).select("product_key", *(F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query
+def stage2_report(spark, sf_dir):
+    """F1 and coverage by field, and over all."""
+    pairs = _amounts(spark, sf_dir)
+    fields = reports.field_summary(pairs, ("size", "pack", "veg")).select("field", "n", F.col("f1"), F.col("coverage"))
+    whole = reports.score_summary(pairs).select(F.lit("OVERALL").alias("field"), F.col("products").alias("n"), "f1", F.lit(None).cast("double").alias("coverage"))
+    return fields.unionByName(whole).select("field", "n", F.round("f1", 4).alias("f1"), F.round("coverage", 4).alias("coverage"))
 
 
 def queries() -> dict[str, Query]:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import similarity
+
 PANEL_FIELDS = ("Mrp", "Fssai No", "Upc / Ean", "Manufacturer")
 CATALOG_IMAGES, PAID_USD = 20_746, 0.0015
 
@@ -65,6 +69,31 @@ def engine_comparison(reads: DataFrame) -> DataFrame:
     )
 
 
+def hard_subset(reads: DataFrame, engine: str) -> DataFrame:
+    """engine_comparison over the products whose read by one engine is weak. reads: also reason."""
+    hard = reads.where((F.col("engine") == engine) & F.col("reason").isNotNull()).select("product_key").distinct()
+    return engine_comparison(reads.join(hard, "product_key", "left_semi"))
+
+
+def paired(truth: DataFrame, guess: DataFrame) -> DataFrame:
+    """product_key, truth, guess, precision, recall, f1 of the products that both (product_key, record) have."""
+    both = truth.select("product_key", F.col("record").alias("truth")).join(guess.select("product_key", F.col("record").alias("guess")), "product_key")
+    return both.withColumn("s", similarity.score_records(F.col("truth"), F.col("guess"))).select("product_key", "truth", "guess", "s.*")
+
+
+def score_summary(pairs: DataFrame) -> DataFrame:
+    """products and the means of precision, recall and f1."""
+    return pairs.agg(F.count("*").alias("products"), *(F.avg(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def field_summary(pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """field, n, f1, coverage over pairs' records; a field blank on both sides counts as found."""
+    scores = F.coalesce(similarity.score_fields(F.col("truth"), F.col("guess")), F.create_map().cast("map<string,double>"))
+    each = pairs.select(scores.alias("s"), F.from_json("guess", "map<string,string>").alias("g"))
+    rows = each.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col("s")[f], F.lit(1.0)).alias("f1"), F.col("g")[f].isNotNull().cast("double").alias("filled")) for f in fields))).alias("m")).select("m.*")
+    return rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("f1").alias("f1"), F.avg("filled").alias("coverage"))
+
+
 def barcode_funnel(results: DataFrame) -> DataFrame:
     """Counts along the barcode pipeline, one row a product.
 

@@ -142,19 +142,24 @@ def block_rows() -> str:
     return " union all ".join(parts)
 
 
+PAIRS = """pairs as (select p_partkey as product_key, p_partkey % 3 <> 0 as filled, greatest(0.0::double, 1.0::double - (p_partkey % 7) / greatest(p_size + p_partkey % 7, 1)::double) as nearness, case when (p_partkey % 2 = 0) = (p_partkey % 5 < 3) then 1.0::double else 0.0 end as veg from part where p_partkey % 4 <> 0),
+  scores as (select product_key, (case when filled then nearness else 0.0 end + 1 + veg) / 3 as r, (case when filled then nearness else 0.0 end + 1 + veg) / (case when filled then 3 else 2 end) as p from pairs)"""
+
 ORACLE_SQL = {
     "ceiling_report": f"""select source as product_key, count(*) as listed, count(distinct sha256(text)) as distinct_views, count(*) - count(distinct sha256(text)) as duplicates,
         avg(case when {any_of('text', PANEL_MARKERS)} then 1.0::double else 0.0 end) as panel_share from documents group by 1""",
     "views_total": """select cast(sum(listed) as bigint) as listed, cast(sum(d) as bigint) as distinct_views, cast(sum(listed - d) as bigint) as duplicates, count(*) as products from
         (select source, count(*) as listed, count(distinct sha256(text)) as d from documents group by 1)""",
-    "norm_text": f"""select doc_id, {norm('text')} as normalised, {norm('text')} in ({', '.join(map(q, BLANKS))}) as blank, nullif({strip('substr(text, 1, 3)')}, '') as head from documents""",
+    "norm_text": f"""select doc_id, {norm('text')} as normalised, {norm('text')} in ({', '.join(map(q, BLANKS))}) as blank, nullif({strip('text')}, '') as stripped from documents""",
     "digit_signatures": f"""with v as (select o_orderkey, case o_orderkey % 4 when 0 then cast(o_orderkey as string) || '.0' when 1 then ' ' || cast(o_orderkey as string) || '.50 ' when 2 then 'Rs ' || cast(o_orderkey as string) || '-12' else '1' || o_orderpriority end as v from orders)
         select o_orderkey, {digits('v')} as signature, regexp_extract(v, '[0-9]+') as first_number, try_cast(nullif(regexp_extract(v, '-?[0-9]+\\.?[0-9]*'), '') as double) as number, cast(trunc(try_cast({strip('v')} as double)) as bigint) as whole from v""",
     "script_counts": """with t as (select doc_id, text || case when doc_id % 3 = 0 then ' 漢字 हिन्दी ₹' else '' end as t from documents)
         select doc_id, length(regexp_replace(t, '[^一-鿿]', '', 'g')) as cjk, (select count(*) from unnest(string_split(t, '')) as u(c) where unicode(c) between 2304 and 2431) as devanagari, regexp_matches(t, '[^\\x00-\\x7F]') as non_latin from t""",
-    "token_overlap": f"""with p as (select doc_id, item_id, list_distinct(list_filter(string_split({norm('d.text')}, ' '), lambda w: w <> '')) as a, list_distinct(list_filter(string_split({norm('b.text')}, ' '), lambda w: w <> '')) as b from documents d join benchmark b on d.doc_id % 40 = b.item_id)
-        select doc_id, item_id, case when len(a) > 0 and len(b) > 0 then 2.0::double * len(list_intersect(a, b)) / (len(a) + len(b)) else 0.0 end as f1 from p""",
-    "benchmark_recall": f"""select doc_id, item_id, {found("'Brand'", 'b.text', 'd.text')} as found from documents d join benchmark b on d.doc_id % 40 = b.item_id""",
+    "token_overlap": f"""with d as (select doc_id, list_distinct(list_filter(string_split({norm('text')}, ' '), lambda w: w <> '')) as a from documents), b as (select item_id, list_distinct(list_filter(string_split({norm('text')}, ' '), lambda w: w <> '')) as b from benchmark),
+        p as (select doc_id, item_id, 2.0::double * count(*) / (any_value(n) + any_value(m)) as f1 from (select doc_id, len(a) as n, unnest(a) as w from d) join (select item_id, len(b) as m, unnest(b) as w from b) using (w) group by 1, 2)
+        select * from p qualify row_number() over (partition by doc_id order by f1 desc, item_id) = 1""",
+    "benchmark_recall": f"""with d as (select doc_id, {norm('text')} as t from documents), b as (select item_id, list_filter(string_split({norm('text')}, ' '), lambda w: w <> '') as w from benchmark)
+        select doc_id, item_id from d, b where len(w) > 0 and 4 * len(list_filter(w, lambda x: contains(t, x))) >= 3 * len(w)""",
     "checksum_codes": f"""with {ORDER_CODES_SQL} select o_orderkey, code, {checksum('code')} as valid, {checksum('run')} as run_valid, regexp_matches(substr(code, 2), '^(2|02|04)') as restricted,
         case when not regexp_matches({recovered('run')}, '^(2|02|04)') then {recovered('run')} end as recovered from codes""",
     "digit_runs": f"""select doc_id, array_to_string(list_transform({CANDIDATES.format(x='text')}, lambda s: s.r), ',') as runs from documents where regexp_matches(text, '[0-9]{{11}}')""",
@@ -184,7 +189,7 @@ ORACLE_SQL = {
         select name, row_id, position from listed where name is not null qualify row_number() over (partition by name order by row_id, position) = 1""",
     "lookup_coalesce": """with a as (select p_partkey as code, p_name as name, p_brand as brand from part where p_partkey % 6 = 0), b as (select s_suppkey as code, s_name as name, cast(s_nationkey as string) as brand from supplier)
         select p_partkey as code, coalesce(a.name, b.name) as name, coalesce(a.brand, b.brand) as brand, case when a.code is not null then 'primary' when b.code is not null then 'secondary' end as lookup_source from part left join a on a.code = p_partkey left join b on b.code = p_partkey""",
-    "cache_miss": f"""with {CALLS_SQL} select distinct key from calls where engine = 'click' and key not in (select key from calls where event_id % 3 = 0 and engine = 'click' and user_id % 4 <> 0)""",
+    "cache_miss": f"""with {CALLS_SQL} select cast(event_id as string) as key from calls where not (engine = 'click' and user_id % 4 <> 0)""",
     "cache_stats": f"""with {CALLS_SQL} select engine, count(*) as n, round(sum(cast(cents as double)), 4) as cost_usd from calls group by 1""",
     "cache_latest": f"""with {CALLS_SQL} select key, engine, cents, event_id as seq from calls qualify row_number() over (partition by key, engine order by event_id desc) = 1""",
     "latency_summary": f"""with {CALLS_SQL} select engine as tier, count(*) as n, min(cents) as least, avg(cents) as mean, max(cents) as most, list_sort(list(cents))[cast(floor(count(*) / 2) as bigint) + 1] as median from calls group by 1""",
@@ -203,7 +208,7 @@ ORACLE_SQL = {
         r as (select text, n = 0 or chars < 40 or coalesce(conf < 0.65, false) as weak from a)
         select count(*) as n, count(*) filter (weak) as weak, avg(case when weak then 1.0::double else 0.0 end) as rate, avg(case when weak then 1.0::double else 0.0 end) * 20746 * 0.0015::double as projected_usd, count(*) filter (regexp_matches(text, '[^\\x00-\\x7F]')) as non_latin from r""",
     "field_checks": f"""with {CHECKS} select doc_id, field, {found('field', 'value', 'text')} as found, ({digits('value')}) <> '' and list_contains(regexp_extract_all(text, '[0-9]+'), {digits('value')}) as found_strict from checks""",
-    "field_recall": f"""with {CHECKS}, f as (select field, {found('field', 'value', 'text')} as pre, {found('field', 'value', 'substr(text, 1, 400)')} as raw from checks)
+    "field_recall": f"""with {CHECKS}, f as (select field, {found('field', 'value', 'text')} as pre, {found('field', 'value', "translate(text, '15', 'lS')")} as raw from checks)
         select coalesce(field, 'OVERALL') as field, count(*) as n, count(*) filter (pre) as pre, count(*) filter (raw) as raw, count(*) filter (pre) / count(*)::double as pre_share, count(*) filter (raw) / count(*)::double as raw_share from f where pre is not null group by rollup (field)""",
     "recall_vs_ceiling": f"""with {CHECKS}, f as (select field, doc_id % 3 = 0 as panel, {found('field', 'value', 'text')} as got from checks),
         g as (select field, count(*) as in_truth, count(*) filter (case when field in ('Mrp', 'Fssai No', 'Upc / Ean', 'Manufacturer') then panel else true end) as reachable, count(*) filter (got) as got from f where got is not null group by 1)
@@ -227,21 +232,21 @@ ORACLE_SQL = {
         select product_key, cast(trunc(try_cast(regexp_extract(net0, '^[^ ]+') as double)) as bigint) as net_quantity, nullif(regexp_extract(net0, ' +(.*)$', 1), '') as uom, cast(trunc(try_cast(pack as double)) as bigint) as pack_quantity, case when flavour is not null then 'Yes' end as scented, raw as capacity, 'Grocery' as category from v""",
     "keep_best": f"""with {CALLS_SQL}, r as (select key as product_key, engine as field, case when cents % 7 = 0 then ' ' else cast(cents as string) end as value, cast(cents % 10 as double) / 10 as confidence, event_id from calls)
         select product_key, field, value, confidence, 'call' as source from r where trim(value) <> '' qualify row_number() over (partition by product_key, field order by confidence desc, event_id) = 1""",
-    "field_provenance": f"""with {CALLS_SQL}, r as (select event_id as product_key, event_id % 3 as f, cast(cents as string) || '   (' || printf('%.2f', cast(cents % 4 as double) / 4) || ', ' || engine || ')' as p, cast(cents % 4 as double) / 4 as c from calls where event_id % 5 = 0)
+    "field_provenance": f"""with {CALLS_SQL}, r as (select event_id as product_key, event_id % 3 as f, cast(cents as string) || '   (' || printf('%.2f', cast(cents % 4 as double) / 4) || ', ' || engine || ')' as p, cast(cents % 4 as double) / 4 as c from calls)
         select product_key, case when f = 0 then p else '—' end as brand, case when f = 1 then p else '—' end as mrp, case when c >= 0.9 then 'good' when c >= 0.7 then 'medium' else 'weak' end as bucket from r""",
     "extraction_report": f"""with {CALLS_SQL}, r as (select engine as field, cast(cents % 5 as double) / 4 as f1, event_id % 3 = 0 as t, event_id % 2 = 0 as g from calls)
         select field, count(*) as n, avg(f1) as f1, avg(case when g then 0.0::double else 1.0 end) as coverage, avg(f1) filter (not (t and g)) as f1_filled, count(*) filter (t and g) as both_empty from r group by 1""",
-    "label_spans": f"""with {CALLS_SQL}, w as (select user_id % 20 as product_key, event_id as word_no, cast(cents as string) as word, case engine when 'click' then 'BRAND' when 'view' then 'MRP' when 'error' then 'O' else 'FSSAI' end as label, cast(cents % 8 as double) / 8 as confidence from calls),
-        g as (select *, word_no as o, row_number() over (partition by product_key order by word_no) - row_number() over (partition by product_key, label order by word_no) as island from w),
-        s as (select product_key, label, island, min(o) as first, string_agg(word, ' ' order by o) as value, avg(confidence) as confidence from g where label <> 'O' group by 1, 2, 3)
-        select product_key, case label when 'BRAND' then 'Brand' when 'MRP' then 'Mrp' else 'Fssai No' end as field, value, 0.5::double * confidence as confidence, 'token-model' as source from s qualify row_number() over (partition by product_key, label order by confidence desc, first) = 1""",
-    "weak_labels": f"""with {LABEL_LINES_SQL}, w as (select product_key, line_no * 100 + pos - 1 as word_no, word from (select product_key, line_no, unnest(regexp_split_to_array(text, ' +')) as word, generate_subscripts(regexp_split_to_array(text, ' +'), 1) as pos from lines where line_no in (1, 2, 4)) where word <> ''),
+    "label_spans": f"""with {CALLS_SQL}, w as (select user_id % 20 as product_key, event_id % 3 as view, event_id % 2 as crop, event_id as word_no, cast(cents as string) as word, case engine when 'click' then 'BRAND' when 'view' then 'MRP' when 'error' then 'O' else 'FSSAI' end as label, cast(cents % 8 as double) / 8 as confidence from calls),
+        g as (select *, word_no as o, row_number() over (partition by product_key, view, crop order by word_no) - row_number() over (partition by product_key, view, crop, label order by word_no) as island from w),
+        s as (select product_key, view, crop, label, island, min(o) as first, string_agg(word, ' ' order by o) as value, avg(confidence) as confidence from g where label <> 'O' group by 1, 2, 3, 4, 5)
+        select product_key, case label when 'BRAND' then 'Brand' when 'MRP' then 'Mrp' else 'Fssai No' end as field, value, 0.5::double * confidence as confidence, 'token-model' as source from s qualify row_number() over (partition by product_key, label order by confidence desc, view, crop, first) = 1""",
+    "weak_labels": f"""with {LABEL_LINES_SQL}, w as (select product_key, line_no * 100 + pos - 1 as word_no, word from (select product_key, line_no, unnest(regexp_split_to_array(text, ' +')) as word, generate_subscripts(regexp_split_to_array(text, ' +'), 1) as pos from lines) where word <> ''),
         k as (select product_key, word_no, word, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') as t, {digits('word')} as d from w),
         m as (select k.*, case when len(t) >= 2 and list_contains(list_transform(regexp_split_to_array(p_brand, '\\s+'), lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), t) then 'BRAND'
           when len(t) >= 2 and list_contains(list_transform(regexp_split_to_array(p_name, '\\s+'), lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), t) then 'PRODUCT_NAME'
           when d <> '' and d = cast(p_size as string) || '50' then 'MRP' when d <> '' and d = cast(10012345678901 + p_partkey as string) then 'FSSAI' else 'O' end as label from k join part on p_partkey = product_key)
         select product_key, word_no, word, label, case label when 'BRAND' then 1 when 'PRODUCT_NAME' then 7 when 'MRP' then 2 when 'FSSAI' then 4 else 0 end::bigint as label_id from m""",
-    "word_boxes": f"""with {LABEL_LINES_SQL}, w as (select product_key, line_no, product_key % 50 as x0, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words from lines where line_no < 3),
+    "word_boxes": f"""with {LABEL_LINES_SQL}, w as (select product_key, line_no, product_key % 50 as x0, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words from lines),
         e as (select *, 301::double / len(words) as span, unnest(words) as word, generate_subscripts(words, 1) - 1 as i from w)
         select product_key, line_no, i as word_no, word, least(1000, cast(trunc(1000 * cast(trunc(x0 + i * span) as int) / 320::double) as bigint)) as x0, 25::bigint as y0, least(1000, cast(trunc(1000 * cast(trunc(x0 + (i + 1) * span) as int) / 320::double) as bigint)) as x1, 105::bigint as y1, 32 / 400::double as height, 10 / 400::double as top from e""",
     "resolution_plan": """with r as (select o_orderkey, cast(200 + o_orderkey * 37 % 3000 as int) as h, cast(300 + o_orderkey * 91 % 2500 as int) as w from orders),
@@ -252,5 +257,20 @@ ORACLE_SQL = {
     "row_range": "select s_suppkey, s_name, contains(s_name, '3') as shown from supplier where s_suppkey between 20 and 39",
     "licence_probe": f"""with {ORDER_CODES_SQL} select o_orderkey, run as value from codes where o_orderkey % 3 <> 0 order by o_orderkey limit 20""",
     "fence_strip": "select event_id, props as bare from events",
-    "engine_union": f"""with {CALLS_SQL} select key, string_agg(distinct engine, '+' order by engine) as engine, count(*) as lines, 0.0::double as cost_usd, bool_and(event_id % 2 = 0) as cached from calls where engine in ('click', 'view') group by 1""",
+    "engine_union": f"""with {CALLS_SQL}, r as (select key, engine, event_id, cents from calls qualify row_number() over (partition by key, engine order by event_id desc) = 1)
+        select key, string_agg(engine, '+' order by engine) as engine, string_agg(cast(cents as string), '|' order by engine) as lines, 0.0::double as cost_usd, bool_and(event_id % 3 <> 0) as cached from r group by 1""",
+    "tier_escalation": """with a as (select doc_id, length(text) as n from documents where text is not null),
+        f as (select *, case when n = 0 then 'no text' when n < 40 then 'few characters' when n % 3 <> 0 then 'low confidence' end as r1 from a),
+        c as (select *, r1 is not null and n % 5 <> 0 as more from f),
+        g as (select *, case when not more then r1 when n + 5 < 40 then 'few characters' when n % 2 = 0 then 'low confidence' end as r2 from c),
+        h as (select *, r2 is not null and n >= 40 as paid from g)
+        select doc_id, case when paid then 'hosted' when more then 'careful' else 'fast' end as engine, case when paid or not more then 1 else 2 end::bigint as lines, case when paid then 0.0015::double else 0.0 end as cost_usd, case when not paid then r2 end as reason,
+          'fast ' || case when r1 is null then 'accepted' else 'weak: ' || r1 || ', careful ' || case when more then 'kept' else 'no better' end || case when r2 is null then '' when paid then ', hosted kept' else ', hosted no better' end end as trail from h""",
+    "hard_subset_comparison": f"""with {CALLS_SQL}, r as (select * from calls where user_id in (select user_id from calls where engine = 'click' and cents < 4))
+        select engine, count(distinct user_id) as products, cast(sum(event_id % 4) as bigint) as found, sum(event_id % 4)::double / nullif(sum(event_id % 4 + event_id % 2), 0) as of_reachable, cast(sum(cents) as bigint) as chars, cast(sum(event_id % 3) as bigint) as cjk, cast(sum(event_id % 5) as bigint) as devanagari,
+        sum(cents)::double / count(distinct user_id) as seconds_a_product, count(*) filter (event_id % 50 = 0) as errors from r group by 1""",
+    "paired_scores": f"""with {PAIRS} select product_key, round(p, 4) as precision, round(r, 4) as recall, round(case when round(p, 4) + round(r, 4) > 0 then 2 * p * r / (p + r) else 0.0 end, 4) as f1 from scores""",
+    "stage2_report": f"""with {PAIRS}, f as (select product_key, unnest(['size', 'pack', 'veg']) as field, unnest([case when filled then nearness else 0.0 end, 1.0, veg]) as f1, unnest([case when filled then 1.0 else 0.0 end, 1.0, 1.0]) as c from pairs)
+        select field, count(*) as n, round(avg(round(f1, 4)), 4)::double as f1, round(avg(c), 4)::double as coverage from f group by 1
+        union all select 'OVERALL', count(*), round(avg(round(2 * p * r / (p + r), 4)), 4)::double, null from scores""",
 }

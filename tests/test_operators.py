@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packsight.operators import images, labels, products, recognise, records, rules
+from packsight.operators import images, labels, pipeline, products, recognise, records, rules, search
 from packsight.sources import readers, writers
 from packsight.streaming.ingest import engine_costs, ingest
 
@@ -88,9 +88,9 @@ def test_record_has_all_fields_in_order(spark):
 
 
 def test_training_examples_leave_out_unlabelled_crops(spark):
-    rows = spark.createDataFrame([("a", 0, "x", [0, 0, 1, 1], 0), ("a", 1, "y", [1, 0, 2, 1], 3), ("b", 0, "z", [0, 0, 1, 1], 0)], "product_key string, word_no int, word string, box array<int>, label_id int")
+    rows = spark.createDataFrame([("a", 1, 0, 0, "x", [0, 0, 1, 1], 0), ("a", 1, 0, 1, "y", [1, 0, 2, 1], 3), ("a", 2, 0, 0, "v", [1, 0, 2, 1], 3), ("a", 1, 1, 0, "w", [1, 0, 2, 1], 0), ("b", 1, 0, 0, "z", [0, 0, 1, 1], 0)], "product_key string, view int, crop int, word_no int, word string, box array<int>, label_id int")
     got = labels.training_examples(rows).collect()
-    assert [(r.product_key, r.words, r.label_ids) for r in got] == [("a", ["x", "y"], [0, 3])]
+    assert sorted((r.product_key, r.view, r.crop, r.words, r.label_ids) for r in got) == [("a", 1, 0, ["x", "y"], [0, 3]), ("a", 2, 0, ["v"], [3])]
 
 
 def test_group_names(spark):
@@ -230,7 +230,7 @@ def test_barcode_validation_and_modes(spark):
     assert got["p"].lookup_source == "secondary" and got["p"].brand_match == 1.0 and got["p"].text_match_ok and len(got["p"].trail) == 5
     assert got["q"].code is None and got["q"].unverified == "8901052034178"
     lines = spark.createDataFrame([("p", 0, "MRP Rs. 75", 0.9, 0.1)], "product_key string, line_no int, text string, confidence double, height double")
-    words = spark.createDataFrame([("p", 0, 0, "99", "MRP", 0.5), ("p", 0, 1, "Acme", "BRAND", 0.9)], "product_key string, crop int, word_no int, word string, label string, confidence double")
+    words = spark.createDataFrame([("p", 1, 0, 0, "99", "MRP", 0.5), ("p", 1, 0, 1, "Acme", "BRAND", 0.9)], "product_key string, view int, crop int, word_no int, word string, label string, confidence double")
     value = lambda mode: {r.field: r.value for r in pipeline.extract_products(lines, labelled_words=words, mode=mode)[0].collect()}
     assert value("heuristic")["Mrp"] == "75" and value("model") == {"Mrp": "99", "Brand": "Acme"} and value("merged")["Mrp"] == "75" and value("merged")["Brand"] == "Acme"
 
@@ -287,3 +287,57 @@ def test_pools_and_fetched_codes(spark, tmp_path):
 
     codes = spark.createDataFrame([("known",), ("known",), ("unknown",), ("down",), (None,)], "code string")
     assert sorted(map(tuple, pipeline.fetch_codes(codes, fetch).collect()), key=str) == [("known", "N", "B"), ("unknown", None, None)]
+
+
+def test_two_paid_engines_share_a_budget(spark, tmp_path):
+    def store(df, name):
+        df.write.parquet(path := f"{tmp_path}/{name}-{uuid.uuid4().hex}")
+        return spark.read.parquet(path)
+
+    blur = stub({"blur": [("z" * 50, 0.1)]})
+    engines = [recognise.Engine("ocr", blur), recognise.Engine("one", blur, 0.01, True), recognise.Engine("two", blur, 0.01, True)]
+    rows = spark.createDataFrame([(f"k{k}", b"blur") for k in range(5)], "key string, payload binary")
+    calls = []
+    policy = recognise.Policy(allow_paid=True, budget_usd=0.03)
+    recognise.Ladder(recognise.Registry(engines), policy, lambda df, name: (calls.append((name, (kept := store(df, name)).count())), kept)[1]).read(rows).count()
+    assert calls == [("ocr", 5), ("one", 3), ("two", 0)]
+
+
+def test_upright_photos_and_pictures_before_cropping(spark):
+    exif = b"\xff\xd8\xff\xe1" + (6 + 8 + 2 + 12 + 2).to_bytes(2, "big") + b"Exif\0\0" + b"II*\0" + (8).to_bytes(4, "little") + (1).to_bytes(2, "little") + (274).to_bytes(2, "little") + (3).to_bytes(2, "little") + (1).to_bytes(4, "little") + (6).to_bytes(4, "little")
+    rgb = scene()
+    pixels = [("x", *rgb.shape[:2], 3, 16, rgb[:, :, ::-1].tobytes())]
+    rows = spark.createDataFrame([(pixels[0], exif)], "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>, content binary")
+    steps = images.Steps(deskew=False, contrast=False, resolution=False)
+    got = {r.crop: r for r in images.prepare_images(rows, steps, uncropped=True).collect()}
+    assert (got[-1].height, got[-1].width) == (rgb.shape[1], rgb.shape[0]) and got[-1].notes[0] == "orientation 6" and len(got) >= 2
+
+
+def test_decoded_images_are_cached_with_their_misses(spark):
+    blank = np.full((40, 40, 3), 255, np.uint8)
+    rows = spark.createDataFrame([(k, 40, 40, blank.tobytes()) for k in ("a", "b", "b", "c")], "key string, height int, width int, data binary")
+    cache = spark.createDataFrame([("a", None, None)], "key string, code string, step string")
+    got = {r.key: (r.code, r.step, r.cached) for r in images.decode_images(rows, lambda x: "123", lambda c: c == "123", cache).collect()}
+    assert got == {"a": (None, None, True), "b": ("123", "direct", False), "c": ("123", "direct", False)}
+
+
+def test_a_rate_limit_is_waited_for():
+    asked, waited = [], []
+
+    def generate(payload, warmth):
+        asked.append(warmth)
+        if len(asked) < 3:
+            raise RuntimeError("limit")
+        return '{"a": 1}'
+
+    run = pipeline.json_engine(pipeline.patient(generate, lambda e: "limit" in str(e), waited.append))
+    assert run(None) == {"a": 1} and len(set(asked)) == 1 and waited == [0, 1]
+
+
+def test_passages_in_blocks(spark):
+    docs = spark.createDataFrame([(1, "The  red fox jumps over it"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    passages = spark.createDataFrame([(1, "red fox jumps high"), (2, "red dog sat high"), (3, ""), (4, None), (5, "ox")], "item_id long, text string")
+    for block in (1, 100):
+        assert sorted((r.doc_id, r.item_id) for r in search.passages_found(docs, passages, block).collect()) == [(1, 1), (1, 5)]
+    assert search.passages_found(docs, passages.limit(0)).count() == 0
+    assert [(r.doc_id, r.item_id, r.f1) for r in search.closest_passage(docs, passages).collect()] == [(1, 1, 0.6)]
