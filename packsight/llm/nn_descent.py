@@ -15,7 +15,7 @@ scaled without loss; others are taken relative to one of the vectors.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or
 non-finite component take no part; ties go to the smaller id; of equal vectors, as many members
-are kept per node as a result can hold; fewer candidates than asked for give shorter lists; an
+are kept per node as a result can hold; repeated rows are one; fewer candidates than asked for give shorter lists; an
 empty table gives no rows.
 """
 
@@ -42,30 +42,32 @@ def _clean(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return vectors.where(F.coalesce(sound, F.lit(False)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", degree: int = 24, inward: int = 32, trees: int = 4, settled: float = 0.02, most_members: int = 11, seed: int = 2) -> tuple[DataFrame, DataFrame]:
+def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", degree: int = 24, inward: int = 32, trees: int = 4, settled: float = 0.02, k: int = 10, seed: int = 2) -> tuple[DataFrame, DataFrame]:
     """The nodes and the neighbour graph of all vectors.
 
     nodes: node (the smallest id of equal vectors), v (components), packed (the same less a centre,
-    scaled, in single precision), members (the first ids of the equal vectors). graph: node, near (ids of neighbours in
+    scaled, in single precision), members (the first ids of the equal vectors, as many as lists of k
+    can need; search takes no greater k). graph: node, near (ids of neighbours in
     either direction: `degree` own ones and at most `inward` of those that name it). Rounds end when
     one replaces at most the share `settled` of all neighbours.
     """
     clean = _clean(vectors, key, column)
     size = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     clean = clean.where(F.size("v") == (size.n if size else 0))
-    first = Window.partitionBy("v").orderBy("vec_id")
-    ranked = clean.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most_members)
-    alike = ranked.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("members"))
+    # Equal vectors meet by their hash; each task passes on k + 1 of them at most.
+    first = Window.partitionBy("hash", "v").orderBy("vec_id")
+    ranked = clean.withColumn("hash", F.xxhash64("v")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k + 1)
+    alike = ranked.groupBy("hash", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("members"))
 
-    base = stored(alike.select(F.col("members")[0].alias("node"), "v", "members"), "nodes")
+    base = stored(alike.select(F.col("members")[0].alias("node"), "v", "members", F.lit(k + 1).alias("room")), "nodes")
     centre, scale = _scaling(base)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) * scale - centre
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in flat.astype(np.float32)], pa.binary())], names=["node", "v", "members", "packed"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in flat.astype(np.float32)], pa.binary())], names=["node", "v", "members", "room", "packed"])
 
-    nodes = stored(map_arrow(base, pack, "node long, v array<double>, members array<long>, packed binary"), "nodes")
+    nodes = stored(map_arrow(base, pack, "node long, v array<double>, members array<long>, room int, packed binary"), "nodes")
     graph = stored(_start(nodes, size.n if size else 1, degree, trees, seed), "graph")
     while True:
         held = graph.agg(F.sum(F.size("ids")).alias("all"), F.sum(F.size(F.filter("fresh", lambda x: x))).alias("fresh")).first()
@@ -236,6 +238,9 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
     `recall` of these, or the beam holds all nodes. The best `rerank` nodes, and all that tie
     with the last, are measured in double precision. A query's own id isn't a candidate.
     """
+    room = nodes.agg(F.min("room")).first()[0]
+    if room is not None and k >= room:
+        raise ValueError(f"the index keeps members for lists of {room - 1}, not {k}")
     chosen = nodes.orderBy(F.xxhash64(F.lit(1), "node"), "node").limit(entries).select("node", "packed").collect()
     ids = np.array([r.node for r in chosen], dtype=np.int64)
     points = np.stack([np.frombuffer(r.packed, dtype=np.float32) for r in chosen]) if chosen else np.zeros((0, 1), np.float32)
@@ -286,7 +291,8 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
             joined = pools.join(todo, "query_id", "left").join(new, "query_id", "left")
             none = F.array().cast(pool_type)
             expanded = F.transform("pool", lambda e: F.struct(e["d"].alias("d"), e["node"].alias("node"), (e["done"] | F.array_contains(F.coalesce(F.col("next.node"), F.array().cast("array<long>")), e["node"])).alias("done")))
-            pools = stored(joined.select("query_id", first(F.sort_array(F.concat(expanded, F.coalesce("new", none))), beam).alias("pool")), "beam")
+            merged = joined.select("query_id", F.sort_array(F.concat(expanded, F.coalesce("new", none))).alias("pool"))
+            pools = stored(merged.select("query_id", first(F.col("pool"), beam).alias("pool")), "beam", few=True)
         return pools
 
     some = stored(state.orderBy(F.xxhash64(F.lit(2), "query_id"), "query_id").limit(probes), "beam")
