@@ -4,9 +4,9 @@ Equal vectors are one node. The graph starts from random-projection blocks: in e
 nodes are ordered along random directions and cut into blocks, and the nearest nodes within a
 block become neighbours. Each round then joins every node's neighbours (both directions) with each
 other: a neighbour of a neighbour that is nearer replaces the farthest. Rounds go on until next to
-none is replaced. Queries start at entry nodes and repeatedly expand the nearest nodes not yet
-expanded, until none of their best is left; how many best these are is settled by the recall of a
-sample of the queries, for which all nodes are measured.
+none is replaced. Queries start at entry nodes, and at their own node if they have one, and repeatedly
+expand the nearest nodes not yet expanded, until none of their best is left; how many best these are
+is settled by the recall of a sample of the queries, for which all nodes are measured.
 
 Distances within the graph are in single precision, from differences of scaled components; the
 distances returned are in double precision. Nodes that single precision can't tell from the last
@@ -229,13 +229,13 @@ def _round(nodes: DataFrame, graph: DataFrame, degree: int, inward: int) -> Data
     return _merged(graph.select("node", "ids", "d", F.lit(True).alias("old")).union(offered.withColumn("old", F.lit(False))), degree)
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = 200, step: int = 64, entries: int = SAMPLE, rerank: int = 64, recall: float = 0.95, probes: int = 64) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = 200, step: int = 100, starts: int = 8, entries: int = SAMPLE, rerank: int = 64, recall: float = 0.95, probes: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each of queries (query_id, v).
 
-    Greedy search: `entries` nodes are the bounded set of entry points; of the best `beam` nodes of a
-    query, up to `step` not yet expanded are expanded at a time, until all are. For `probes` of the
-    queries the nearest of all nodes are measured; `beam` is doubled until the search finds the share
-    `recall` of these, or the beam holds all nodes. The best `rerank` nodes, and all that tie
+    Greedy search: `entries` nodes are the bounded set of entry points, of which a query takes the
+    nearest `starts`; of its best `beam` nodes up to `step` not yet expanded are expanded at a time,
+    until all are. For `probes` of the queries the nearest of all nodes are measured; `beam` is doubled
+    and the search goes on until it finds the share `recall` of these, or the beam holds all nodes. The best `rerank` nodes, and all that tie
     with the last, are measured in double precision. A query's own id isn't a candidate.
     """
     room = nodes.agg(F.min("room")).first()[0]
@@ -257,12 +257,17 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
                 x = (x * scale - (centre if len(centre) in (1, len(x)) else 0)).astype(np.float32)
                 packed.append(x.tobytes())
                 d = ((points - x) ** 2).sum(axis=1) if len(points) and points.shape[1] == len(x) else np.zeros(0)
-                best = np.argsort(d, kind="stable")[:step]
+                best = np.argsort(d, kind="stable")[:starts]
                 pools.append([{"d": float(d[a]), "node": int(ids[a]), "done": False} for a in best])
             kind = pa.list_(pa.struct([("d", pa.float32()), ("node", pa.int64()), ("done", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("v"), pa.array(packed, pa.binary()), pa.array(pools, kind)], names=["query_id", "v", "packed", "pool"])
 
-    state = stored(map_arrow(queries.select("query_id", "v"), enter, f"query_id long, v array<double>, packed binary, pool {pool_type}"), "beam")
+    entered = map_arrow(queries.select("query_id", "v"), enter, f"query_id long, v array<double>, packed binary, pool {pool_type}")
+    own = nodes.select(F.col("node").alias("own"), F.explode("members").alias("query_id"), F.xxhash64("v").alias("hash"), F.col("v").alias("w"))
+    joined = entered.withColumn("hash", F.xxhash64("v")).join(own, ["query_id", "hash"], "left")
+    known = F.when(F.col("v") == F.col("w"), F.array(F.struct(F.lit(0.0).cast("float").alias("d"), F.col("own").alias("node"), F.lit(False).alias("done"))))
+    rest = F.filter("pool", lambda e: ~e["node"].eqNullSafe(F.col("own")))
+    state = stored(joined.select("query_id", "v", "packed", F.when(known.isNull(), F.col("pool")).otherwise(F.concat(known, rest)).alias("pool")), "beam", few=True)
     asked = state.select("query_id", "v", "packed")
     pools = state.select("query_id", "pool")
     packed = nodes.select("node", F.col("packed").alias("other"))
@@ -279,32 +284,31 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
         last = F.sqrt(F.try_element_at(pool, F.lit(n))["d"].cast("double")) * 1.0001 + blur
         return F.filter(pool, lambda e: F.coalesce(F.sqrt(e["d"].cast("double")) <= last, F.lit(True)))
 
-    def greedy(asked: DataFrame, pools: DataFrame, beam: int) -> DataFrame:
+    def greedy(pools: DataFrame, beam: int) -> DataFrame:
+        """Expand until all of the best are; twice as many are held, for the next beam to begin with."""
         while True:
-            todo = pools.select("query_id", F.slice(F.filter("pool", lambda e: ~e["done"]), 1, step).alias("next")).where(F.size("next") > 0)
+            todo = pools.select("query_id", F.slice(F.filter(F.slice("pool", 1, beam), lambda e: ~e["done"]), 1, step)["node"].alias("next")).where(F.size("next") > 0)
             if not todo.head(1):
-                break
-            around = todo.select("query_id", F.explode("next.node").alias("node")).join(graph, "node").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("seen"))
+                return pools
+            around = todo.select("query_id", F.explode("next").alias("node")).join(graph, "node").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("seen"))
             fresh = pools.join(around, "query_id").select("query_id", F.explode(F.array_except("seen", F.col("pool.node"))).alias("node")).join(asked.select("query_id", "packed"), "query_id")
             found = map_arrow(fresh.join(packed, "node").select("query_id", "node", "packed", "other"), measure, "query_id long, node long, d float")
             new = found.groupBy("query_id").agg(F.collect_list(F.struct("d", "node", F.lit(False).alias("done"))).alias("new"))
             joined = pools.join(todo, "query_id", "left").join(new, "query_id", "left")
             none = F.array().cast(pool_type)
-            expanded = F.transform("pool", lambda e: F.struct(e["d"].alias("d"), e["node"].alias("node"), (e["done"] | F.array_contains(F.coalesce(F.col("next.node"), F.array().cast("array<long>")), e["node"])).alias("done")))
+            expanded = F.transform("pool", lambda e: F.struct(e["d"].alias("d"), e["node"].alias("node"), (e["done"] | F.array_contains(F.coalesce("next", F.array().cast("array<long>")), e["node"])).alias("done")))
             merged = joined.select("query_id", F.sort_array(F.concat(expanded, F.coalesce("new", none))).alias("pool"))
-            pools = stored(merged.select("query_id", first(F.col("pool"), beam).alias("pool")), "beam", few=True)
-        return pools
+            pools = stored(merged.select("query_id", first(F.col("pool"), 2 * beam).alias("pool")), "beam", few=True)
 
-    some = stored(state.orderBy(F.xxhash64(F.lit(2), "query_id"), "query_id").limit(probes), "beam")
-    asking = some.select("query_id", "packed").collect()
+    some = state.select("query_id", "packed").orderBy(F.xxhash64(F.lit(2), "query_id"), "query_id").limit(probes).collect()
     total = nodes.count()
-    within = _scanned(nodes, [(r.query_id, np.frombuffer(r.packed, dtype=np.float32)) for r in asking], k)
-    while asking and beam < total:
-        tried = greedy(some.select("query_id", "v", "packed"), some.select("query_id", "pool"), beam).select("query_id", "pool.node").collect()
-        if sum(len(within[r.query_id].intersection(r.node)) for r in tried) >= recall * sum(map(len, within.values())):
+    within = _scanned(nodes, [(q.query_id, np.frombuffer(q.packed, dtype=np.float32)) for q in some], k)
+    while some:
+        pools = greedy(pools, beam)
+        tried = pools.where(F.col("query_id").isin(list(within))).select("query_id", F.slice("pool.node", 1, beam).alias("node")).collect()
+        if beam >= total or sum(len(within[q.query_id].intersection(q.node)) for q in tried) >= recall * sum(map(len, within.values())):
             break
         beam *= 2
-    pools = greedy(asked, pools, beam)
     best = pools.select("query_id", F.explode(first(F.col("pool"), rerank)).alias("e")).select("query_id", F.col("e.node").alias("node"))
     pairs = best.join(nodes.select("node", F.col("v").alias("w"), "members"), "node").join(asked.select("query_id", "v"), "query_id")
 
