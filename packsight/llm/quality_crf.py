@@ -2,15 +2,22 @@
 
 Each line is labelled good or bad. Its features are binary (shape of the line and of its two
 neighbours: symbols, separators, capitals, repeated words, length); a transition weight ties
-neighbouring lines together. Training lines carry their document's label. A document's quality is
-the mean of its lines' forward-backward marginals, weighted by their lengths, and mapped to a
-probability by a logistic calibration on the training documents.
-
-The model is fitted on at most `sample` labelled documents, those first in a hashed order; texts are
-read whole. Its inputs are lines only: no id, language, source or label.
-
-Defined results: a null text counts as empty; a text without a word is one empty line; every score
-lies between 0 and 1; repeated rows are scored each by itself.
+neighbouring lines together. Training lines first carry their document's label; lines that the
+features alone clearly contradict are given the other one, and the field, transition included, is
+fitted on labels that change within documents. A document's quality is the mean of its lines'
+forward-backward marginals, weighted by their lengths, and mapped to a probability by a logistic
+calibration on the training documents.
+
+The model is fitted on a bounded sample: at most `sample` labelled documents, of whose chains of up to
+CHUNK lines at most `chains` come to the driver; either are those first in a hashed order. Every
+line of the documents can be drawn, and calibration reads them whole. The inputs are lines only:
+no id, language, source or label.
+
+Defined results: a null text counts as empty; a text without a word is one empty line; very long
+texts are scored whole; every score lies between 0 and 1; repeated rows are scored each by itself,
+and count in the fit as often as they occur; without labels, or with one label only, every text has
+the same score; an empty table gives an empty one; an existing column of the score's name is
+replaced, others stay.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ from .common import map_arrow, pieces, utf8
 
 CHUNK = 48  # lines of a text that are trained on together; longer texts give several chains
 SAMPLE = 6000  # labelled documents that the model is fitted on at most
+CHAINS = 12_000  # chains of their lines that the weights are fitted on at most
+SURE = 0.95  # from here on a line's own features outweigh its document's label
 
 
 def _byte_classes() -> np.ndarray:
@@ -152,82 +161,118 @@ class LineCrf:
         self.weights, self.stay, self.slope, self.bias = weights, stay, slope, bias
 
     @classmethod
-    def fit(cls, features: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 150, penalty: float = 1e-3) -> LineCrf:
-        """Fit on documents of counts[i] lines each, whose lines all carry labels[i]."""
+    def fit(cls, features: np.ndarray, counts: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 150, penalty: float = 1e-3) -> LineCrf:
+        """Fit on chains of counts[i] lines each, of documents labelled labels[i]; lines weigh weight[i] each.
+
+        The calibration is left as it is.
+        """
         if not len(labels) or labels.min() == labels.max():
             return cls(np.zeros(OWN), 0.0, 0.0, 4.0 if len(labels) and labels.min() == 1 else 0.0)
-        chains = np.concatenate([np.full(c // CHUNK + (c % CHUNK > 0), CHUNK) for c in counts])
-        last = np.cumsum([c // CHUNK + (c % CHUNK > 0) for c in counts]) - 1
-        chains[last] = np.where(counts % CHUNK, counts % CHUNK, CHUNK)
-        x, y = features.astype(np.float32), np.repeat(labels, counts).astype(float)
-        first = np.zeros(len(y), dtype=bool)
-        first[np.cumsum(np.concatenate([[0], chains[:-1]]))] = True
-        # Each document counts alike, however many lines it has.
-        weight = np.repeat(1 / counts, counts)
-        weights, stay = np.zeros(OWN), 0.5
-        velocity, size = np.zeros(OWN), np.full(OWN, 1e-8)
+        x, given, each = features.astype(np.float32), np.repeat(labels, counts).astype(float), np.repeat(weight, counts)
+        alone, _ = cls._descend(x, given, each, counts, np.zeros(OWN), 0.0, rounds, penalty, False)
+        own = 1 / (1 + np.exp(-np.clip(x @ alone, -40, 40)))
+        own = np.where(given == 1, own, 1 - own)  # of the label that the document gives
+        y = np.where(own < 1 - SURE, 1 - given, given)
+        weights, stay = cls._descend(x, y, each, counts, alone, cls._persistence(y, counts), rounds, penalty, True)
+        return cls(weights, stay, 1.0, 0.0)
+
+    @staticmethod
+    def _persistence(y: np.ndarray, counts: np.ndarray) -> float:
+        """Half the log odds that a line has the label of the line before it."""
+        inner = np.ones(len(y), dtype=bool)
+        inner[np.cumsum(counts) - 1] = False
+        same = (y[1:] == y[:-1])[inner[:-1]]
+        return float(np.clip(0.5 * np.log((same.sum() + 1) / ((~same).sum() + 1)), 0.0, 3.0))
+
+    @staticmethod
+    def _descend(x: np.ndarray, y: np.ndarray, each: np.ndarray, counts: np.ndarray, weights: np.ndarray, stay: float, rounds: int, penalty: float, chained: bool) -> tuple[np.ndarray, float]:
+        """Weights, and the transition weight if lines are chained, by gradients of the likelihood of y."""
+        inner = np.ones(len(y), dtype=bool)
+        inner[np.cumsum(counts) - 1] = False
+        same, pairs = float((y[1:] == y[:-1])[inner[:-1]].sum()), max(1, int(inner.sum()))
+        velocity, size, total = np.zeros(OWN), np.full(OWN, 1e-8), each.sum()
         for t in range(rounds):
             odds = x @ weights
-            error = (y - _marginals(odds, stay, chains)) * weight
-            gradient = x.T @ error / len(labels) - penalty * weights
+            error = (y - _marginals(odds, stay, counts)) * each
+            gradient = x.T @ error / total - penalty * weights
             velocity = 0.9 * velocity + 0.1 * gradient
             size = 0.99 * size + 0.01 * gradient**2
             weights = weights + 0.15 * (velocity / (1 - 0.9 ** (t + 1))) / (np.sqrt(size / (1 - 0.99 ** (t + 1))) + 1e-6)
-            if t % 10 == 9:  # the transition weight by a difference of log likelihoods
-                pairs = len(y) - len(chains)
-                slope = (_log_z(odds, stay + 0.05, chains) - _log_z(odds, stay - 0.05, chains)) / 0.1
-                stay = float(np.clip(stay + 0.5 * (pairs - slope) / max(1, pairs), 0.0, 3.0))
-        model = cls(weights, stay, 1.0, 0.0)
-        z = model._means(x, lengths, counts)
-        z = np.log(np.clip(z, 1e-4, 1 - 1e-4) / (1 - np.clip(z, 1e-4, 1 - 1e-4)))
-        for _ in range(200):  # Newton steps on two parameters
-            s = 1 / (1 + np.exp(-np.clip(model.slope * z + model.bias, -40, 40)))
+            if chained and t % 10 == 9:  # by the difference of observed and expected unchanged labels
+                expected = (_log_z(odds, stay + 0.05, counts) - _log_z(odds, stay - 0.05, counts)) / 0.1
+                stay = float(np.clip(stay + 2.0 * ((same - expected) / pairs - penalty * stay), 0.0, 5.0))
+        return weights, stay
+
+    def calibrate(self, means: np.ndarray, labels: np.ndarray) -> None:
+        """Fit slope and bias of the logistic map from documents' means to labels, by Newton steps."""
+        if not len(labels) or labels.min() == labels.max():
+            return
+        z = np.log(np.clip(means, 1e-4, 1 - 1e-4) / (1 - np.clip(means, 1e-4, 1 - 1e-4)))
+        for _ in range(200):
+            s = 1 / (1 + np.exp(-np.clip(self.slope * z + self.bias, -40, 40)))
             w = s * (1 - s) + 1e-4
-            g = np.array([((labels - s) * z).sum() - 0.05 * model.slope, (labels - s).sum() - 0.05 * model.bias])
+            g = np.array([((labels - s) * z).sum() - 0.05 * self.slope, (labels - s).sum() - 0.05 * self.bias])
             h = np.array([[(w * z * z).sum() + 0.05, (w * z).sum()], [(w * z).sum(), w.sum() + 0.05]])
             step = np.linalg.solve(h, g)
-            model.slope, model.bias = model.slope + 0.5 * step[0], model.bias + 0.5 * step[1]
-        return model
+            self.slope, self.bias = self.slope + 0.5 * step[0], self.bias + 0.5 * step[1]
 
     def _means(self, features: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
         good = _marginals(features @ self.weights, self.stay, counts)
         starts = np.cumsum(np.concatenate([[0], counts[:-1]]))
         return np.add.reduceat(good * lengths, starts) / np.add.reduceat(lengths, starts)
 
+    def means(self, texts: list[bytes]) -> np.ndarray:
+        """The share of each text that is good, by its lines' marginals."""
+        features, lengths, counts = line_features(texts)
+        return self._means(features.astype(np.float32), lengths, counts)
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """The probability that each text is good."""
-        features, lengths, counts = line_features(texts)
-        mean = np.clip(self._means(features.astype(np.float32), lengths, counts), 1e-4, 1 - 1e-4)
+        mean = np.clip(self.means(texts), 1e-4, 1 - 1e-4)
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log(mean / (1 - mean)) + self.bias, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 10) -> LineCrf:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chains: int = CHAINS, seed: int = 10) -> LineCrf:
     """Fit a model on docs (doc_id, text) with labels (doc_id, label 0 or 1).
 
     At most `sample` labels are used, those first in a hashed order; as that bounds them, they are
-    broadcast, and no text moves. Features are computed on the executors; only those of the sample
-    come to the driver.
+    broadcast, and no text moves. Features are computed on the executors; `chains` chains of lines
+    and one mean a document are all that comes to the driver.
     """
     chosen = labels.where("label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", F.xxhash64(F.lit(seed), "doc_id", "text").alias("hash"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             texts = [x or b"" for x in utf8(batch.column("text")).to_pylist()]
-            features, lengths, counts = line_features(texts)
-            ends = np.cumsum(counts)
-            parts = [(np.packbits(features[e - c : e], axis=1).tobytes(), lengths[e - c : e].astype(np.int32).tobytes()) for e, c in zip(ends, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([a for a, _ in parts], pa.binary()), pa.array([b for _, b in parts], pa.binary())], names=["label", "features", "lengths"])
-
-    got = map_arrow(rows, run, "label int, features binary, lengths binary").collect()
-    if not got:
-        return LineCrf.fit(np.zeros((0, OWN)), np.zeros(0), np.zeros(0, int), np.zeros(0))
+            features, _, counts = line_features(texts)
+            at, out = 0, []
+            for label, hashed, n in zip(batch.column("label").to_pylist(), batch.column("hash").to_pylist(), counts.tolist()):
+                out += [(label, hashed, k, n, np.packbits(features[at + k : at + min(n, k + CHUNK)], axis=1).tobytes()) for k in range(0, n, CHUNK)]
+                at += n
+            columns = zip(*out) if out else ([],) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["label", "hash", "at", "n", "features"])
+
+    drawn = map_arrow(rows, cut, "label int, hash long, at int, n int, features binary").orderBy(F.xxhash64("hash", "at"), "hash", "at", "label", "features").limit(chains).collect()
+    if not drawn:
+        return LineCrf.fit(np.zeros((0, OWN)), np.zeros(0, int), np.zeros(0), np.zeros(0))
     width = (OWN + 7) // 8
-    packed = np.frombuffer(b"".join(r.features for r in got), dtype=np.uint8).reshape(-1, width)
-    lengths = np.frombuffer(b"".join(r.lengths for r in got), dtype=np.int32)
-    counts = np.array([len(r.lengths) // 4 for r in got])
-    return LineCrf.fit(np.unpackbits(packed, axis=1, count=OWN), lengths, counts, np.array([r.label for r in got], dtype=float))
+    packed = np.frombuffer(b"".join(r.features for r in drawn), dtype=np.uint8).reshape(-1, width)
+    counts = np.array([len(r.features) // width for r in drawn])
+    # Each document counts alike, however many lines it has.
+    model = LineCrf.fit(np.unpackbits(packed, axis=1, count=OWN), counts, np.array([r.label for r in drawn], dtype=float), np.array([1 / r.n for r in drawn]))
+    weights = (model.weights, model.stay, model.slope, model.bias)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = LineCrf(*weights)
+        for batch in pieces(batches, "text", 1 << 20):
+            means = own.means([x or b"" for x in utf8(batch.column("text")).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("hash"), pa.array(means, pa.float64())], names=["label", "hash", "mean"])
+
+    known = map_arrow(rows, measure, "label int, hash long, mean double").orderBy("hash", "label", "mean").limit(sample).collect()
+    model.calibrate(np.array([r["mean"] for r in known]), np.array([r["label"] for r in known], dtype=float))
+    return model
 
 
 def score(docs: DataFrame, model: LineCrf, text: str = "text", into: str = "score") -> DataFrame:
