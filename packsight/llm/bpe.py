@@ -9,7 +9,9 @@ the same pieces for both sides: at a character boundary, never after white space
 ahead there) and never before an apostrophe (contractions).
 
 Defined results: a null or empty text has no ids and decodes to the empty string; the special
-token's string inside a text is that token, as in the library's default; repeated rows stay.
+token's string inside a text is that token, as in the library's default; very long texts are encoded whole;
+repeated rows stay; an empty table gives an empty one; columns of the results' names are replaced,
+others stay.
 """
 
 from __future__ import annotations

@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from ..storage import shared_dir, stored  # noqa: F401
+
 #: A word is a longest run without these six characters (space, tab, LF, VT, FF, CR).
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local_dir: str | None = None
-_shipped: set[str] = set()
-
 
 def words(text: Column) -> Column:
     """All words of a text in order; no words for a null or empty text."""
@@ -28,15 +24,7 @@ def words(text: Column) -> Column:
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(run), with this package sent to the executors first."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="packsight-")) / "packsight_code.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for file in sorted(package.rglob("*.py")):
-                z.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -47,36 +35,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset (local tests only) a temporary folder stands in for it.
-    """
-    global _local_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if _local_dir is None:
-        _local_dir = "file://" + tempfile.mkdtemp(prefix="packsight-")
-    return _local_dir
-
-
-def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    few: rows are dealt anew first, so that a small table is one file and not one a task. The files
-    are deleted when the application ends.
-    """
-    spark = df.sparkSession
-    if few:
-        df = df.hint("rebalance")
-    path = f"{shared_dir(spark)}/packsight/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a frame from stored() that no later plan reads."""
     spark = df.sparkSession

@@ -10,8 +10,10 @@ each kind's threshold is calibrated on the half of the examples that the trees h
 Patterns use possessive quantifiers and look-behinds where these give the same matches, so that
 long runs of digits or letters cost linear time and no deep recursion.
 
-Defined results: a null text counts as empty; an empty text has no spans; positions are code points,
-ends exclusive; repeated rows are searched each by itself.
+Defined results: a null text counts as empty; an empty text has no spans; very long texts are searched
+whole; positions are code points, ends exclusive; spans of different kinds may overlap and are ordered
+by start, then kind as listed; repeated rows are searched each by itself; an empty table gives an
+empty one; an existing column of the result's name is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ GENERATORS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-9])(?![\x20-][0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "phone_local": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])",
-    "email_spelled": r"(?i)(?<![A-Z0-9._-])[A-Z0-9._-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Z0-9-]{1,64}+(?:\x20?[\[(]dot[\])]\x20?[A-Z0-9-]{1,64}+)++",
+    "email_spelled": r"(?i)(?<![A-Z0-9._-])[A-Z0-9._-]++\x20?[\[(]at[\])]\x20?[A-Z0-9-]++(?:\x20?[\[(]dot[\])]\x20?[A-Z0-9-]++)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?i)(?<![A-Z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key|key)\x20?[=:]\x20?[\"']?[A-Z0-9/+_.-]{6,}+[\"']?",
@@ -123,18 +125,18 @@ def examples(spark: SparkSession, rows: int = 3600) -> DataFrame:
         "ip": f"concat_ws('.', {octet(3)}, {octet(4)}, {octet(5)}, {octet(6)})",
         "card": f"get(filter(transform(sequence(0, 9), d -> concat('4', {num(7, 4)}, {num(8, 5)}, {num(9, 5)}, d)), x -> luhn_check(x)), 0)",
         "phone": f"concat('+', {pick(10, '1', '44', '49')}, ' ', {num(11, 3)}, ' ', {num(12, 7)})",
-        "phone_local": f"concat('(', {num(13, 3)}, ') ', {num(14, 3)}, '-', {num(15, 4)})",
-        "email_spelled": f"concat({hexa(16, 5)}, ' [at] ', {pick(17, 'mail', 'corp')}, ' [dot] example')",
+        "phone_local": f"concat({pick(65, '(', '')}, {num(13, 3)}, case when {r(65, 2)} = 0 then ') ' else {pick(66, '-', '.')} end, {num(14, 3)}, case when {r(65, 2)} = 0 then '-' else {pick(66, '-', '.')} end, {num(15, 4)})",
+        "email_spelled": f"concat(repeat({hexa(16, 5)}, case when {r(73, 3)} = 0 then 6 + {r(74, 14)} else 1 end), ' [at] ', {pick(17, 'mail', 'corp')}, ' [dot] example')",
         "iban": f"concat({pick(18, 'DE', 'FR', 'GB')}, {num(19, 2)}, {num(20, 8)}, {num(21, 8)}, {num(22, 2)})",
         "national_id": f"concat({num(23, 3)}, '-', {num(24, 2)}, '-', {num(25, 4)})",
-        "secret": f"concat({pick(26, 'password', 'token', 'api_key')}, {pick(27, '=', ' = ', ': ')}, {hexa(28, 20)})",
+        "secret": f"concat({pick(26, 'password', 'token', 'api_key')}, {pick(27, '=', ' = ', ': ')}, case when {r(67, 3)} = 0 then concat({pick(68, 'hunter', 'Summer', 'blue', 'Tiger')}, substr({num(69, 3)}, 1, {r(72, 3)} + 1), {pick(70, 'secret', 'x', 'Moon', '')}) else {hexa(28, 20)} end)",
     }
     bad = {
         "email": f"concat({pick(31, 'user', 'name')}, '@', {pick(32, '1', '2')}, '.0')",
         "ip": f"concat_ws('.', {num(33, 3)}, {num(34, 4)}, {num(35, 1)}, {num(36, 3)})",
         "card": f"get(filter(transform(sequence(0, 9), d -> concat({num(37, 5)}, {num(53, 5)}, {num(54, 5)}, d)), x -> not luhn_check(x)), {r(55, 9)})",
         "phone": f"concat('+', {num(38, 1)}, '.', {num(39, 2)})",
-        "phone_local": f"concat({num(40, 3)}, ' ', {num(41, 3)}, ' ', {num(42, 4)})",
+        "phone_local": f"concat({num(40, 3)}, {pick(71, ' ', ' ', '-', '.')}, {num(41, 3)}, {pick(71, ' ', ' ', '-', '.')}, {num(42, 4)})",
         "email_spelled": f"concat({pick(43, 'look', 'meet')}, ' (at) ', {pick(44, 'noon', 'home')}, ' (dot) ', {num(45, 1)})",
         "iban": f"concat('AA00', {pick(46, 'ABCD', 'WXYZ')}, 'ABCDEFGH')",
         "national_id": f"concat({num(47, 3)}, '-', {num(48, 2)}, '-', {num(49, 4)})",

@@ -3,7 +3,9 @@
 The model is trained on a small table of labelled URLs (a parameter; the default is below).
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no rule and is
-judged by the model on the empty string; repeated rows are judged each by itself.
+judged by the model on the empty string; very long URLs are read whole; a score of exactly one half
+allows; repeated rows are judged each by itself; an empty table gives an empty one; columns of the
+result's names are replaced, others stay.
 """
 
 from __future__ import annotations
