@@ -6,7 +6,8 @@ lines are removed; a document that loses too large a share of its characters is
 test on word count and repeated five-word windows rejects documents before that.
 
 Defined results: a null text counts as empty; an empty text has no words and fails the base test;
-lines without a word are dropped and weigh nothing; repeated rows are judged each by itself.
+lines without a word are dropped and weigh nothing; very long texts are read whole; repeated rows are
+judged each by itself; an empty table gives an empty one; columns other than doc_id are dropped.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def _let(value: Column, body) -> Column:
 def _windows(found: Column) -> Column:
     """A hash of each five-word window, in order."""
     starts = F.when(F.size(found) >= WINDOW, F.sequence(F.lit(1), F.size(found) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(found, i, WINDOW)))
+    return _let(F.transform(found, lambda w: F.xxhash64(w)), lambda each: F.transform(starts, lambda i: F.xxhash64(*(F.get(each, i + k) for k in range(-1, WINDOW - 1)))))
 
 
 def _covered(hashes: Column) -> Column:
@@ -75,11 +76,8 @@ def line_fails(line: Column) -> Column:
     punctuation = 100 * _count(line, SYMBOLS + "!?") > 20 * solid
     separators = _count(line, SEPARATORS)
     navigation = (separators >= 3) & (3 * separators >= spaces)
-    shouting = (F.upper(line) == line) & (F.lower(line) != line) & (spaces >= 4)
-    lowered = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(lowered, F.lit(phrase))
+    shouting = (spaces >= 4) & (F.upper(line) == line) & (F.lower(line) != line)
+    boilerplate = F.rlike(line, F.lit("(?iu)" + "|".join(BOILERPLATE)))
     return punctuation | navigation | shouting | boilerplate
 
 
