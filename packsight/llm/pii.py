@@ -47,7 +47,7 @@ BASE = KINDS[:4]
 #: A text without a match of this has no candidate of the kind.
 _NEEDS = {"email": "@", "phone": "+", "email_spelled": "(?i)at", "secret": "[=:]"}
 
-FEATURES = ("kind", "length", "digits", "letters", "digit_share", "distinct_share", "groups", "upper_share", "valid", "cue", "contrary", "glued")
+FEATURES = ("kind", "length", "digits", "letters", "digit_share", "distinct_share", "groups", "upper_share", "valid", "cue", "contrary", "glued", "figures")
 _CUES = r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|card|visa|account|acct|iban|ssn|social|security|id|password|passwd|token|secret|key|ip|address|login)\W{0,3}(?:no|number|nr|is)?\W{0,4}$"
 _CONTRARY = r"(?i)(?:version|build|release|isbn|order|invoice|item|sku|part|figure|section|page|model|serial|width|example|ratio|score)\W{0,3}(?:no|number|nr|is)?\W{0,4}$"
 CONTEXT = 24
@@ -105,11 +105,12 @@ def _features(value: Column, kind: Column, valid: Column, before: Column, after:
         F.rlike(before, F.lit(_CUES)).cast("int"),
         F.rlike(before, F.lit(_CONTRARY)).cast("int"),
         glued,
+        (digits > 0).cast("int"),
     )
     return F.struct(*(v.cast("double").alias(name) for name, v in zip(FEATURES, values)))
 
 
-def examples(spark: SparkSession, rows: int = 3600) -> DataFrame:
+def examples(spark: SparkSession, rows: int = 7200) -> DataFrame:
     """Generated labelled candidates: kind, value, before, after, label.
 
     Positives have a kind's format with a fitting or neutral context; negatives are look-alikes
@@ -129,7 +130,7 @@ def examples(spark: SparkSession, rows: int = 3600) -> DataFrame:
         "email_spelled": f"concat(repeat({hexa(16, 5)}, case when {r(73, 3)} = 0 then 6 + {r(74, 14)} else 1 end), ' [at] ', {pick(17, 'mail', 'corp')}, ' [dot] example')",
         "iban": f"concat({pick(18, 'DE', 'FR', 'GB')}, {num(19, 2)}, {num(20, 8)}, {num(21, 8)}, {num(22, 2)})",
         "national_id": f"concat({num(23, 3)}, '-', {num(24, 2)}, '-', {num(25, 4)})",
-        "secret": f"concat({pick(26, 'password', 'token', 'api_key')}, {pick(27, '=', ' = ', ': ')}, case when {r(67, 3)} = 0 then concat({pick(68, 'hunter', 'Summer', 'blue', 'Tiger')}, substr({num(69, 3)}, 1, {r(72, 3)} + 1), {pick(70, 'secret', 'x', 'Moon', '')}) else {hexa(28, 20)} end)",
+        "secret": f"concat({pick(26, 'password', 'token', 'api_key')}, {pick(27, '=', ' = ', ': ')}, case when {r(67, 2)} = 0 then concat({pick(68, 'hunter', 'Summer', 'blue', 'Tiger')}, substr({num(69, 3)}, 1, {r(72, 3)} + 1), {pick(70, 'secret', 'x', 'Moon', '')}) else {hexa(28, 20)} end)",
     }
     bad = {
         "email": f"concat({pick(31, 'user', 'name')}, '@', {pick(32, '1', '2')}, '.0')",
@@ -166,7 +167,7 @@ def fit(spark: SparkSession, precision: float = 0.95) -> tuple[BoostedTrees, dic
     for number, kind in enumerate(KINDS):
         own = k[unseen] == number
         s, t = scores[own], y[unseen][own]
-        enough = [cut for cut in np.unique(np.floor(s * 1000) / 1000) if cut >= 0.5 and t[s >= cut].mean() >= precision]
+        enough = [cut for cut in np.linspace(0.5, 0.99, 50) if (s >= cut).any() and t[s >= cut].mean() >= precision]
         thresholds[kind] = float(min(enough, default=1.0))
     return model, thresholds
 
