@@ -156,15 +156,19 @@ class Matcher:
             return None, 0.0, 0.0
         lines = lowered.split("\n")
         best: dict[str, tuple[float, int]] = {}
-        own: set[int] = set()
+        reached: list[tuple[int, int]] = []
         for i, j in self.blocks(lowered):
             scores = self.scores(" ".join(lines[i:j]))
             k = max(range(len(scores)), key=lambda k: (scores[k], -k))
             if scores[k] >= self.threshold:
-                own.update(range(i, j))
+                reached.append((i, j))
                 best[self.names[k]] = max(best.get(self.names[k], (0.0, 0)), (scores[k], -k))
         if not best:
             return None, 0.0, 0.0
+        own: set[int] = set()
+        for i, j in sorted(reached, key=lambda b: b[1] - b[0]):  # a block within another one is what counts
+            if own.isdisjoint(range(i, j)):
+                own.update(range(i, j))
         free = {name: x for name, x in best.items() if name not in CONTAINED or not (best.keys() & {CONTAINED[name]} if CONTAINED[name] else best.keys() - CONTAINED.keys())}
         name = max(free, key=lambda n: free[n])
         return name, free[name][0], sum(len(lines[k].strip()) for k in own) / max(1, sum(len(x.strip()) for x in lines))
