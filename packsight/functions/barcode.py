@@ -25,6 +25,14 @@ def checksum_valid(code: Column) -> Column:
     return F.coalesce((10 - _weighted(full, 1) % 10) % 10 == last, F.lit(False))
 
 
+def is_valid(code: str) -> bool:
+    """checksum_valid of one code, for decoders that run outside of a query."""
+    if not code.isascii() or not code.isdigit() or len(code) not in (12, 13):
+        return False
+    figures = [int(c) for c in code.zfill(13)]
+    return (sum(figures[::2]) + 3 * sum(figures[1::2])) % 10 == 0
+
+
 def restricted_prefix(code: Column) -> Column:
     """Prefixes that no retail product carries."""
     return F.rlike(code, F.lit("^(2|02|04)"))

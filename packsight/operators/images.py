@@ -347,18 +347,34 @@ def prepare(rgb: np.ndarray, steps: Steps = Steps(), matte: Callable[[np.ndarray
     if steps.resolution and (scale := band_scale(*rgb.shape[:2], steps.low, steps.high)) != 1.0:
         rgb = resized(rgb, scale)
         notes.append(f"scale {scale:.3f}")
-    before = rgb
-    if steps.crop or steps.split:
-        mask, reason = segment(rgb, matte)
-        notes.append(f"mask: {reason}")
-        if steps.crop and (box := crop_box(mask)):
-            x, y, w, h = box
-            rgb, mask = rgb[y : y + h, x : x + w], mask[y : y + h, x : x + w]
-            notes.append(f"crop {w}x{h}")
-        if steps.split:
-            boxes = instance_boxes(mask, steps.least_area)
-            return [rgb[y : y + h, x : x + w] for x, y, w, h in boxes], before, notes + [f"{len(boxes)} crops"]
-    return [rgb], before, notes
+    crops, cuts = cut(rgb, steps, matte)
+    return crops, rgb, notes + cuts
+
+
+def cut(rgb: np.ndarray, steps: Steps = Steps(), matte: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[list[np.ndarray], list[str]]:
+    """The crops of an image that is otherwise prepared, and notes."""
+    if not (steps.crop or steps.split):
+        return [rgb], []
+    mask, reason = segment(rgb, matte)
+    notes = [f"mask: {reason}"]
+    if steps.crop and (box := crop_box(mask)):
+        x, y, w, h = box
+        rgb, mask = rgb[y : y + h, x : x + w], mask[y : y + h, x : x + w]
+        notes.append(f"crop {w}x{h}")
+    if not steps.split:
+        return [rgb], notes
+    boxes = instance_boxes(mask, steps.least_area)
+    return [rgb[y : y + h, x : x + w] for x, y, w, h in boxes], notes + [f"{len(boxes)} crops"]
+
+
+CROPS = "path string, crop int, height int, width int, data binary, key string, notes array<string>"
+
+
+def _rows(path: str, numbered: list[tuple[int, np.ndarray]], notes: list[str]) -> pd.DataFrame:
+    import hashlib
+
+    rows = [(path, k, c.shape[0], c.shape[1], c.tobytes(), hashlib.sha256(f"{c.shape[0]}:{c.shape[1]}:".encode() + c.tobytes()).hexdigest(), notes) for k, c in numbered]
+    return pd.DataFrame(rows, columns=["path", "crop", "height", "width", "data", "key", "notes"])
 
 
 def prepare_images(images: DataFrame, steps: Steps = Steps(), matte: Callable[[np.ndarray], np.ndarray] | None = None, uncropped: bool = False) -> DataFrame:
@@ -371,8 +387,6 @@ def prepare_images(images: DataFrame, steps: Steps = Steps(), matte: Callable[[n
     ship(images.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         for frame in frames:
             for row in frame.itertuples():
                 if row.height <= 0:
@@ -382,12 +396,50 @@ def prepare_images(images: DataFrame, steps: Steps = Steps(), matte: Callable[[n
                 if orientation != 1:
                     rgb, turned = oriented(rgb, orientation), [f"orientation {orientation}"]
                 crops, before, notes = prepare(rgb, steps, matte)
-                pictures = [*([(-1, before)] if uncropped else []), *enumerate(crops)]
-                rows = [(row.origin, k, c.shape[0], c.shape[1], c.tobytes(), hashlib.sha256(f"{c.shape[0]}:{c.shape[1]}:".encode() + c.tobytes()).hexdigest(), turned + notes) for k, c in pictures]
-                yield pd.DataFrame(rows, columns=["path", "crop", "height", "width", "data", "key", "notes"])
+                yield _rows(row.origin, [*([(-1, before)] if uncropped else []), *enumerate(crops)], turned + notes)
 
     content = "content" if "content" in images.columns else F.lit(None).cast("binary").alias("content")
-    return images.select("image.*", content).mapInPandas(run, "path string, crop int, height int, width int, data binary, key string, notes array<string>")
+    return images.select("image.*", content).mapInPandas(run, CROPS)
+
+
+def matte_images(images: DataFrame, matte: Callable[[np.ndarray], np.ndarray], cache: DataFrame | None = None) -> DataFrame:
+    """key, alpha (a byte a pixel), cached of every distinct image (key, height, width, data as RGB).
+
+    Images with a row in cache (key, alpha) aren't given to the model. Alphas are kept as they come;
+    what counts as foreground is decided where they are used. New rows can be added to the cache.
+    """
+    ship(images.sparkSession)
+    result = "key string, alpha binary"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            alphas = [matte(np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, 3)).astype(np.uint8).tobytes() for r in frame.itertuples()]
+            yield pd.DataFrame({"key": frame["key"], "alpha": alphas})
+
+    distinct = images.select("key", "height", "width", "data").dropDuplicates(["key"])
+    if cache is None:
+        return distinct.mapInPandas(run, result).withColumn("cached", F.lit(False))
+    known = cache.select("key", "alpha").join(distinct.select("key"), "key", "left_semi").withColumn("cached", F.lit(True))
+    return distinct.join(cache, "key", "left_anti").mapInPandas(run, result).withColumn("cached", F.lit(False)).unionByName(known)
+
+
+def cut_images(images: DataFrame, mattes: DataFrame, steps: Steps = Steps()) -> DataFrame:
+    """Crops, as prepare_images gives them, of images that were prepared without cropping and splitting.
+
+    mattes: key, alpha. An image without one, or with one that holds nearly nothing or everything, is
+    segmented by its backdrop.
+    """
+    ship(images.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                rgb = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width, 3)
+                alpha = None if row.alpha is None else np.frombuffer(row.alpha, dtype=np.uint8).reshape(row.height, row.width)
+                crops, notes = cut(rgb, steps, None if alpha is None else lambda _, a=alpha: a)
+                yield _rows(row.path, list(enumerate(crops)), [*row.notes, *notes])
+
+    return images.select("path", "key", "height", "width", "data", "notes").join(mattes.select("key", "alpha"), "key", "left").mapInPandas(run, CROPS)
 
 
 def decode_images(images: DataFrame, decode: Callable[[np.ndarray], str | None], valid: Callable[[str], bool], cache: DataFrame | None = None) -> DataFrame:

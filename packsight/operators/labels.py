@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..shipping import ship
 from .records import LABEL_FIELDS
 
 # Labels in id order, and the ground-truth column of each, in order of precedence.
@@ -54,6 +58,31 @@ def training_examples(labelled: DataFrame) -> DataFrame:
     return rows.select("product_key", "view", "crop", part("word").alias("words"), part("box").alias("boxes"), part("label_id").alias("label_ids"))
 
 
+def classify(words: DataFrame, predict: Callable[[list[str], list], list[tuple[str, float]]]) -> DataFrame:
+    """product_key, view, crop, word_no, word, label, confidence by a token model, a call a crop.
+
+    words: product_key, view, crop, word_no, word, box (in thousandths). predict takes a crop's words
+    in order with their boxes and gives (label, confidence) of the first ones, as many as its window
+    holds; the others are O with a confidence of 0. A crop has as many words as fit on an image.
+    """
+    ship(words.sparkSession)
+    keys = ["product_key", "view", "crop"]
+    type_of = lambda name: words.schema[name].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            labelled = []
+            for crop in frame["words"]:
+                found = list(predict([w["word"] for w in crop], [w["box"] for w in crop])) if len(crop) else []
+                labelled.append([{"word_no": w["word_no"], "word": w["word"], "label": label, "confidence": float(sure)} for w, (label, sure) in zip(crop, found + [("O", 0.0)] * (len(crop) - len(found)))])
+            yield frame[keys].assign(words=labelled)
+
+    ordered = F.array_sort(F.collect_list(F.struct("word_no", "word", "box"))).alias("words")
+    crops = words.where("word is not null").groupBy(*keys).agg(ordered)
+    result = ", ".join(f"{k} {type_of(k)}" for k in keys) + f", words array<struct<word_no:{type_of('word_no')},word:string,label:string,confidence:double>>"
+    return crops.mapInPandas(run, result).select(*keys, F.inline("words"))
+
+
 def spans(words: DataFrame) -> DataFrame:
     """product_key, view, crop, span, label, value, confidence: neighbouring words of one label in a crop.
 

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import barcode, similarity
+from ..functions import barcode, geometry, similarity
 from ..shipping import ship
-from . import labels, products, rules
+from . import images, labels, products, rules
 from .recognise import Ladder
 
 
@@ -30,20 +30,44 @@ def read_crops(crops: DataFrame, ladder: Ladder, cache: DataFrame | None = None)
 def collect_pools(crops: DataFrame, ladder: Ladder, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(text lines, layout lines, texts) of products: the best transcription, the one with geometry, the union text.
 
-    crops: product_key, view, crop, key, payload. Lines are numbered through a product's crops.
+    crops: product_key, view, crop, key, payload and, if known, height in pixels. Lines are numbered
+    through a product's crops; their height and top are shares of the crop's height, 0 without a box.
     """
     reads = ladder.read_dual(crops.select("key", "payload"), cache)
-    placed = crops.select("product_key", "view", "crop", "key").join(reads, "key")
+    tall = F.col("height") if "height" in crops.columns else F.lit(None).cast("int")
+    placed = crops.select("product_key", "view", "crop", "key", tall.alias("tall")).join(reads, "key")
 
     def pool(column: str) -> DataFrame:
-        rows = placed.select("product_key", "view", "crop", F.posexplode(column).alias("at", "l"))
+        rows = placed.select("product_key", "view", "crop", "tall", F.posexplode(column).alias("at", "l"))
         number = F.shiftleft(F.col("view").cast("long"), 40) + F.shiftleft(F.col("crop").cast("long"), 20) + F.col("at")
-        return rows.select("product_key", "view", "crop", number.alias("line_no"), F.col("l.text").alias("text"), F.col("l.confidence").alias("confidence"))
+        place = {"height": geometry.height_frac(F.col("l.box"), F.col("tall")), "top": geometry.top_frac(F.col("l.box"), F.col("tall"))}
+        return rows.select("product_key", "view", "crop", number.alias("line_no"), "l.text", "l.confidence", "l.box", *(c.alias(name) for name, c in place.items()))
 
     text = pool("text_lines")
     return text, pool("layout_lines"), products.text_union(text)
 
 
+def collect_products(pictures: DataFrame, ladder: Ladder, decode: Callable, primary: DataFrame, secondary: DataFrame, cache: DataFrame | None = None, decodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(text lines, layout lines, texts, barcodes) of products: all that extract_products needs.
+
+    pictures: what prepare_images(uncropped=True) has written. The ladder reads the crops, its payload
+    being a struct of height, width and data; bars are looked for in the pictures before cropping, and
+    printed digits in the product's text. Pictures whose names aren't a product's are left out; a
+    product without a code has no row among the barcodes. decodes: as decode_images's cache.
+    """
+    named = pictures.withColumns({"product_key": products.product_key(F.col("path")), "view": products.view_number(F.col("path"))}).where("product_key is not null")
+    crops = named.where("crop >= 0").select("product_key", "view", "crop", "key", "height", F.struct("height", "width", "data").alias("payload"))
+    text, layout, texts = collect_pools(crops, ladder, cache)
+    whole = named.where("crop = -1")
+    codes = ladder.store(images.decode_images(whole, decode, barcode.is_valid, decodes), "decodes")
+    reads = whole.select("product_key", "view", "key").join(codes.select("key", F.col("code").alias("decoded")), "key").join(texts, "product_key", "left")
+    none = F.lit(None).cast("string")
+    checked = validate_barcodes(reads.select("product_key", "view", "decoded", F.coalesce("text", F.lit("")).alias("text"), none.alias("ocr_brand"), none.alias("ocr_name")), primary, secondary)
+    # Written before it is filtered, as a filter on a code would repeat the whole search for it in the plan.
+    found = products.strongest_barcode(ladder.store(checked, "barcodes")).withColumnsRenamed({"brand": "canonical_brand", "name": "canonical_name"})
+    return text, layout, texts, found
+
+
 def fetch_codes(codes: DataFrame, fetch: Callable[[str], dict | None]) -> DataFrame:
     """code, name, brand of looked-up codes, each asked for once; a miss is a row without values.
 

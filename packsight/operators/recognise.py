@@ -18,16 +18,20 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..shipping import ship
 
-LINES = "array<struct<text:string,confidence:double>>"
+LINES = "array<struct<text:string,confidence:double,box:array<struct<x:int,y:int>>>>"
 CACHE = f"key string, engine string, lines {LINES}, cost_usd double, failed boolean"
 
 
 @dataclass(frozen=True)
 class Engine:
-    """`run` takes one payload and returns (text, confidence) pairs; it may raise."""
+    """`run` takes one payload and returns lines; it may raise.
+
+    A line is (text, confidence) or, of engines that see where it is, (text, confidence, box), the box
+    being its corners as (x, y) pairs in pixels.
+    """
 
     name: str
-    run: Callable[[object], list[tuple[str, float | None]]]
+    run: Callable[[object], list[tuple]]
     cost_usd: float = 0.0
     paid: bool = False
     available: Callable[[], bool] = lambda: True
@@ -79,6 +83,10 @@ def weakness(lines: Column, policy: Policy) -> Column:
     return reason
 
 
+def _line(text: str, confidence: float | None, box: list[tuple[int, int]] | None = None) -> dict:
+    return {"text": text, "confidence": confidence, "box": None if box is None else [{"x": int(x), "y": int(y)} for x, y in box]}
+
+
 def run_engine(inputs: DataFrame, engine: Engine) -> DataFrame:
     """Cache rows of distinct inputs (key, payload). An engine's error gives a failed row."""
     ship(inputs.sparkSession)
@@ -89,7 +97,7 @@ def run_engine(inputs: DataFrame, engine: Engine) -> DataFrame:
             rows = []
             for key, payload in zip(frame["key"], frame["payload"]):
                 try:
-                    lines, failed = [{"text": t, "confidence": c} for t, c in run(payload)], False
+                    lines, failed = [_line(*line) for line in run(payload)], False
                 except Exception:
                     lines, failed = [], True
                 rows.append((key, name, lines, 0.0 if failed else cost, failed))
@@ -201,6 +209,6 @@ class Ladder:
 
 
 def lines_of(reads: DataFrame) -> DataFrame:
-    """key, line_no, text, confidence of reads' lines; blank ones are left out."""
-    rows = reads.select("key", F.posexplode("lines").alias("line_no", "l")).select("key", "line_no", F.col("l.text").alias("text"), F.col("l.confidence").alias("confidence"))
+    """key, line_no, text, confidence, box of reads' lines; blank ones are left out."""
+    rows = reads.select("key", F.posexplode("lines").alias("line_no", "l")).select("key", "line_no", F.col("l.text").alias("text"), F.col("l.confidence").alias("confidence"), F.col("l.box").alias("box"))
     return rows.where(tx.strip(F.col("text")) != "")

@@ -471,6 +471,35 @@ def tier_escalation(spark, sf_dir):
     return docs.join(reads, "key").select("doc_id", "engine", F.size("lines").cast("long").alias("lines"), "cost_usd", "reason", F.array_join("trail", ", ").alias("trail"))
 
 
+def _seen(text):
+    """A reader that sees where a line is: a word wider and lower with each of its characters."""
+    return [(text, 0.9, [(5, 10), (5 + len(text), 10), (5 + len(text), 10 + len(text)), (5, 10 + len(text))]), (" ", 0.5)]
+
+
+@query
+def layout_pool(spark, sf_dir):
+    """Lines with relative heights and tops, of crops that two products in a row may share, and the texts of products."""
+    crops = _table(spark, sf_dir, "part").selectExpr("p_partkey as product_key", "cast(p_partkey % 3 as int) as view", "0 as crop", "cast(p_partkey div 2 as string) as key", "100 + cast(p_partkey div 2 % 50 as int) as height", "repeat('x', cast(1 + p_partkey div 2 % 40 as int)) as payload")
+    _, layout, texts = pipeline.collect_pools(crops, recognise.Ladder(recognise.Registry([recognise.Engine("seen", _seen)]), recognise.Policy(), stored))
+    lines = layout.select("product_key", "line_no", F.length("text").cast("long").alias("n"), F.round("height", 9).alias("height"), F.round("top", 9).alias("top"))
+    return lines.join(texts, "product_key")
+
+
+def _first_five(words, boxes):
+    """A token model whose window holds five words."""
+    return [("MRP" if any(c.isdigit() for c in w) else "BRAND" if b[0] < 200 else "O", len(w) / 64) for w, b in zip(words[:5], boxes)]
+
+
+@query
+def token_labels(spark, sf_dir):
+    """Labels by a token model with a short window; words beyond it have none."""
+    lines = s.label_lines(spark, sf_dir)
+    words = lines.selectExpr("product_key", "line_no % 3 as view", "cast(line_no div 3 as int) as crop", "posexplode(filter(split(text, ' +'), w -> w <> '')) as (word_no, word)")
+    placed = words.withColumn("box", F.expr("array(50 * word_no, 0, 50 * word_no + 40, 20)"))
+    got = labels.classify(placed, _first_five)
+    return got.select("product_key", *(F.col(c).cast("long").alias(c) for c in ("view", "crop", "word_no")), "word", "label", "confidence")
+
+
 @query
 def hard_subset_comparison(spark, sf_dir):
     """Engines compared on the products that one of them reads badly."""

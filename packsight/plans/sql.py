@@ -266,6 +266,12 @@ ORACLE_SQL = {
         h as (select *, r2 is not null and n >= 40 as paid from g)
         select doc_id, case when paid then 'hosted' when more then 'careful' else 'fast' end as engine, case when paid or not more then 1 else 2 end::bigint as lines, case when paid then 0.0015::double else 0.0 end as cost_usd, case when not paid then r2 end as reason,
           'fast ' || case when r1 is null then 'accepted' else 'weak: ' || r1 || ', careful ' || case when more then 'kept' else 'no better' end || case when r2 is null then '' when paid then ', hosted kept' else ', hosted no better' end end as trail from h""",
+    "layout_pool": """with p as (select p_partkey as product_key, p_partkey % 3 as view, 1 + p_partkey // 2 % 40 as n, 100 + p_partkey // 2 % 50 as height from part),
+        l as (select *, unnest([n, 1]) as chars, unnest([0, 1]) as k from p)
+        select product_key, view * 1099511627776 + k as line_no, chars::bigint as n, round(case when k = 0 then n / height::double else 0.0 end, 9) as height, round(case when k = 0 then 10 / height::double else 0.0 end, 9) as top, repeat('x', n::int) as text from l""",
+    "token_labels": f"""with {LABEL_LINES_SQL}, w as (select product_key, line_no % 3 as view, line_no // 3 as crop, list_filter(regexp_split_to_array(text, ' +'), lambda w: w <> '') as words from lines),
+        e as (select product_key, view, crop, unnest(words) as word, generate_subscripts(words, 1) - 1 as word_no from w)
+        select product_key, view::bigint as view, crop::bigint as crop, word_no, word, case when word_no > 4 then 'O' when regexp_matches(word, '[0-9]') then 'MRP' when word_no < 4 then 'BRAND' else 'O' end as label, case when word_no > 4 then 0.0 else length(word) / 64::double end as confidence from e""",
     "hard_subset_comparison": f"""with {CALLS_SQL}, r as (select * from calls where user_id in (select user_id from calls where engine = 'click' and cents < 4))
         select engine, count(distinct user_id) as products, cast(sum(event_id % 4) as bigint) as found, sum(event_id % 4)::double / nullif(sum(event_id % 4 + event_id % 2), 0) as of_reachable, cast(sum(cents) as bigint) as chars, cast(sum(event_id % 3) as bigint) as cjk, cast(sum(event_id % 5) as bigint) as devanagari,
         sum(cents)::double / count(distinct user_id) as seconds_a_product, count(*) filter (event_id % 50 = 0) as errors from r group by 1""",

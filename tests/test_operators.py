@@ -44,7 +44,7 @@ def test_escalation_calls_each_tier_once_and_keeps_the_best(spark, tmp_path):
 
 def test_cached_reads_cost_nothing_and_failed_ones_are_tried_again(spark, tmp_path):
     engine = recognise.Engine("ocr", stub({"x": [("n" * 50, 0.9)], "y": [("m" * 50, 0.9)]}), 0.5)
-    cache = spark.createDataFrame([("a", "ocr", [("old" * 20, 0.9)], 0.5, False), ("b", "ocr", [], 0.0, True)], recognise.CACHE)
+    cache = spark.createDataFrame([("a", "ocr", [("old" * 20, 0.9, None)], 0.5, False), ("b", "ocr", [], 0.0, True)], recognise.CACHE)
     rows = spark.createDataFrame([("a", b"x"), ("b", b"y")], "key string, payload binary")
     seen = []
 
@@ -198,13 +198,8 @@ def test_decode_ladder_gates_by_checksum():
 
 
 def test_image_source_to_crops(spark, tmp_path):
-    import zlib
-
     rgb = scene()
-    raw = b"".join(b"\0" + row.tobytes() for row in rgb)
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 400, 300, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-    (tmp_path / "Image_1_5.0.png").write_bytes(png)
+    (tmp_path / "Image_1_5.0.png").write_bytes(png_of(rgb))
     pixels = readers.image_pixels(spark, str(tmp_path))
     report = readers.format_report(pixels, readers.image_listing(spark, str(tmp_path), "*.png")).first()
     assert (report.width, report.height, report.channels) == (400, 300, 3)
@@ -341,3 +336,79 @@ def test_passages_in_blocks(spark):
         assert sorted((r.doc_id, r.item_id) for r in search.passages_found(docs, passages, block).collect()) == [(1, 1), (1, 5)]
     assert search.passages_found(docs, passages.limit(0)).count() == 0
     assert [(r.doc_id, r.item_id, r.f1) for r in search.closest_passage(docs, passages).collect()] == [(1, 1, 0.6)]
+
+
+def png_of(rgb):
+    import zlib
+
+    raw = b"".join(b"\0" + row.tobytes() for row in rgb)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", rgb.shape[1], rgb.shape[0], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_products_from_pictures(spark, tmp_path):
+    rows = []
+    for name in ("Image_1_5.0.jpg", "Image_2_5.0.jpg", "other.jpg"):
+        rgb = scene()
+        rows.append(((name, *rgb.shape[:2], 3, 16, rgb[:, :, ::-1].tobytes()),))
+    pixels = spark.createDataFrame(rows, "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+
+    def store(df, name):
+        df.write.parquet(path := f"{tmp_path}/{name}-{uuid.uuid4().hex}")
+        return spark.read.parquet(path)
+
+    steps = images.Steps(deskew=False, contrast=False, resolution=False)
+    pictures = store(images.prepare_images(pixels, steps, uncropped=True), "pictures")
+
+    def read(payload):
+        return [("Acme", 0.9, [(0, 0), (50, 0), (50, payload["height"] // 2), (0, payload["height"] // 2)]), ("8901414001626", 0.8)]
+
+    ladder = recognise.Ladder(recognise.Registry([recognise.Engine("ocr", read)]), recognise.Policy(), store)
+    known = spark.createDataFrame([("8901414001626", "Tea", "Acme")], "code string, name string, brand string")
+    decode = lambda image: "8901414001626" if image.shape == (300, 400, 3) else None
+    text, layout, texts, codes = pipeline.collect_products(pictures, ladder, decode, known, known.limit(0))
+    one = codes.collect()
+    assert [(r.product_key, r.view, r.source, r.code, r.canonical_brand, r.canonical_name) for r in one] == [("5.0", 1, "bars", "8901414001626", "Acme", "Tea")]
+    heights = {(r.text, round(r.height, 1)) for r in layout.collect()}
+    assert heights == {("Acme", 0.5), ("8901414001626", 0.0)} and texts.count() == 1
+    fields, _ = pipeline.extract_products(text, layout, codes)
+    got = {r.field: r.value for r in fields.collect()}
+    assert got["Brand"] == "Acme" and got["Upc / Ean"] == "8901414001626" and got["Product Name"] == "Tea"
+
+
+def test_checksum_of_one_code():
+    from packsight.functions import barcode
+
+    assert barcode.is_valid("8901414001626") and not barcode.is_valid("8901414001627")
+    assert not barcode.is_valid("92113800") and not barcode.is_valid("") and not barcode.is_valid("89014140016x6")
+
+
+def test_mattes_are_cached_and_cut(spark):
+    rgb = scene()
+    made = []
+
+    def matte(image):
+        assert image.shape == (300, 400, 3)
+        alpha = np.zeros(image.shape[:2], np.uint8)
+        alpha[60:240, 40:160] = 200
+        return alpha
+
+    steps = images.Steps(deskew=False, contrast=False, resolution=False, crop=False, split=False)
+    pixels = spark.createDataFrame([((name, 300, 400, 3, 16, rgb[:, :, ::-1].tobytes()),) for name in "ab"], "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    whole = images.prepare_images(pixels, steps)
+    first = images.matte_images(whole, matte).collect()
+    assert len(first) == 1 and not first[0].cached and len(first[0].alpha) == 300 * 400
+    cache = spark.createDataFrame([(first[0].key, first[0].alpha)], "key string, alpha binary")
+    again = images.matte_images(whole, lambda image: made.append(1) or 1 / 0, cache)
+    assert [r.cached for r in again.collect()] == [True]
+    crops = images.cut_images(whole, again, images.Steps(split=False)).collect()
+    assert [(r.height, r.width) for r in crops] == [(204, 144)] * 2 and "mask: matte" in crops[0].notes
+    rest = images.cut_images(whole, cache.limit(0), images.Steps()).collect()
+    assert len(rest) == 4 and "mask: backdrop" in rest[0].notes
+
+
+def test_token_model_has_a_window(spark):
+    rows = spark.createDataFrame([("p", 1, 0, 1, "b", [1]), ("p", 1, 0, 0, "a", [0]), ("p", 1, 0, 2, None, None), ("p", 2, 0, 0, "c", None), (None, 1, 0, 0, "d", [3])], "product_key string, view int, crop int, word_no int, word string, box array<int>")
+    got = {(r.product_key, r.view, r.word_no): (r.word, r.label, r.confidence) for r in labels.classify(rows, lambda words, boxes: [("MRP", 0.5)]).collect()}
+    assert got == {("p", 1, 0): ("a", "MRP", 0.5), ("p", 1, 1): ("b", "O", 0.0), ("p", 2, 0): ("c", "MRP", 0.5), (None, 1, 0): ("d", "MRP", 0.5)}
+    assert labels.classify(rows.limit(0), lambda words, boxes: []).count() == 0
