@@ -86,31 +86,30 @@ def sure(confidence: Column) -> Column:
 
 
 def value_of(rule: Rule, text: Column) -> Column:
-    """What a rule gives for a line, or null."""
+    """What a rule gives for a line, or null: its groups are empty where the pattern doesn't match, so it is searched once."""
     text = F.regexp_replace(text, r"\s+", " ") if rule.squeeze else text
-    hit = F.rlike(text, F.lit(rule.pattern))
+    if rule.form == "constant":
+        hit, value = F.rlike(text, F.lit(rule.pattern)), F.lit(rule.constant)
+    else:
+        value = F.regexp_extract(text, rule.pattern, 1)
+        hit = value != ""
     if rule.needs:
-        hit = hit & tx.contains_any(text, rule.needs)
-    first = F.regexp_extract(text, rule.pattern, 1) if rule.form != "constant" else F.lit(rule.constant)
+        hit = tx.contains_any(text, rule.needs) & hit
     if rule.form == "amount":
-        first = F.concat(first, F.lit(" "), F.lower(F.regexp_extract(text, rule.pattern, 2)))
+        value = F.concat(value, F.lit(" "), F.lower(F.regexp_extract(text, rule.pattern, 2)))
     elif rule.form in ("entity", "country"):
-        first = tx.clean_entity(first)
-        if rule.form == "country":
-            first = tx.title(first)
-        hit = hit & (F.length(first) >= 3) & ((F.length(first) <= 30) if rule.form == "country" else F.lit(True))
-    elif rule.form == "title":
-        first = tx.title(tx.strip(first))
-    elif rule.form == "strip":
-        first = tx.strip(first)
-    return F.when(hit, F.nullif(tx.strip(first), F.lit("")))
+        value = tx.clean_entity(value)
+        hit = hit & (F.length(value).between(3, 30) if rule.form == "country" else F.length(value) >= 3)
+    if rule.form in ("country", "title"):
+        value = tx.title(value if rule.form == "country" else tx.strip(value))
+    return F.when(hit, F.nullif(tx.strip(value), F.lit("")))
 
 
 def keyword_of(text: Column, words: Sequence[str]) -> Column:
     """The first word of the list that the line contains, in title form; or null."""
     found = F.lit(None).cast("string")
     for word in reversed(words):
-        found = F.when(F.contains(F.lower(text), F.lit(word)), tx.title(F.lit(word))).otherwise(found)
+        found = F.when(F.contains(F.lower(text), F.lit(word)), F.lit(word.title())).otherwise(found)
     return found
 
 
@@ -225,7 +224,11 @@ def keep_best(fields: DataFrame) -> DataFrame:
 
 
 def parse(text_lines: DataFrame, layout_lines: DataFrame | None = None, barcodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(fields, bullets) of every product. barcodes: product_key, code, valid_checksum, canonical_*."""
+    """(fields, bullets) of every product. barcodes: product_key, code, valid_checksum, canonical_*.
+
+    The fields are used twice, as the description is a sentence that none of them has taken; adaptive
+    execution computes their shuffles once. Lines already dealt by product_key aren't shuffled again.
+    """
     parts = extract_fields(text_lines).unionByName(extract_blocks(text_lines)).unionByName(extract_front(layout_lines if layout_lines is not None else text_lines, barcodes))
     if barcodes is not None:
         codes = barcodes.where("code is not null and valid_checksum").select("product_key", F.lit("Upc / Ean").alias("field"), F.col("code").alias("value"), F.lit(1.0).alias("confidence"), F.lit("barcode:decoded").alias("source"))

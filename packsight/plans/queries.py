@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import barcode, geometry, similarity
 from ..functions import text as tx
 from ..operators import labels, pipeline, products, recognise, records, rules, search
-from ..sources.writers import product_texts, record_json
-from ..storage import stored
+from ..sources import readers
+from ..sources.writers import product_texts, record_json, write_catalog
+from ..storage import shared_path, stored
 from . import reports
 from . import samples as s
 from .sql import ORACLE_SQL
@@ -530,6 +531,77 @@ def stage2_report(spark, sf_dir):
     return fields.unionByName(whole).select("field", "n", F.round("f1", 4).alias("f1"), F.round("coverage", 4).alias("coverage"))
 
 
+@query
+def product_fields(spark, sf_dir):
+    """Every field of every product, from all extractors and barcodes, one row a value."""
+    fields, _ = rules.parse(s.label_lines(spark, sf_dir), None, _barcodes(spark, sf_dir))
+    return fields.withColumn("confidence", F.round("confidence", 9))
+
+
+def _payloads(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.col("text").alias("payload"))
+
+
+@query
+def dual_reads(spark, sf_dir):
+    """The read with geometry and the best free transcription of every document."""
+    docs = _payloads(spark, sf_dir)
+    reads = recognise.Ladder(recognise.Registry([recognise.Engine("fast", _fast), recognise.Engine("careful", _careful)]), recognise.Policy(), stored).read_dual(docs.select("key", "payload"))
+    best = F.get("text_lines", F.lit(0))
+    return docs.select("doc_id", "key").join(reads, "key").select("doc_id", F.size("layout_lines").cast("long").alias("layout_lines"), F.size("text_lines").cast("long").alias("text_lines"), best["confidence"].alias("confidence"))
+
+
+@query
+def cached_reads(spark, sf_dir):
+    """Reads with a cache of a third of the documents: what it holds is free, what has failed is read again."""
+    docs = _payloads(spark, sf_dir)
+    lines = F.array(F.struct(F.lit("kept").alias("text"), F.lit(0.9).alias("confidence"), F.lit(None).alias("box"))).cast(recognise.LINES)
+    cache = docs.where("doc_id % 3 = 0").select("key", F.lit("fast").alias("engine"), lines.alias("lines"), F.lit(0.25).alias("cost_usd"), (F.col("doc_id") % 9 == 0).alias("failed"))
+    reads = recognise.Ladder(recognise.Registry([recognise.Engine("fast", _fast, cost_usd=0.25)]), recognise.Policy(), stored).read(docs.select("key", "payload"), cache)
+    return docs.select("doc_id", "key").join(reads, "key").select("doc_id", "cached", "cost_usd", F.length(F.get("lines", F.lit(0))["text"]).cast("long").alias("n"))
+
+
+@query
+def paid_budget(spark, sf_dir):
+    """The documents that a paid reader may be asked for within its budget."""
+    engine = recognise.Engine("hosted", _paid, cost_usd=0.0015, paid=True)
+    return recognise.within_budget(_payloads(spark, sf_dir).select("key", "payload"), engine, 0.3).select("key")
+
+
+@query
+def first_reasons(spark, sf_dir):
+    """The first eight weak reads."""
+    reads = _reads(spark, sf_dir).select(F.col("doc_id").alias("key"), recognise.weakness(F.col("lines"), recognise.Policy(require_digits=True)).alias("reason"))
+    return pipeline.first_reasons(reads)
+
+
+@query
+def crop_arms(spark, sf_dir):
+    """Lines of prepared and raw crops; crops that are equal in both arms are read once."""
+    part = _table(spark, sf_dir, "part").selectExpr("p_partkey as product_key", "explode(array(struct('pre' as arm, upper(p_name) as payload), struct('raw' as arm, case when p_partkey % 2 = 0 then upper(p_name) else p_name end as payload))) as c")
+    crops = part.select("product_key", "c.arm", "c.payload", F.col("c.payload").alias("key"))
+    reads = pipeline.read_crops(crops, recognise.Ladder(recognise.Registry([recognise.Engine("fast", _fast)]), recognise.Policy(), stored))
+    return reads.select("product_key", "arm", "engine", F.col("line_no").cast("long").alias("line_no"), "text", "confidence")
+
+
+@query
+def validated_barcodes(spark, sf_dir):
+    """Codes of orders, read and validated, with the names that two tables have for them."""
+    codes = s.order_codes(spark, sf_dir)
+    nothing = F.lit(None).cast("string")
+    reads = codes.select(F.col("o_orderkey").alias("product_key"), F.lit(0).alias("view"), F.when(F.col("o_orderkey") % 7 == 0, F.col("code")).alias("decoded"), "text", nothing.alias("ocr_brand"), nothing.alias("ocr_name"))
+    known = lambda where, name: codes.where(where).groupBy("code").agg(F.concat(F.lit(name), F.min("o_orderkey").cast("string")).alias("name")).withColumn("brand", nothing)
+    found = pipeline.validate_barcodes(reads, known("o_orderkey % 3 = 0", "a"), known("o_orderkey % 2 = 0", "b"))
+    return found.select("product_key", "code", "source", "unverified", "valid_checksum", "text_match_ok", "name", "lookup_source")
+
+
+@query
+def catalog_scan(spark, sf_dir):
+    """A catalog written as CSV and read back: ids keep their zeros, texts their quotes and line ends."""
+    rows = _table(spark, sf_dir, "supplier").selectExpr("'00' || cast(s_suppkey as string) as id", "'say \"' || s_name || '\",' || chr(10) || 'twice' as text", "case when s_suppkey % 3 = 0 then null else cast(s_nationkey as string) || '.0' end as nation")
+    return readers.catalog_csv(spark, write_catalog(rows, shared_path(spark, "catalog"))).drop("row_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

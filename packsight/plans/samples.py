@@ -48,7 +48,8 @@ CODE_TEXT = (
 
 
 def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    """Lines of products, dealt by product before they are made, so that no extractor has to shuffle them."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), _K)
     rows = part.selectExpr("p_partkey as product_key", f"posexplode(array({', '.join(LABEL_LINES)})) as (line_no, text)")
     return rows.selectExpr("product_key", "line_no", "text", f"{CONFIDENCE} as confidence", f"{HEIGHT} as height")
 

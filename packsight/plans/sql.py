@@ -280,3 +280,27 @@ ORACLE_SQL = {
         select field, count(*) as n, round(avg(round(f1, 4)), 4)::double as f1, round(avg(c), 4)::double as coverage from f group by 1
         union all select 'OVERALL', count(*), round(avg(round(2 * p * r / (p + r), 4)), 4)::double, null from scores""",
 }
+
+# Queries that are made of others.
+ORACLE_SQL |= {
+    "product_fields": f"""with {LABEL_LINES_SQL}, parts as (select product_key, field, value, confidence, source from ({ORACLE_SQL['extract_fields']}) union all select product_key, field, value, confidence, source from ({ORACLE_SQL['extract_blocks']})
+          union all select product_key, field, value, confidence, source from ({ORACLE_SQL['extract_front']}) union all select p_partkey, 'Upc / Ean', cast(8900000000000 + p_partkey as string), 1.0::double, 'barcode:decoded' from part where p_partkey % 2 = 0),
+        s as (select product_key, line_no, {strip('text')} as value, length(text) as n, 0.4::double * {SURE} as confidence from lines where len(regexp_split_to_array({strip('text')}, '\\s+')) >= 8 and upper(text) <> text and not {any_of('text', BACK_PANEL_WORDS)})
+        select * from parts union all (select product_key, 'Product_Description', value, round(confidence, 9), 'heuristic:longest-front-sentence' from s
+          where not exists (select 1 from parts p where p.product_key = s.product_key and p.value = s.value) qualify row_number() over (partition by product_key order by -n, line_no) = 1)""",
+    "dual_reads": """select doc_id, 1::bigint as layout_lines, case when length(text) % 5 = 0 then 1 else 2 end::bigint as text_lines,
+        case when length(text) % 5 <> 0 then case when length(text) % 2 = 0 then 0.6::double else 0.8::double end when length(text) % 3 = 0 then 0.9::double else 0.5::double end as confidence from documents where text is not null""",
+    "cached_reads": """with a as (select doc_id, doc_id % 3 = 0 and doc_id % 9 <> 0 as cached, length(text) as n from documents where text is not null)
+        select doc_id, cached, case when cached then 0.0::double else 0.25::double end as cost_usd, case when cached then 4 else n end::bigint as n from a""",
+    "paid_budget": "select distinct cast(doc_id as string) as key from documents order by key limit 200",
+    "first_reasons": f"select doc_id as key, reason from ({ORACLE_SQL['escalation_reasons']}) where reason is not null order by doc_id limit 8",
+    "crop_arms": """with c as (select p_partkey as product_key, unnest(['pre', 'raw']) as arm, unnest([upper(p_name), case when p_partkey % 2 = 0 then upper(p_name) else p_name end]) as text from part)
+        select product_key, arm, 'fast' as engine, 0::bigint as line_no, text, case when length(text) % 3 = 0 then 0.9::double else 0.5::double end as confidence from c""",
+    "validated_barcodes": f"""with {ORDER_CODES_SQL}, f as (select o_orderkey, f.code, f.source, f.unverified, codes.text from ({ORACLE_SQL['find_barcode']}) f join codes using (o_orderkey)),
+        a as (select code, 'a' || cast(min(o_orderkey) as string) as name from codes where o_orderkey % 3 = 0 group by 1), b as (select code, 'b' || cast(min(o_orderkey) as string) as name from codes where o_orderkey % 2 = 0 group by 1),
+        v as (select *, {checksum('code')} as valid_checksum from f)
+        select o_orderkey as product_key, v.code, source, unverified, valid_checksum, case when v.code is not null then {share('v.code', 'text')} >= 0.4 end as text_match_ok,
+          case when valid_checksum then coalesce(a.name, b.name) end as name, case when not valid_checksum then null when a.name is not null then 'primary' when b.name is not null then 'secondary' end as lookup_source
+        from v left join a on a.code = v.code left join b on b.code = v.code""",
+    "catalog_scan": """select '00' || cast(s_suppkey as string) as id, 'say "' || s_name || '",' || chr(10) || 'twice' as text, case when s_suppkey % 3 = 0 then null else cast(s_nationkey as string) || '.0' end as nation from supplier""",
+}

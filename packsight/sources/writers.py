@@ -43,3 +43,9 @@ def compacted(cache: DataFrame) -> DataFrame:
 def write_report(report: DataFrame, path: str, command: str) -> None:
     """A report with the time and command that made it, in place of the last one."""
     report.withColumns({"made_at": F.current_timestamp(), "command": F.lit(command)}).write.mode("overwrite").parquet(path)
+
+
+def write_catalog(rows: DataFrame, path: str) -> str:
+    """Rows as CSV files with a header, as readers.catalog_csv reads them; the path is given back."""
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return path

@@ -28,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; what is written there is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/packsight/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -37,8 +45,6 @@ def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     spark = df.sparkSession
     if few:
         df = df.hint("rebalance")
-    path = f"{shared_dir(spark)}/packsight/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
