@@ -95,7 +95,8 @@ def validate_barcodes(reads: DataFrame, primary: DataFrame, secondary: DataFrame
     Adds code, source, unverified, valid_checksum, text_match, text_match_ok, name, brand,
     lookup_source, brand_match, name_match and trail. Lookup tables have code, name, brand.
     """
-    found = reads.withColumn("b", barcode.find_barcode(F.col("decoded"), F.col("text"))).select("*", "b.*").drop("b")
+    # The search is a row that is generated once: a filter or a second use of a code can't repeat it.
+    found = reads.select("*", F.explode(F.array(barcode.find_barcode(F.col("decoded"), F.col("text")))).alias("b")).select(*reads.columns, "b.*")
     checked = found.withColumns({"valid_checksum": F.coalesce(barcode.checksum_valid(F.col("code")), F.lit(False)), "text_match": F.when(F.col("code").isNotNull(), barcode.text_match(F.col("code"), F.col("text")))})
     checked = checked.withColumn("text_match_ok", F.col("text_match") >= barcode.TEXT_MATCH)
     known = products.coalesced_lookup(checked.where("valid_checksum").select("code").distinct(), primary, secondary)
