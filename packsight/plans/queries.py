@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..operators import labels, pipeline, products, recognise, records, rules, search
 from ..sources import readers
 from ..sources.writers import product_texts, record_json, write_catalog
-from ..storage import shared_path, stored
+from ..storage import deleted_at_exit, shared_path, stored
 from . import reports
 from . import samples as s
 from .sql import ORACLE_SQL
@@ -599,7 +599,7 @@ def validated_barcodes(spark, sf_dir):
 def catalog_scan(spark, sf_dir):
     """A catalog written as CSV and read back: ids keep their zeros, texts their quotes and line ends."""
     rows = _table(spark, sf_dir, "supplier").selectExpr("'00' || cast(s_suppkey as string) as id", "'say \"' || s_name || '\",' || chr(10) || 'twice' as text", "case when s_suppkey % 3 = 0 then null else cast(s_nationkey as string) || '.0' end as nation")
-    return readers.catalog_csv(spark, write_catalog(rows, shared_path(spark, "catalog"))).drop("row_id")
+    return readers.catalog_csv(spark, deleted_at_exit(spark, write_catalog(rows, shared_path(spark, "catalog")))).drop("row_id")
 
 
 def queries() -> dict[str, Query]:

@@ -29,8 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; what is written there is deleted when the application ends."""
-    path = f"{shared_dir(spark)}/packsight/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/packsight/{name}-{uuid.uuid4().hex}"
+
+
+def deleted_at_exit(spark: SparkSession, path: str) -> str:
+    """Have a folder deleted when the application ends; only one that exists can be marked."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return path
@@ -47,4 +51,4 @@ def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
         df = df.hint("rebalance")
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(deleted_at_exit(spark, path))
