@@ -76,9 +76,12 @@ def hard_subset(reads: DataFrame, engine: str) -> DataFrame:
 
 
 def paired(truth: DataFrame, guess: DataFrame) -> DataFrame:
-    """product_key, truth, guess, precision, recall, f1 of the products that both (product_key, record) have."""
+    """product_key, truth, guess, precision, recall, f1 of the products that both (product_key, record) have.
+
+    Here and in field_summary scores are rounded to four places as SQL does, half away from zero.
+    """
     both = truth.select("product_key", F.col("record").alias("truth")).join(guess.select("product_key", F.col("record").alias("guess")), "product_key")
-    return both.withColumn("s", similarity.score_records(F.col("truth"), F.col("guess"))).select("product_key", "truth", "guess", "s.*")
+    return both.withColumn("s", similarity.score_records(F.col("truth"), F.col("guess"), rounded=False)).select("product_key", "truth", "guess", *(F.round(F.col("s")[c], 4).alias(c) for c in ("precision", "recall", "f1")))
 
 
 def score_summary(pairs: DataFrame) -> DataFrame:
@@ -88,9 +91,9 @@ def score_summary(pairs: DataFrame) -> DataFrame:
 
 def field_summary(pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
     """field, n, f1, coverage over pairs' records; a field blank on both sides counts as found."""
-    scores = F.coalesce(similarity.score_fields(F.col("truth"), F.col("guess")), F.create_map().cast("map<string,double>"))
+    scores = F.coalesce(similarity.score_fields(F.col("truth"), F.col("guess"), rounded=False), F.create_map().cast("map<string,double>"))
     each = pairs.select(scores.alias("s"), F.from_json("guess", "map<string,string>").alias("g"))
-    rows = each.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col("s")[f], F.lit(1.0)).alias("f1"), F.col("g")[f].isNotNull().cast("double").alias("filled")) for f in fields))).alias("m")).select("m.*")
+    rows = each.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.round(F.coalesce(F.col("s")[f], F.lit(1.0)), 4).alias("f1"), F.col("g")[f].isNotNull().cast("double").alias("filled")) for f in fields))).alias("m")).select("m.*")
     return rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("f1").alias("f1"), F.avg("filled").alias("coverage"))
 
 

@@ -1,7 +1,7 @@
 import pytest
 from compare import DATA, assert_same, connection
 
-from packsight.plans import queries
+from packsight.plans import queries, reports
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +19,17 @@ def test_runs(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_scores_between_two_decimals(spark, con):
+    """0.65625 and 0.90625 lie half-way between two values of four places."""
+    parts = spark.createDataFrame([(127, 31), (974, 31), (1, 31), (3, 29)], "p_partkey long, p_size int")
+    truth, guess = (parts.selectExpr("p_partkey as product_key", f"to_json(struct({x})) as record") for x in ("p_size as size, p_partkey % 10 as pack, p_partkey % 2 = 0 as veg", "case when p_partkey % 3 <> 0 then p_size + p_partkey % 7 end as size, p_partkey % 10 as pack, p_partkey % 5 < 3 as veg"))
+    pairs = reports.paired(truth, guess).cache()
+    scores = {r.product_key: (r.precision, r.recall, r.f1) for r in pairs.collect()}
+    assert scores[127] == scores[974] == (0.6563, 0.6563, 0.6563)
+    near = spark.createDataFrame([(1, '{"size": 29}', '{"size": 32}')], "product_key long, truth string, guess string")
+    assert reports.field_summary(near, ("size",)).first().f1 == 0.9063
+
+
 def test_entry(spark):
     import __spark_entry__
 
