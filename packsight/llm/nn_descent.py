@@ -1,14 +1,16 @@
-"""Approximate nearest neighbours: NN-descent graph, greedy graph search.
-
-Equal vectors are one node. The graph starts from random-projection blocks: in each of a few trees,
-nodes are ordered along random directions and cut into blocks, and the nearest nodes within a
-block become neighbours. Each round then joins every node's neighbours (both directions) with each
-other: a neighbour of a neighbour that is nearer replaces the farthest. Rounds go on until next to
-none is replaced. Queries start at entry nodes, and at their own node if they have one, and repeatedly
-expand the nearest nodes not yet expanded, until none of their best is left; how many best these are
-is settled by the recall of a sample of the queries, for which all nodes are measured.
-
-Distances within the graph are in single precision, from differences of scaled components; the
+"""Approximate nearest neighbours: NN-descent graphs, greedy graph search.
+
+Equal vectors are one node. Nodes are dealt by a hash of their vector into shards, of at most about
+SHARD nodes; each has a graph of its own, made in one task. A graph starts from random-projection
+blocks: in each of a few trees, nodes are ordered along random directions and cut into blocks, and the
+nearest nodes within a block become neighbours. Each round then joins every node's neighbours (both
+directions) with each other: a neighbour of a neighbour that is nearer replaces the farthest. Rounds go
+on until next to none is replaced. Every query searches every shard: it starts at entry nodes, and at
+its own node if it has one, and repeatedly expands the nearest nodes not yet expanded, until none of its
+best is left; how many best these are is settled by the recall of a sample of the queries, for which
+all nodes are measured.
+
+Distances within the graphs are in single precision, from differences of scaled components; the
 distances returned are in double precision. Nodes that single precision can't tell from the last
 one that is kept or measured are kept and measured too. Components that all fit single precision are
 scaled without loss; others are taken relative to one of the vectors.
@@ -29,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, map_arrow, released, stored
+from . import shard_graph
+from .common import map_arrow, released, stored
 
-LEAF = 256  # nodes of a block of a random-projection tree
-SAMPLE = 2048  # nodes that thresholds are taken from, and entry points of searches, at most
+SAMPLE = 2048  # entry points of searches over all shards, at most about
+SHARD = 1 << 17  # nodes of a shard, at most about
+PARTS = 12  # shards of a table that is large enough for them, at least
+ASKED = 1 << 17  # queries that a pass over the graphs takes
 
 
 def _clean(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -42,14 +47,41 @@ def _clean(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return vectors.where(F.coalesce(sound, F.lit(False)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", degree: int = 24, inward: int = 32, trees: int = 4, settled: float = 0.02, k: int = 10, seed: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The nodes and the neighbour graph of all vectors.
+def _packed(v: pa.Array, centre: np.ndarray, scale: float) -> pa.Array:
+    """Vectors of one length less the centre, scaled, in single precision, as bytes."""
+    flat = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) * scale - centre
+    return pa.array([x.tobytes() for x in flat.astype(np.float32)], pa.binary())
+
+
+def _unpacked(packed: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    held = packed.to_pylist()
+    return np.frombuffer(b"".join(held), dtype=np.float32).reshape(len(held), -1)
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """A task's shards, each whole and in order of its nodes."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        for shard in table.column("shard").unique().sort().to_pylist():
+            yield shard, table.filter(pa.compute.equal(table.column("shard"), shard)).sort_by("node").combine_chunks()
 
-    nodes: node (the smallest id of equal vectors), v (components), packed (the same less a centre,
-    scaled, in single precision), members (the first ids of the equal vectors, as many as lists of k
-    can need; search takes no greater k). graph: node, near (ids of neighbours in
-    either direction: `degree` own ones and at most `inward` of those that name it). Rounds end when
-    one replaces at most the share `settled` of all neighbours.
+
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """One partition a shard."""
+    return rows.repartitionById(shards, F.col("shard"))
+
+
+def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", degree: int = 24, inward: int = 32, trees: int = 4, settled: float = 0.02, k: int = 10, seed: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The nodes and the neighbour graphs of all vectors.
+
+    nodes: node (the smallest id of equal vectors), v (components), members (the first ids of the equal
+    vectors, as many as lists of k can need; search takes no greater k), shard. graph: shard, shards
+    (their number), node, packed (components less a centre, scaled, in single precision), near
+    (neighbours in either direction, as places in the shard in order of node: `degree` own ones and at
+    most `inward` others that name it). Rounds end when one replaces at most the share `settled` of all
+    neighbours.
     """
     clean = _clean(vectors, key, column)
     size = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -58,26 +90,29 @@ def index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", de
     first = Window.partitionBy("hash", "v").orderBy("vec_id")
     ranked = clean.withColumn("hash", F.xxhash64("v")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k + 1)
     alike = ranked.groupBy("hash", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("members"))
-
-    base = stored(alike.select(F.col("members")[0].alias("node"), "v", "members", F.lit(k + 1).alias("room")), "nodes")
-    centre, scale = _scaling(base)
+    shards = max(1, -(-(size["count"] if size else 0) // SHARD), min(PARTS, (size["count"] if size else 0) // 4096))
+    nodes = stored(alike.select(F.col("members")[0].alias("node"), "v", "members", F.lit(k + 1).alias("room"), F.pmod("hash", F.lit(shards)).cast("int").alias("shard")), "nodes")
+    centre, scale = _scaling(nodes)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) * scale - centre
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in flat.astype(np.float32)], pa.binary())], names=["node", "v", "members", "room", "packed"])
-
-    nodes = stored(map_arrow(base, pack, "node long, v array<double>, members array<long>, room int, packed binary"), "nodes")
-    graph = stored(_start(nodes, size.n if size else 1, degree, trees, seed), "graph")
-    while True:
-        held = graph.agg(F.sum(F.size("ids")).alias("all"), F.sum(F.size(F.filter("fresh", lambda x: x))).alias("fresh")).first()
-        if not held.fresh or held.fresh <= settled * held.all:
-            break
-        before, graph = graph, stored(_round(nodes, graph, degree, inward), "graph")
-        dropped(before)
-        released(vectors.sparkSession)
-    both = _kept(graph, inward).groupBy("node").agg(F.collect_list("near").alias("near"))
-    return nodes, stored(both, "adjacency")
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("node"), _packed(b.column("v"), centre, scale)], names=["shard", "node", "packed"])
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, table in _by_shard(batches):
+            near = shard_graph.descend(_unpacked(table.column("packed")), degree, inward, trees, settled, (seed, shard))
+            for at in range(0, len(near), 4096):
+                rows = near[at : at + 4096]
+                ends = np.concatenate([[0], np.cumsum((rows >= 0).sum(axis=1))])
+                part = table.slice(at, 4096).combine_chunks()
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows[rows >= 0], pa.int32()))
+                columns = [part.column(c).chunk(0) for c in ("shard", "node", "packed")]
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array(np.full(len(rows), shards), pa.int32()), *columns[1:], lists], names=["shard", "shards", "node", "packed", "near"])
+
+    placed = map_arrow(nodes.select("shard", "node", "v"), pack, "shard int, node long, packed binary")
+    graph = stored(map_arrow(_dealt(placed, shards), descend, "shard int, shards int, node long, packed binary, near array<int>"), "graph")
+    released(vectors.sparkSession)
+    return nodes, graph
 
 
 def _scaling(nodes: DataFrame) -> tuple[np.ndarray, float]:
@@ -89,228 +124,114 @@ def _scaling(nodes: DataFrame) -> tuple[np.ndarray, float]:
     return np.array(nodes.orderBy(F.xxhash64("node"), "node").first().v) * scale, scale
 
 
-def _merged(lists: DataFrame, degree: int) -> DataFrame:
-    """node, ids, d, fresh: the nearest of all lists of a node; a neighbour of no list with old ones is fresh."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("lists")
-            nodes, outer, each = b.column("node").to_numpy(), lists.offsets.to_numpy(), lists.values
-            inner = each.field("ids").offsets.to_numpy()
-            ends = inner[outer]
-            part = slice(ends[0], ends[-1])
-            ids, d = each.field("ids").values.to_numpy()[part], each.field("d").values.to_numpy()[part]
-            old = np.repeat(each.field("old").to_numpy(zero_copy_only=False), np.diff(inner))[part]
-            row = np.repeat(np.arange(len(nodes)), np.diff(ends))
-            order = np.lexsort((d, ~old, ids, row))
-            order = order[ids[order] != nodes[row[order]]]
-            first = np.ones(len(order), dtype=bool)
-            first[1:] = (ids[order][1:] != ids[order][:-1]) | (row[order][1:] != row[order][:-1])
-            order = order[first]
-            order = order[np.lexsort((ids[order], d[order], row[order]))]
-            count = np.bincount(row[order], minlength=len(nodes))
-            start = np.cumsum(count) - count
-            order = order[np.arange(len(order)) - np.repeat(start, count) < degree]
-            at = pa.array(np.concatenate([[0], np.cumsum(np.minimum(count, degree))]), pa.int32())
-            columns = [pa.array(ids[order], pa.int64()), pa.array(d[order], pa.float32()), pa.array(~old[order], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.ListArray.from_arrays(at, c) for c in columns)], names=["node", "ids", "d", "fresh"])
-
-    grouped = lists.groupBy("node").agg(F.collect_list(F.struct("ids", "d", "old")).alias("lists"))
-    return map_arrow(grouped, run, "node long, ids array<long>, d array<float>, fresh array<boolean>")
-
-
-def _distances(x: np.ndarray) -> np.ndarray:
-    """Squared distances between all rows, infinite on the diagonal."""
-    d = np.concatenate([((x[k : k + 32, None] - x[None]) ** 2).sum(axis=2) for k in range(0, len(x), 32)])
-    np.fill_diagonal(d, np.inf)
-    return d
-
-
-def _nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    k = min(k, len(d) - 1)
-    at = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return at, np.take_along_axis(d, at, axis=1)
-
-
-def _start(nodes: DataFrame, width: int, degree: int, trees: int, seed: int) -> DataFrame:
-    """The first graph, from blocks of nodes that random projections put side by side.
-
-    Thresholds are the medians of a bounded sample of nodes, those first in a hashed order.
-    """
-    n = nodes.count()
-    rng = np.random.default_rng(seed)
-    bits = max(1, int(np.ceil(np.log2(max(2, n / LEAF)))))
-    planes = rng.normal(size=(trees, bits + 1, width)).astype(np.float32)
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("packed").collect()
-    drawn = np.stack([np.frombuffer(r.packed, dtype=np.float32) for r in sample]) if sample else np.zeros((1, width), np.float32)
-    medians = np.stack([np.median(drawn @ p[:bits].T, axis=0) for p in planes])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.stack([np.frombuffer(h, dtype=np.float32) for h in b.column("packed").to_pylist()])
-            for t in range(trees):
-                z = x @ planes[t].T
-                code = ((z[:, :bits] > medians[t]) * (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(code, pa.int64()), pa.array(z[:, bits], pa.float32()), b.column("node"), b.column("packed")], names=["tree", "code", "along", "node", "packed"])
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            while sum(x.num_rows for x in held) >= 2 * LEAF:
-                table = pa.Table.from_batches(held).combine_chunks()
-                yield block(table.slice(0, LEAF))
-                held = table.slice(LEAF).to_batches()
-        if held:
-            yield block(pa.Table.from_batches(held).combine_chunks())
-
-    def block(t: pa.Table) -> pa.RecordBatch:
-        ids = t.column("node").to_numpy()
-        x = np.stack([np.frombuffer(h, dtype=np.float32) for h in t.column("packed").to_pylist()])
-        d = _distances(x)
-        d[ids[:, None] == ids[None]] = np.inf
-        if len(ids) < 2:
-            near, far = [[] for _ in ids], [[] for _ in ids]
-        else:
-            at, far = _nearest(d, degree)
-            near, far = ids[at].tolist(), far.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float32()))], names=["node", "ids", "d"])
-
-    placed = map_arrow(nodes.select("node", "packed"), place, "tree int, code long, along float, node long, packed binary")
-    ordered = placed.repartitionByRange("tree", "code", "along", "node").sortWithinPartitions("tree", "code", "along", "node")
-    return _merged(map_arrow(ordered, blocks, "node long, ids array<long>, d array<float>").withColumn("old", F.lit(False)), degree)
-
-
-def _kept(graph: DataFrame, inward: int) -> DataFrame:
-    """(node, near, fresh): all of a node's own neighbours, and the nearest `inward` nodes that name it."""
-    edges = graph.select("node", F.explode(F.arrays_zip("ids", "d", "fresh")).alias("e")).select("node", F.col("e.ids").alias("near"), F.col("e.d").alias("d"), F.col("e.fresh").alias("fresh"))
-    rank = F.row_number().over(Window.partitionBy("near").orderBy("d", "node"))
-    named = edges.withColumn("k", rank).where(F.col("k") <= inward).select(F.col("near").alias("node"), F.col("node").alias("near"), "fresh")
-    return edges.select("node", "near", "fresh").union(named).groupBy("node", "near").agg(F.max("fresh").alias("fresh"))
-
-
-def _round(nodes: DataFrame, graph: DataFrame, degree: int, inward: int) -> DataFrame:
-    """One round of descent: a node's neighbours are offered to each other.
-
-    Pairs of which neither is fresh have met before; pairs farther apart than all `degree` neighbours
-    of the one, or than `degree` others that it meets here, can't change its list.
-    """
-    worst = graph.select(F.col("node").alias("near"), F.when(F.size("ids") >= degree, F.element_at("d", -1)).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-    packed = nodes.select(F.col("node").alias("near"), "packed").join(worst, "near", "left")
-    meet = _kept(graph, inward).join(packed, "near").groupBy("node").agg(F.collect_list(F.struct("near", "packed", "worst", "fresh")).alias("around"))
-
-    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                around = whole.slice(start, 500).column("around")
-                ends = around.offsets.to_numpy()
-                flat = around.values
-                ids, fresh = flat.field("near").to_numpy(), flat.field("fresh").to_numpy(zero_copy_only=False).astype(bool)
-                worst = flat.field("worst").to_numpy(zero_copy_only=False)
-                x = np.frombuffer(b"".join(flat.field("packed").slice(ends[0], ends[-1] - ends[0]).to_pylist()), dtype=np.float32).reshape(ends[-1] - ends[0], -1)
-                to, near, far, sizes = [], [], [], []
-                for a, z in zip(ends[:-1], ends[1:]):
-                    if z - a > 1 and fresh[a:z].any():
-                        own = ids[a:z]
-                        d = _distances(x[a - ends[0] : z - ends[0]])
-                        d[~(fresh[a:z, None] | fresh[None, a:z])] = np.inf
-                        at, d = _nearest(d, degree)
-                        good = (d < worst[a:z, None]) & (d < np.inf)
-                        to.append(own)
-                        sizes.append(good.sum(axis=1))
-                        near.append(own[at][good])
-                        far.append(d[good])
-                at = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if to else [0], pa.int32())
-                join = lambda parts: np.concatenate(parts) if parts else []
-                out = [pa.array(join(to), pa.int64()), pa.ListArray.from_arrays(at, pa.array(join(near), pa.int64())), pa.ListArray.from_arrays(at, pa.array(join(far), pa.float32()))]
-                yield pa.RecordBatch.from_arrays(out, names=["node", "ids", "d"])
-
-    offered = map_arrow(meet.select("around"), offer, "node long, ids array<long>, d array<float>").where(F.size("ids") > 0)
-    return _merged(graph.select("node", "ids", "d", F.lit(True).alias("old")).union(offered.withColumn("old", F.lit(False))), degree)
-
-
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = 200, step: int = 100, starts: int = 8, entries: int = SAMPLE, rerank: int = 64, recall: float = 0.95, probes: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each of queries (query_id, v).
 
     Greedy search: `entries` nodes are the bounded set of entry points, of which a query takes the
-    nearest `starts`; of its best `beam` nodes up to `step` not yet expanded are expanded at a time,
-    until all are. For `probes` of the queries the nearest of all nodes are measured; `beam` is doubled
-    and the search goes on until it finds the share `recall` of these, or the beam holds all nodes. The best `rerank` nodes, and all that tie
-    with the last, are measured in double precision. A query's own id isn't a candidate.
+    nearest `starts` of a shard; of its best `beam` nodes up to `step` not yet expanded are expanded at a
+    time, until all are. `entries`, `beam` and `step` are shared equally by the shards. For `probes` of
+    the queries the nearest of all nodes are measured; `beam` is doubled until it finds the share `recall`
+    of these, or holds all nodes. The best `rerank` nodes, and all that tie with the last, are measured in
+    double precision. A query's own id isn't a candidate.
     """
     room = nodes.agg(F.min("room")).first()[0]
     if room is not None and k >= room:
         raise ValueError(f"the index keeps members for lists of {room - 1}, not {k}")
-    chosen = nodes.orderBy(F.xxhash64(F.lit(1), "node"), "node").limit(entries).select("node", "packed").collect()
-    ids = np.array([r.node for r in chosen], dtype=np.int64)
-    points = np.stack([np.frombuffer(r.packed, dtype=np.float32) for r in chosen]) if chosen else np.zeros((0, 1), np.float32)
+    one = graph.select("shards", F.length("packed").alias("bytes")).head()
+    shards, width = (one.shards, one.bytes // 4) if one else (1, 0)
     centre, scale = _scaling(nodes)
     # Rounding moves a scaled vector by less than this; sums of squares are off by less than a ten-thousandth.
-    blur = 0.0 if not centre.any() else 2.0**-22 * math.sqrt(points.shape[1])
-    pool_type = "array<struct<d:float,node:long,done:boolean>>"
+    blur = 0.0 if not centre.any() else 2.0**-22 * math.sqrt(width)
+    share = lambda n: -(-n // shards)
+    stride, starting = share(step), share(entries)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed, pools = [], []
-            for v in b.column("v").to_pylist():
-                x = np.array(v)
-                x = (x * scale - (centre if len(centre) in (1, len(x)) else 0)).astype(np.float32)
-                packed.append(x.tobytes())
-                d = ((points - x) ** 2).sum(axis=1) if len(points) and points.shape[1] == len(x) else np.zeros(0)
-                best = np.argsort(d, kind="stable")[:starts]
-                pools.append([{"d": float(d[a]), "node": int(ids[a]), "done": False} for a in best])
-            kind = pa.list_(pa.struct([("d", pa.float32()), ("node", pa.int64()), ("done", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("v"), pa.array(packed, pa.binary()), pa.array(pools, kind)], names=["query_id", "v", "packed", "pool"])
-
-    entered = map_arrow(queries.select("query_id", "v"), enter, f"query_id long, v array<double>, packed binary, pool {pool_type}")
-    own = nodes.select(F.col("node").alias("own"), F.explode("members").alias("query_id"), F.xxhash64("v").alias("hash"), F.col("v").alias("w"))
-    joined = entered.withColumn("hash", F.xxhash64("v")).join(own, ["query_id", "hash"], "left")
-    known = F.when(F.col("v") == F.col("w"), F.array(F.struct(F.lit(0.0).cast("float").alias("d"), F.col("own").alias("node"), F.lit(False).alias("done"))))
-    rest = F.filter("pool", lambda e: ~e["node"].eqNullSafe(F.col("own")))
-    state = stored(joined.select("query_id", "v", "packed", F.when(known.isNull(), F.col("pool")).otherwise(F.concat(known, rest)).alias("pool")), "beam", few=True)
-    asked = state.select("query_id", "v", "packed")
-    pools = state.select("query_id", "pool")
-    packed = nodes.select("node", F.col("packed").alias("other"))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.frombuffer(b"".join(b.column("packed").to_pylist()), dtype=np.float32).reshape(b.num_rows, -1)
-                y = np.frombuffer(b"".join(b.column("other").to_pylist()), dtype=np.float32).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("node"), pa.array(((x - y) ** 2).sum(axis=1), pa.float32())], names=["query_id", "node", "d"])
+                yield pa.RecordBatch.from_arrays([*b.columns, _packed(b.column("v"), centre, scale)], names=["query_id", "v", "shard", "packed"])
+
+    fitting = queries.where(F.size("v") == width).select("query_id", "v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"))
+    state = stored(map_arrow(fitting, enter, "query_id long, v array<double>, shard int, packed binary"), "queries", few=True)
+    asked = state.select("query_id", "v")
+
+    def collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        table = rows.select("query_id", "shard", "packed").toArrow()
+        return table.column("query_id").to_numpy(), table.column("shard").to_numpy(), _unpacked(table.column("packed")) if table.num_rows else np.zeros((0, width), np.float32)
+
+    def searched(asking: tuple[np.ndarray, np.ndarray, np.ndarray], run, schema: str) -> DataFrame:
+        """run(ids, x, walk of a beam) of every shard; walk gives places of queries and nodes, and distances."""
+        ids, home, q = asking
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard, table in _by_shard(batches):
+                names, x, lists = table.column("node").to_numpy(), _unpacked(table.column("packed")), table.column("near").combine_chunks()
+                ends = lists.offsets.to_numpy()
+                count = np.diff(ends)
+                near = np.full((len(x), max(1, int(count.max()))), -1, np.int32)
+                near[np.arange(near.shape[1]) < count[:, None]] = lists.values.to_numpy()[ends[0] : ends[-1]]
+                mine = np.flatnonzero(home == shard)
+                places = {bytes(v): at for at, v in enumerate(x)} if len(mine) else {}
+                own = np.full(len(q), -1)
+                own[mine] = [places.get(bytes(v), -1) for v in q[mine]]
+                points = np.random.default_rng((1, shard)).permutation(len(x))[:starting]
+                yield from run(names, x, lambda wide: shard_graph.walk(x, near, q, own, points, wide, stride, starts, k + 1, blur))
+
+        return map_arrow(_dealt(graph.select("shard", "node", "packed", "near"), shards), task, schema)
+
+    some = collected(state.orderBy(F.xxhash64(F.lit(2), "query_id"), "query_id").limit(probes))
+
+    def probe(names: np.ndarray, x: np.ndarray, walk) -> Iterator[pa.RecordBatch]:
+        """The nearest of a shard, each with the first doubling of the beam that finds it."""
+        ids, _, q = some
+        at, d = shard_graph.scan(x, q, k + 1)
+        level, doubling = np.full(at.shape, 99), 0
+        while (level == 99).any():
+            wide = share(beam << doubling)
+            got = walk(wide)
+            hit = np.isin(np.arange(len(q))[:, None] * len(x) + at, got[0] * len(x) + got[1])
+            level[hit & (level == 99)] = doubling
+            if wide >= len(x):
+                level[level == 99] = doubling
+            doubling += 1
+        flat = [pa.array(np.repeat(ids, at.shape[1]), pa.int64()), pa.array(names[at].ravel(), pa.int64()), pa.array(d.ravel(), pa.float32()), pa.array(level.ravel(), pa.int32())]
+        yield pa.RecordBatch.from_arrays(flat, names=["query_id", "node", "d", "level"])
+
+    def walked(names: np.ndarray, ids: np.ndarray, got: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        rows, at, d = got
+        order = np.argsort(rows, kind="stable")
+        rows, at, d = rows[order], at[order], d[order]
+        own, start = np.unique(rows, return_index=True)
+        ends = pa.array(np.append(start, len(rows)), pa.int32())
+        pool = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(d, pa.float32()), pa.array(names[at], pa.int64())], names=["d", "node"]))
+        batch = pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pool], names=["query_id", "pool"])
+        for k0 in range(0, batch.num_rows, 4096):
+            yield batch.slice(k0, 4096)
 
     def first(pool: Column, n: int) -> Column:
         """The n nearest of a pool in order, and those that rounding may have put behind the last."""
         last = F.sqrt(F.try_element_at(pool, F.lit(n))["d"].cast("double")) * 1.0001 + blur
         return F.filter(pool, lambda e: F.coalesce(F.sqrt(e["d"].cast("double")) <= last, F.lit(True)))
 
-    def greedy(pools: DataFrame, beam: int) -> DataFrame:
-        """Expand until all of the best are; twice as many are held, for the next beam to begin with."""
-        while True:
-            todo = pools.select("query_id", F.slice(F.filter(F.slice("pool", 1, beam), lambda e: ~e["done"]), 1, step)["node"].alias("next")).where(F.size("next") > 0)
-            if not todo.head(1):
-                return pools
-            around = todo.select("query_id", F.explode("next").alias("node")).join(graph, "node").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("seen"))
-            fresh = pools.join(around, "query_id").select("query_id", F.explode(F.array_except("seen", F.col("pool.node"))).alias("node")).join(asked.select("query_id", "packed"), "query_id")
-            found = map_arrow(fresh.join(packed, "node").select("query_id", "node", "packed", "other"), measure, "query_id long, node long, d float")
-            new = found.groupBy("query_id").agg(F.collect_list(F.struct("d", "node", F.lit(False).alias("done"))).alias("new"))
-            joined = pools.join(todo, "query_id", "left").join(new, "query_id", "left")
-            none = F.array().cast(pool_type)
-            expanded = F.transform("pool", lambda e: F.struct(e["d"].alias("d"), e["node"].alias("node"), (e["done"] | F.array_contains(F.coalesce("next", F.array().cast("array<long>")), e["node"])).alias("done")))
-            merged = joined.select("query_id", F.sort_array(F.concat(expanded, F.coalesce("new", none))).alias("pool"))
-            pools = stored(merged.select("query_id", first(F.col("pool"), 2 * beam).alias("pool")), "beam", few=True)
-
-    some = state.select("query_id", "packed").orderBy(F.xxhash64(F.lit(2), "query_id"), "query_id").limit(probes).collect()
-    total = nodes.count()
-    within = _scanned(nodes, [(q.query_id, np.frombuffer(q.packed, dtype=np.float32)) for q in some], k)
-    while some:
-        pools = greedy(pools, beam)
-        tried = pools.where(F.col("query_id").isin(list(within))).select("query_id", F.slice("pool.node", 1, beam).alias("node")).collect()
-        if beam >= total or sum(len(within[q.query_id].intersection(q.node)) for q in tried) >= recall * sum(map(len, within.values())):
-            break
-        beam *= 2
-    best = pools.select("query_id", F.explode(first(F.col("pool"), rerank)).alias("e")).select("query_id", F.col("e.node").alias("node"))
-    pairs = best.join(nodes.select("node", F.col("v").alias("w"), "members"), "node").join(asked.select("query_id", "v"), "query_id")
+    order = Window.partitionBy("query_id").orderBy("d", "node")
+    tried = searched(some, probe, "query_id long, node long, d float, level int").where("node <> query_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+    levels = sorted(r.level for r in tried.select("level").collect()) if len(some[0]) else []
+    wide = share(beam << (levels[max(0, math.ceil(recall * len(levels)) - 1)] if levels else 0))
+
+    parts = max(1, -(-state.count() // ASKED))
+    pools = []
+    for part in range(parts):
+        asking = collected(state.where(F.pmod(F.xxhash64(F.lit(3), "query_id"), F.lit(parts)) == part))
+        ids = asking[0]
+        pools.append(searched(asking, lambda names, x, walk, ids=ids: walked(names, ids, walk(wide)), "query_id long, pool array<struct<d:float,node:long>>"))
+        if parts > 1:
+            pools[-1] = stored(pools[-1], "pools")
+            released(nodes.sparkSession)
+    whole = pools[0]
+    for more in pools[1:]:
+        whole = whole.union(more)
+    merged = whole.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("pool"))).alias("pool"))
+    best = merged.select("query_id", F.explode(first(F.col("pool"), rerank)).alias("e")).select("query_id", F.col("e.node").alias("node"))
+    pairs = best.join(nodes.select("node", F.col("v").alias("w"), "members"), "node").join(asked, "query_id")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,27 +246,6 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scanned(nodes: DataFrame, asking: list[tuple[int, np.ndarray]], k: int) -> dict[int, set[int]]:
-    """The k nearest nodes other than itself of each of a bounded number of queries, from all nodes."""
-    x = [(own, v.astype(np.float32)) for own, v in asking]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("node").to_numpy()
-            y = np.stack([np.frombuffer(h, dtype=np.float32) for h in b.column("packed").to_pylist()]) if len(ids) else np.zeros((0, 1), np.float32)
-            for own, v in x:
-                d = ((y - v) ** 2).sum(axis=1) if y.shape[1] == len(v) else np.zeros(0)
-                best = np.lexsort((ids[: len(d)], d))[: k + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), own), pa.int64()), pa.array(ids[best], pa.int64()), pa.array(d[best], pa.float32())], names=["query_id", "node", "d"])
-
-    best = Window.partitionBy("query_id").orderBy("d", "node")
-    rows = map_arrow(nodes.select("node", "packed"), run, "query_id long, node long, d float").where("node <> query_id").withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).collect()
-    found: dict[int, set[int]] = {own: set() for own, _ in asking}
-    for r in rows:
-        found[r.query_id].add(r.node)
-    return found
-
-
 def own_queries(vectors: DataFrame, every: int = 100, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, v: the stated query set, rows whose id is divisible by `every`, each id once."""
     clean = _clean(vectors, key, column)

@@ -69,6 +69,27 @@ def test_op2_of_other_queries(spark):
     assert sum(len(got[k] & set(np.argsort(((x - v) ** 2).sum(axis=1))[:5].tolist())) for k, v in enumerate(asked)) >= 0.9 * 5 * 20
 
 
+def test_op2_of_many_shards(spark, monkeypatch):
+    """Every query searches every shard, and the jobs don't grow with rounds and expansions."""
+    monkeypatch.setattr(nn_descent, "SHARD", 1200, raising=False)
+    monkeypatch.setattr(nn_descent, "ASKED", 40, raising=False)
+    x = np.random.default_rng(7).normal(size=(6000, 32))
+    x[5000:] = x[3] + np.random.default_rng(8).normal(size=(1000, 32)) * 1e-4
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    spark.sparkContext.setJobGroup("op2", "op2")
+    nodes, graph = nn_descent.index(table)
+    rows = nn_descent.search(nodes, graph, nn_descent.own_queries(table)).collect()
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("op2")) < 60
+    assert graph.select("shard").distinct().count() == 5
+    got = defaultdict(set)
+    for r in rows:
+        got[r.query_id].add(r.vec_id)
+        assert r.score == pytest.approx(np.sqrt(((x[r.query_id] - x[r.vec_id]) ** 2).sum()))
+    near = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) for q in range(0, 6000, 100)}
+    assert sum(len(near[q] & got[q]) for q in near) >= 0.9 * 10 * len(near)
+
+
 def test_op3(spark, docs):
     terms = [set(license_scan.terms((d.text or "").lower())) for d in docs]
     vocabulary = {t for _, text in license_scan.TEMPLATES for t in license_scan.terms(text.lower())}
