@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,4 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         of = lambda c, name: to.select(F.col("node").alias(c), F.col("root").alias(name))
         labels = to if labels is None else stored(labels.join(of("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels", few=True)
         left = stored(left.join(of("a", "ra"), "a").join(of("b", "rb"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges", few=True)
+        released(edges.sparkSession)
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, released, stored
 
 POINTS = 2**40  # points of the schedule, and slots that it can have
 GOLDEN = int(POINTS * (5**0.5 - 1) / 2) | 1  # odd: i -> i * GOLDEN mod POINTS meets every point once
@@ -106,6 +106,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     numbers = F.monotonically_increasing_id() if row is None else F.col(row)
     sizes = stored(docs.select("doc_id", "source", size.alias("size"), hash_.alias("hash"), numbers.alias("row")), "sizes")
     targets = stored(source_targets(sizes, weights, share, most), "targets")
+    released(docs.sparkSession)
     documents = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select("row", "doc_id", sizes["source"], "size", "hash", "number", "n_docs", "source_size", "target")
 
     buckets = F.ceil(F.col("n_docs") / BUCKET).cast("long")

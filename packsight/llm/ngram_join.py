@@ -45,6 +45,7 @@ from .components import components
 
 VERTICAL = 8  # parts of the order in which overlaps are counted
 PASSES = ((4, 5), (6, 7), (0, 1), (2, 3))  # parts that are joined at a time, in the order of signed hashes
+FEW = 20_000  # documents that are compared in one pass at most
 ROUNDS = 4  # rounds in which buckets are gathered
 KEPT = 400_000  # words whose hashes, and sets whose digests, a task remembers
 
@@ -198,12 +199,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return map_arrow(docs.select(row_hash(docs).alias("row"), "text").join(wanted.hint("merge"), "row").select("sig", "text"), run, schema)
 
 
-def _members(profiles: DataFrame) -> DataFrame:
+def _members(profiles: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(key, sig) of the buckets that different sets share."""
     found = None
-    for k in range(ROUNDS):
+    for k in range(rounds):
         # One shuffle serves the grouping and the join; a key has few different sets or none.
-        keyed = profiles.select("sig", F.explode("keys").alias("key")).where(F.pmod(F.shiftrightunsigned("key", 1), F.lit(ROUNDS)) == k).repartition("key")
+        keyed = profiles.select("sig", F.explode("keys").alias("key")).where(F.pmod(F.shiftrightunsigned("key", 1), F.lit(rounds)) == k).repartition("key")
         shared = keyed.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key")
         part = stored(keyed.join(shared.hint("shuffle_hash"), "key").distinct(), "members", few=True)
         released(profiles.sparkSession)
@@ -225,6 +226,7 @@ def _counted(members: DataFrame, needs: DataFrame) -> DataFrame:
         left = stored(left, "counted", few=True)
         shared = left.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key")
         members = stored(left.join(shared, "key").select("key", "sig"), "members", few=True)
+        released(members.sparkSession)
     return members
 
 
@@ -248,13 +250,13 @@ def _near(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
     return sized.where(sizes).where(differ * (q + p) <= (F.col("size_a") + F.col("size_b")) * (q - p)).select("a", "b", "size_a", "size_b")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _overlaps(pairs: DataFrame, sets: DataFrame, passes: tuple = PASSES) -> DataFrame:
     """pairs with common, the size of their intersection: counted part by part, then summed.
 
     A few parts at a time are joined, so that the items in flight are a share of the sets.
     """
     counts = None
-    for parts in PASSES:
+    for parts in passes:
         unique = sets.where(F.col("part").isin(*parts)).dropDuplicates(["sig", "part"])
         spread = pairs.select("a", "b", F.explode(F.array(*map(F.lit, parts))).alias("part"))
         of = lambda side: unique.select(F.col("sig").alias(side), "part", F.col("items").alias(f"of_{side}")).hint("merge")  # noqa: E731, B023
@@ -309,7 +311,10 @@ def link(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> D
     first = profiles.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count("*").alias("copies"))
     needs = whole.where("size(need) > 0").groupBy("sig").agg(F.first("need").alias("need"))
     sketches = stored(whole.where("size(bits) > 0").groupBy("sig").agg(F.max("n").alias("n"), F.first("bits").alias("bits")), "sketches", few=True)
-    members = _counted(_members(whole), needs)
+    # Every exchange costs the driver a thread for a minute, so that few documents take one pass.
+    few = profiles.count() <= FEW
+    passes = (tuple(part for parts in PASSES for part in parts),) if few else PASSES
+    members = _counted(_members(whole, 1 if few else ROUNDS), needs)
     dropped(whole)
     released(spark)
     pairs = stored(_near(_stars(members), sketches, p, q), "pairs", few=True)
@@ -321,7 +326,7 @@ def link(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> D
         return kept
 
     sets = sets_of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")))
-    near = stored(_overlaps(pairs, sets).where(_linked(p, q)).select("a", "b"), "links", few=True)
+    near = stored(_overlaps(pairs, sets, passes).where(_linked(p, q)).select("a", "b"), "links", few=True)
     dropped(sets)
     roots = components(near)
     still = stored(_open(members, roots), "open", few=True)
@@ -330,7 +335,7 @@ def link(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> D
         others = stored(_near(_rest(still, sketches, sets, p, q), sketches, p, q), "others", few=True)
         released(spark)
         if others.head(1):
-            late = stored(_overlaps(others, sets).where(_linked(p, q)).select("a", "b"), "links", few=True)
+            late = stored(_overlaps(others, sets, passes).where(_linked(p, q)).select("a", "b"), "links", few=True)
             roots = components(near.union(late))
         dropped(sets)
     grouped = first.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "doc_id", F.coalesce("root", "sig").alias("group"), "copies", F.col("root").isNotNull().alias("linked"))

@@ -325,3 +325,15 @@ def test_mixture_of_repeated_ids_keeps_each_text_whole(spark):
     rows = spark.createDataFrame([(1, f"{k} " * (k + 1), "en", "a", 1) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter(r.text for r in corpus_pipeline.mixture(spark, rows, DATA).collect())
     assert set(got) <= {r.text for r in rows.collect()} and max(got.values()) <= 2
+
+
+def test_few_documents_take_one_pass(spark, docs, monkeypatch):
+    """Fewer tables between steps, and so fewer of the driver's threads; the same links as in several passes."""
+    made, kept = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name, *a, **b: made.append(name) or kept(df, name, *a, **b))
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    one = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(table).collect()}
+    assert made.count("members") == 3 and made.count("overlaps") <= 2
+    monkeypatch.setattr(ngram_join, "FEW", 0)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(table).collect()} == one
+    assert made.count("members") == 3 + 6
