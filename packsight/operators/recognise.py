@@ -76,8 +76,8 @@ def mean_confidence(lines: Column) -> Column:
 
 
 def weakness(lines: Column, policy: Policy) -> Column:
-    """The first reason not to trust a read, or null."""
-    reason = F.when(lines.isNull() | (F.size(lines) == 0), "no text").when(char_count(lines) < policy.min_chars, "few characters").when(mean_confidence(lines) < policy.min_confidence, "low confidence")
+    """The first reason not to trust a read, or null. Lines without a character are no text."""
+    reason = F.when(lines.isNull() | (F.size(lines) == 0) | (char_count(lines) == 0), "no text").when(char_count(lines) < policy.min_chars, "few characters").when(mean_confidence(lines) < policy.min_confidence, "low confidence")
     if policy.require_digits:
         reason = reason.when(~F.exists(lines, lambda x: F.rlike(x["text"], F.lit("[0-9]"))), "no digits")
     return reason

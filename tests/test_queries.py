@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from compare import DATA, assert_same, connection
 
@@ -30,6 +31,17 @@ def test_scores_between_two_decimals(spark, con):
     assert reports.field_summary(near, ("size",)).first().f1 == 0.9063
 
 
+@pytest.mark.parametrize("name", ["tier_escalation", "dual_reads", "cached_reads"])
+def test_reads_of_odd_documents(spark, tmp_path, name):
+    """Null and empty texts, and an id with two texts."""
+    texts = ["", None, "x", "a" * 35, "a" * 39, "a" * 40, "a" * 41, "a" * 45, "😀" * 39, " " * 42, "a" * 50]
+    rows = [*enumerate(texts), (3, "b" * 61)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert_same(queries.QUERIES[name](spark, str(tmp_path)), queries.oracle_sql()[name], con)
+
+
 def test_entry(spark):
     import __spark_entry__
 
