@@ -37,13 +37,19 @@ def wanted_tokens(truth: DataFrame) -> DataFrame:
 
 
 def weak_labels(words: DataFrame, truth: DataFrame) -> DataFrame:
-    """Add label and label_id to words (product_key, word_no, word): the first field that has the word, else O."""
-    wanted = wanted_tokens(truth)
-    both = F.explode(F.array(F.struct(F.lit("text").alias("kind"), token(F.col("word")).alias("token")), F.struct(F.lit("digits").alias("kind"), tx.digits(F.col("word")).alias("token")))).alias("t")
-    keys = words.select("product_key", "word_no", both).select("product_key", "word_no", "t.kind", "t.token").where("token <> ''")
-    best = keys.join(wanted, ["product_key", "kind", "token"]).groupBy("product_key", "word_no").agg(F.min_by("label", "precedence").alias("label"))
+    """Add label and label_id to words (product_key, word_no, word): the first field that has the word, else O.
+
+    Neither side is ever sent whole to the driver or to a task: both are sorted by product, whose
+    wanted tokens are one row, and a word looks its label up there.
+    """
+    first = wanted_tokens(truth).groupBy("product_key", "kind", "token").agg(F.min(F.struct("precedence", "label")).alias("first"))
+    entry = F.struct(F.concat_ws(":", "kind", "token").alias("key"), F.col("first").alias("value"))
+    wanted = first.groupBy("product_key").agg(F.map_from_entries(F.collect_list(entry)).alias("wanted"))
+    joined = words.join(wanted.hint("merge"), "product_key", "left")
+    # A word without letters or figures has no key of its own, and an empty token is never wanted.
+    found = F.least(*(F.try_element_at("wanted", F.concat(F.lit(f"{kind}:"), of(F.col("word")))) for kind, of in (("text", token), ("digits", tx.digits))))
     ids = F.create_map(*(x for k, name in enumerate(LABELS) for x in (F.lit(name), F.lit(k))))
-    out = words.join(best, ["product_key", "word_no"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+    out = joined.select(*words.columns, F.coalesce(found["label"], F.lit("O")).alias("label"))
     return out.withColumn("label_id", ids[F.col("label")])
 
 

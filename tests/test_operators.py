@@ -412,3 +412,12 @@ def test_token_model_has_a_window(spark):
     got = {(r.product_key, r.view, r.word_no): (r.word, r.label, r.confidence) for r in labels.classify(rows, lambda words, boxes: [("MRP", 0.5)]).collect()}
     assert got == {("p", 1, 0): ("a", "MRP", 0.5), ("p", 1, 1): ("b", "O", 0.0), ("p", 2, 0): ("c", "MRP", 0.5), (None, 1, 0): ("d", "MRP", 0.5)}
     assert labels.classify(rows.limit(0), lambda words, boxes: []).count() == 0
+
+
+def test_weak_labels_broadcast_nothing(spark):
+    """The wanted tokens of all products are as many as the products: neither side may be sent whole through the driver."""
+    words = spark.createDataFrame([(1, 0, "Acme,"), (1, 1, "55.0"), (1, 2, "tea"), (1, 3, "--"), (2, 0, "acme"), (None, 0, "acme"), (3, 0, None), (3, 1, "acme55")], "product_key long, word_no int, word string")
+    truth = spark.createDataFrame([(1, "Product Name", "ACME tea"), (1, "Brand", "acme"), (1, "Mrp", "55"), (3, "Mrp", "55.0"), (2, "Brand", None), (2, "Unknown", "acme")], "product_key long, field string, value string")
+    got = labels.weak_labels(words, truth)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.product_key, r.word_no): (r.label, r.label_id) for r in got.collect()} == {(1, 0): ("BRAND", 1), (1, 1): ("MRP", 2), (1, 2): ("PRODUCT_NAME", 7), (1, 3): ("O", 0), (2, 0): ("O", 0), (None, 0): ("O", 0), (3, 0): ("O", 0), (3, 1): ("MRP", 2)}
