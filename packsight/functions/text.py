@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -196,11 +197,19 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(ta) > 0) & (F.size(tb) > 0), 2.0 * F.size(F.array_intersect(ta, tb)) / both).otherwise(0.0)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def title(text: Column) -> Column:
     """Each letter after a non-letter in upper case, all others in lower case."""
-    chars = F.split(text, "")
-    after = lambda i: (i == 0) | ~F.rlike(F.get(chars, i - 1), F.lit(r"\p{L}"))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(after(i), F.upper(c)).otherwise(F.lower(c))), "")
+
+    def join(chars: Column) -> Column:
+        after = lambda i: (i == 0) | ~F.rlike(F.get(chars, i - 1), F.lit(r"\p{L}"))
+        return F.array_join(F.transform(chars, lambda c, i: F.when(after(i), F.upper(c)).otherwise(F.lower(c))), "")
+
+    return once(F.split(text, ""), join)
 
 
 def clean_entity(text: Column) -> Column:

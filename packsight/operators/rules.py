@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +40,11 @@ DEFAULT_CONFIDENCE = 0.8
 
 @dataclass(frozen=True)
 class Rule:
-    """One pattern: `form` says how its groups become a value."""
+    """One pattern: `form` says how its groups become a value.
+
+    Whatever the pattern matches holds one of `marks` in lower case, and a figure if `figure` is set:
+    only such lines are searched, as a search costs many times more than a look for a fixed text.
+    """
 
     field: str
     step: int
@@ -51,31 +56,33 @@ class Rule:
     tallest: bool = False
     needs: tuple[str, ...] = ()
     squeeze: bool = False
+    marks: tuple[str, ...] = ()
+    figure: bool = False
 
 
 CATALOG = (
-    Rule("Mrp", 1, MRP, 0.9, "regex:mrp-labelled"),
-    Rule("Mrp", 2, PRICE, 0.5, "regex:price-mark"),
-    Rule("Net Quantity", 1, NET_LABELLED, 0.9, "regex:net-qty-labelled", "amount"),
-    Rule("Net Quantity", 2, NET_ANY, 0.6, "layout:prominent-size", "amount", tallest=True),
-    Rule("Fssai No", 1, FSSAI, 0.95, "regex:fssai", squeeze=True),
-    Rule("Manufacturer", 1, MADE_BY, 0.85, "regex:mktd-by", "entity"),
-    Rule("Country Of Origin", 1, ORIGIN, 0.85, "regex:origin", "country"),
-    Rule("Preservatives", 1, r"(?i)no\s+added\s+preservatives?|preservative[\s\-]?free", 0.8, "regex:no-preservative-claim", "constant", "No"),
-    Rule("Preservatives", 2, r"(?i)contains?\s+preservatives?|preservatives?\s*[:(]", 0.6, "regex:preservative-claim", "constant", "Yes"),
-    Rule("Ready_to_cook", 1, r"(?i)\bready\s*to\s*cook\b", 0.75, "regex:ready-to-cook", "constant", "Yes"),
-    Rule("Ready_to_eat", 1, r"(?i)\bready\s*to\s*eat\b", 0.75, "regex:ready-to-eat", "constant", "Yes"),
-    Rule("Herbal_or_Ayurvedic", 1, r"(?i)\bherbal\b|\bayurvedic\b", 0.7, "regex:herbal-claim", "constant", "Yes"),
-    Rule("Flavours_or_Spices", 1, r"(?i)flavou?rs?\s*[:\-]\s*([a-z][a-z \-]{2,30})", 0.7, "regex:flavour-label", "title"),
-    Rule("Flavours_or_Spices", 2, r"([A-Z][a-zA-Z\-]+(?:\s+[A-Z][a-zA-Z\-]+){0,2})\s+flavou?r\b", 0.5, "regex:flavour-name", "strip"),
-    Rule("Caffeine_Content", 1, r"(?i)caffeine\b[^0-9]{0,15}([0-9]+(?:\.[0-9]+)?\s*mg(?:\s*/\s*[0-9]+\s*ml)?(?:\s*(?:can|serve|bottle))?)", 0.75, "regex:caffeine-content", "strip"),
-    Rule("Recommended_Age", 1, r"(?i)(?:recommended\s+age)\s*[:\-]?\s*([0-9]{1,2}\s*\+|[0-9]{1,2}\s*(?:years?|yrs?)\s*(?:and\s*)?(?:above|older)?)", 0.6, "regex:recommended-age", "strip"),
-    Rule("Baby_Weight", 1, r"(?i)([0-9]+(?:\.[0-9]+)?\s*-\s*[0-9]+(?:\.[0-9]+)?\s*kg)", 0.55, "regex:baby-weight-range", "strip", needs=("weight", "kg")),
-    Rule("Absorption_Duration", 1, r"(?i)absorption[^0-9]{0,15}([0-9]+(?:\.[0-9]+)?\s*(?:hrs?|hours?))", 0.6, "regex:absorption-duration", "strip"),
-    Rule("Dimension", 1, r"((?i:[0-9]+(?:\.[0-9]+)?\s*[xX×]\s*[0-9]+(?:\.[0-9]+)?(?:\s*[xX×]\s*[0-9]+(?:\.[0-9]+)?)?\s*(?:cm|mm|inch(?:es)?|in)\b))", 0.6, "regex:dimension", "strip"),
-    Rule("Pack_Quantity", 1, r"(?i)pack\s*of\s*([0-9]+)", 0.7, "regex:pack-of-n"),
-    Rule("Diet_Type", 1, r"(?i)\bnon[\s\-]?veg(?:etarian)?\b", 0.7, "regex:non-veg-mark", "constant", "Non-Vegetarian"),
-    Rule("Diet_Type", 2, r"(?i)\bvegetarian\b|\bveg\b", 0.6, "regex:veg-mark", "constant", "Vegetarian"),
+    Rule("Mrp", 1, MRP, 0.9, "regex:mrp-labelled", marks=("p",), figure=True),
+    Rule("Mrp", 2, PRICE, 0.5, "regex:price-mark", marks=("rs", "inr", "₹"), figure=True),
+    Rule("Net Quantity", 1, NET_LABELLED, 0.9, "regex:net-qty-labelled", "amount", marks=("net",), figure=True),
+    Rule("Net Quantity", 2, NET_ANY, 0.6, "layout:prominent-size", "amount", tallest=True, figure=True),
+    Rule("Fssai No", 1, FSSAI, 0.95, "regex:fssai", squeeze=True, marks=("fssai", "lic"), figure=True),
+    Rule("Manufacturer", 1, MADE_BY, 0.85, "regex:mktd-by", "entity", marks=("by",)),
+    Rule("Country Of Origin", 1, ORIGIN, 0.85, "regex:origin", "country", marks=("origin", "made", "product")),
+    Rule("Preservatives", 1, r"(?i)no\s+added\s+preservatives?|preservative[\s\-]?free", 0.8, "regex:no-preservative-claim", "constant", "No", marks=("preservative",)),
+    Rule("Preservatives", 2, r"(?i)contains?\s+preservatives?|preservatives?\s*[:(]", 0.6, "regex:preservative-claim", "constant", "Yes", marks=("preservative",)),
+    Rule("Ready_to_cook", 1, r"(?i)\bready\s*to\s*cook\b", 0.75, "regex:ready-to-cook", "constant", "Yes", marks=("ready",)),
+    Rule("Ready_to_eat", 1, r"(?i)\bready\s*to\s*eat\b", 0.75, "regex:ready-to-eat", "constant", "Yes", marks=("ready",)),
+    Rule("Herbal_or_Ayurvedic", 1, r"(?i)\bherbal\b|\bayurvedic\b", 0.7, "regex:herbal-claim", "constant", "Yes", marks=("herbal", "ayurvedic")),
+    Rule("Flavours_or_Spices", 1, r"(?i)flavou?rs?\s*[:\-]\s*([a-z][a-z \-]{2,30})", 0.7, "regex:flavour-label", "title", marks=("flavo",)),
+    Rule("Flavours_or_Spices", 2, r"([A-Z][a-zA-Z\-]+(?:\s+[A-Z][a-zA-Z\-]+){0,2})\s+flavou?r\b", 0.5, "regex:flavour-name", "strip", marks=("flavo",)),
+    Rule("Caffeine_Content", 1, r"(?i)caffeine\b[^0-9]{0,15}([0-9]+(?:\.[0-9]+)?\s*mg(?:\s*/\s*[0-9]+\s*ml)?(?:\s*(?:can|serve|bottle))?)", 0.75, "regex:caffeine-content", "strip", marks=("caffeine",), figure=True),
+    Rule("Recommended_Age", 1, r"(?i)(?:recommended\s+age)\s*[:\-]?\s*([0-9]{1,2}\s*\+|[0-9]{1,2}\s*(?:years?|yrs?)\s*(?:and\s*)?(?:above|older)?)", 0.6, "regex:recommended-age", "strip", marks=("recommended",), figure=True),
+    Rule("Baby_Weight", 1, r"(?i)([0-9]+(?:\.[0-9]+)?\s*-\s*[0-9]+(?:\.[0-9]+)?\s*kg)", 0.55, "regex:baby-weight-range", "strip", needs=("weight", "kg"), marks=("kg",), figure=True),
+    Rule("Absorption_Duration", 1, r"(?i)absorption[^0-9]{0,15}([0-9]+(?:\.[0-9]+)?\s*(?:hrs?|hours?))", 0.6, "regex:absorption-duration", "strip", marks=("absorption",), figure=True),
+    Rule("Dimension", 1, r"((?i:[0-9]+(?:\.[0-9]+)?\s*[xX×]\s*[0-9]+(?:\.[0-9]+)?(?:\s*[xX×]\s*[0-9]+(?:\.[0-9]+)?)?\s*(?:cm|mm|inch(?:es)?|in)\b))", 0.6, "regex:dimension", "strip", marks=("x", "×"), figure=True),
+    Rule("Pack_Quantity", 1, r"(?i)pack\s*of\s*([0-9]+)", 0.7, "regex:pack-of-n", marks=("pack",), figure=True),
+    Rule("Diet_Type", 1, r"(?i)\bnon[\s\-]?veg(?:etarian)?\b", 0.7, "regex:non-veg-mark", "constant", "Non-Vegetarian", marks=("veg",)),
+    Rule("Diet_Type", 2, r"(?i)\bvegetarian\b|\bveg\b", 0.6, "regex:veg-mark", "constant", "Vegetarian", marks=("veg",)),
 )
 KEYWORDS = (("Theme_or_Occasion_Type", THEMES), ("Hair_Type", HAIR_TYPES), ("Mineral_Source", MINERALS))
 
@@ -88,43 +95,61 @@ def sure(confidence: Column) -> Column:
 def value_of(rule: Rule, text: Column) -> Column:
     """What a rule gives for a line, or null: its groups are empty where the pattern doesn't match, so it is searched once."""
     text = F.regexp_replace(text, r"\s+", " ") if rule.squeeze else text
+    needed = lambda hit: tx.contains_any(text, rule.needs) & hit if rule.needs else hit
+    filled = lambda value: tx.once(tx.strip(value), lambda s: F.when(s != "", s))
     if rule.form == "constant":
-        hit, value = F.rlike(text, F.lit(rule.pattern)), F.lit(rule.constant)
-    else:
-        value = F.regexp_extract(text, rule.pattern, 1)
-        hit = value != ""
-    if rule.needs:
-        hit = tx.contains_any(text, rule.needs) & hit
-    if rule.form == "amount":
-        value = F.concat(value, F.lit(" "), F.lower(F.regexp_extract(text, rule.pattern, 2)))
-    elif rule.form in ("entity", "country"):
-        value = tx.clean_entity(value)
-        hit = hit & (F.length(value).between(3, 30) if rule.form == "country" else F.length(value) >= 3)
-    if rule.form in ("country", "title"):
-        value = tx.title(value if rule.form == "country" else tx.strip(value))
-    return F.when(hit, F.nullif(tx.strip(value), F.lit("")))
-
-
-def keyword_of(text: Column, words: Sequence[str]) -> Column:
-    """The first word of the list that the line contains, in title form; or null."""
+        return F.when(needed(F.rlike(text, F.lit(rule.pattern))), F.lit(rule.constant))
+
+    def shaped(group: Column) -> Column:
+        value = group
+        if rule.form == "amount":
+            value = F.concat(value, F.lit(" "), F.lower(F.regexp_extract(text, rule.pattern, 2)))
+        elif rule.form in ("entity", "country"):
+            country = rule.form == "country"
+            value = tx.once(tx.clean_entity(value), lambda c: F.when(F.length(c).between(3, 30) if country else F.length(c) >= 3, tx.title(c) if country else c))
+        elif rule.form == "title":
+            value = tx.title(tx.strip(value))
+        return F.when(needed(group != ""), filled(value))
+
+    return tx.once(F.regexp_extract(text, rule.pattern, 1), shaped)
+
+
+def keyword_of(text: Column, words: Sequence[str], lowered: bool = False) -> Column:
+    """The first word of the list that the line contains, in title form; or null. lowered: the text is in lower case."""
+    text = text if lowered else F.lower(text)
     found = F.lit(None).cast("string")
     for word in reversed(words):
-        found = F.when(F.contains(F.lower(text), F.lit(word)), F.lit(word.title())).otherwise(found)
+        found = F.when(F.contains(text, F.lit(word)), F.lit(word.title())).otherwise(found)
     return found
 
 
+def may_match(rule: Rule, lowered: Column, figure: Column) -> Column:
+    """Whether a line can match at all, by its lower-case text and whether it has a figure."""
+    held = F.lit(True)
+    if rule.figure:
+        held = figure
+    if rule.marks:
+        held = held & reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(m)) for m in rule.marks))
+    return held
+
+
 def extract_fields(lines: DataFrame, catalog: Sequence[Rule] = CATALOG, keywords: Sequence[tuple[str, Sequence[str]]] = KEYWORDS) -> DataFrame:
     """product_key, field, value, confidence, source for every rule and keyword field that matches."""
-    matches = [(r.field, r.step, -F.col("height") if r.tallest else F.lit(0.0), value_of(r, F.col("text")), r.weight, r.source) for r in catalog]
-    matches += [(name, 1, F.lit(0.0), keyword_of(F.col("text"), words), 0.4, f"keyword:{name.lower()}") for name, words in keywords]
+    lines = lines.select("product_key", "line_no", "text", "confidence", "height", F.lower("text").alias("lowered"), F.rlike("text", F.lit("[0-9]")).alias("figure"))
+    gated = lambda r: F.when(may_match(r, F.col("lowered"), F.col("figure")), value_of(r, F.col("text")))
+    matches = [(r.field, r.step, -F.col("height") if r.tallest else F.lit(0.0), gated(r), r.weight, r.source) for r in catalog]
+    matches += [(name, 1, F.lit(0.0), keyword_of(F.col("lowered"), words, lowered=True), 0.4, f"keyword:{name.lower()}") for name, words in keywords]
     each = F.array(
         *(
-            F.struct(F.lit(f).alias("field"), F.lit(step).alias("step"), order.cast("double").alias("order"), v.alias("value"), (F.lit(weight) * sure(F.col("confidence"))).alias("confidence"), F.lit(source).alias("source"))
+            F.struct(F.lit(f).alias("field"), F.lit(step).alias("step"), order.cast("double").alias("order"), v.alias("value"), F.lit(weight).alias("weight"), F.lit(source).alias("source"))
             for f, step, order, v, weight, source in matches
         )
     )
-    found = lines.select("product_key", "line_no", F.explode(F.filter(each, lambda m: m["value"].isNotNull())).alias("m"))
-    best = F.min_by(F.col("m"), F.struct("m.step", "m.order", "line_no")).alias("m")
+    # A line's values are generated once: over an array that isn't a column, Spark would infer a filter that makes it twice more.
+    held = lines.select("product_key", "line_no", "confidence", F.explode(F.array(F.filter(each, lambda m: m["value"].isNotNull()))).alias("held"))
+    found = held.select("product_key", "line_no", "confidence", F.explode("held").alias("m"))
+    taken = F.struct("m.value", (F.col("m.weight") * sure(F.col("confidence"))).alias("confidence"), "m.source")
+    best = F.min_by(taken, F.struct("m.step", "m.order", "line_no")).alias("m")
     return found.groupBy("product_key", F.col("m.field").alias("field")).agg(best).select("product_key", "field", "m.value", "m.confidence", "m.source")
 
 

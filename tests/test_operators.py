@@ -421,3 +421,17 @@ def test_weak_labels_broadcast_nothing(spark):
     got = labels.weak_labels(words, truth)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r.product_key, r.word_no): (r.label, r.label_id) for r in got.collect()} == {(1, 0): ("BRAND", 1), (1, 1): ("MRP", 2), (1, 2): ("PRODUCT_NAME", 7), (1, 3): ("O", 0), (2, 0): ("O", 0), (None, 0): ("O", 0), (3, 0): ("O", 0), (3, 1): ("MRP", 2)}
+
+
+def test_gates_of_rules(spark):
+    """A line is searched for a rule only if it can match, and then gives what the bare search gives."""
+    texts = ["M.R.P. Rs 5", "MAXIMUM  RETAIL PRICE 12.50", "inr 7", "₹ 9", "NET WT: 5 KG", "3 L", "Lic. No. 10012345678901", "LICENSE NO 10012345678901", "FSSAI 10012345678901", "PKD packed by: Acme Foods, 1", "MADE IN new zealand", "Product  of INDIA", "Origin: peru", "PRESERVATIVE-FREE", "Preservatives:", "READY TO EAT", "readytocook", "AYURVEDIC", "FLAVOR: red mango", "Wild Berry flavour", "CAFFEINE 9 mg", "RECOMMENDED AGE 3+", "Weight 3 - 6 KG", "ABSORPTION 5 hrs", "2X3 CM", "2 × 3 mm", "PACK OF 6", "NON-VEG", "Vegetarian", "DRY HAIR", "K kelvin 3 K", "", None, "İstanbul 5 g"]
+    rows = [(k, 0, t, 0.5, 0.1) for k, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "product_key long, line_no int, text string, confidence double, height double")
+    lowered, figure = F.lower("text"), F.rlike("text", F.lit("[0-9]"))
+    pairs = [F.struct(rules.may_match(r, lowered, figure).alias("may"), rules.value_of(r, F.col("text")).alias("value")) for r in rules.CATALOG]
+    found = [p for row in lines.select(F.array(*pairs).alias("p")).collect() for p in row.p]
+    assert sum(p.value is not None for p in found) >= 30
+    assert all(p.may for p in found if p.value is not None)
+    assert all(r.marks or r.figure for r in rules.CATALOG)
+    assert sum(bool(p.may) for p in found) < len(found) / 3
