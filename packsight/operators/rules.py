@@ -145,8 +145,10 @@ def extract_fields(lines: DataFrame, catalog: Sequence[Rule] = CATALOG, keywords
             for f, step, order, v, weight, source in matches
         )
     )
-    # A line's values are generated once: over an array that isn't a column, Spark would infer a filter that makes it twice more.
-    held = lines.select("product_key", "line_no", "confidence", F.explode(F.array(F.filter(each, lambda m: m["value"].isNotNull()))).alias("held"))
+    # A line's values are a column, as explode asks for its array's type in each row, and are generated
+    # as one row before they are exploded, so that no inferred filter makes them again.
+    made = lines.select("product_key", "line_no", "confidence", F.filter(each, lambda m: m["value"].isNotNull()).alias("made"))
+    held = made.select("product_key", "line_no", "confidence", F.explode(F.array("made")).alias("held"))
     found = held.select("product_key", "line_no", "confidence", F.explode("held").alias("m"))
     taken = F.struct("m.value", (F.col("m.weight") * sure(F.col("confidence"))).alias("confidence"), "m.source")
     best = F.min_by(taken, F.struct("m.step", "m.order", "line_no")).alias("m")
